@@ -1,0 +1 @@
+"""Reading and writing sample tables, feature matrices and name lists."""
