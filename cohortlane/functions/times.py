@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +9,7 @@ from pyspark.sql import types as T
 from cohortlane.functions.values import column, to_number, type_of
 
 MICROS_PER_DAY = 86_400_000_000
+TIME = "_time"
 
 # Month names a date text may use.
 MONTHS = (
@@ -26,18 +25,6 @@ def micros(moment: Column) -> Column:
     return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
 
 
-def _month_numbers(text: Column) -> Column:
-    """Rewrite ``5 Jan 2024`` and ``January 5, 2024`` to month/day/year in digits."""
-    swapped = F.regexp_replace(text, r"^(\d{1,2})[\s\-./,]*([A-Za-z]{3,9})[\s\-./,]*(\d{4}|\d{2})$", "$2/$1/$3")
-    word = F.regexp_extract(swapped, r"^[A-Za-z]{3,9}", 0)
-    number = reduce(
-        lambda rest, month: F.when(F.lower(word).isin(month[1], month[1][:3]), F.lit(str(month[0]))).otherwise(rest),
-        enumerate(MONTHS, 1),
-        F.lit("?"),
-    )
-    return F.concat(number, F.lit("/"), F.regexp_replace(swapped, r"^[A-Za-z]{3,9}[\s\-./,]*", ""))
-
-
 def _year(text: Column) -> Column:
     number = text.try_cast("int")
     return (
@@ -47,47 +34,60 @@ def _year(text: Column) -> Column:
     )
 
 
-def _moment(year: Column, month: Column, day: Column, hour=None, minute=None, second=None) -> Column:
-    def whole(text):
-        return F.lit(0) if text is None else F.when(F.length(text) <= 2, text.try_cast("int"))
+def _small(text: Column) -> Column:
+    return F.when(F.length(text) <= 2, text.try_cast("int"))
 
-    return F.try_make_timestamp_ntz(
-        _year(year), whole(month), whole(day), whole(hour), whole(minute), whole(second).cast("decimal(16,6)")
-    )
 
+def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
+    return F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)"))
 
-def parse_date_text(text: Column) -> Column:
-    """Date text to timestamp, null when no form fits.
+
+def with_date_text(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Add ``out``: a date text as timestamp, null when no form fits.
 
     Forms in this order: month/day/year hour:minute, month/day/year hour:minute:second,
-    year-month-day, month/day/year, day/month/year, hour:minute. Separators are free, a
-    leading year has four digits, and a lone clock time falls on day one of year zero.
+    year-month-day, month/day/year, day/month/year, hour:minute. Separators are free, months
+    may be named, a leading year has four digits, and a lone clock time falls on day one of
+    year zero. The steps are columns of their own, so that each is worked out once per row.
     """
+    months = F.create_map(*(F.lit(v) for i, m in enumerate(MONTHS, 1) for v in ((m, i) if m == "may" else (m, i, m[:3], i))))
+    swap = r"^(\d{1,2})[\s\-./,]*([A-Za-z]{3,9})[\s\-./,]*(\d{4}|\d{2})$"
     trimmed = F.trim(text)
-    digits = F.when(trimmed.rlike("[A-Za-z]"), _month_numbers(trimmed)).otherwise(trimmed)
-    parts = F.split(digits, r"[^0-9]+")
-    a, b, c, d, e, f = (F.get(parts, F.lit(i)) for i in range(6))
+    named_month = trimmed.rlike("[A-Za-z]")
+    steps = df.withColumn("_text", F.when(named_month, F.regexp_replace(trimmed, swap, "$2/$1/$3")).otherwise(trimmed))
+    steps = steps.withColumn("_month", F.when(named_month, F.lower(F.regexp_extract("_text", "^[A-Za-z]{3,9}", 0))))
+    numbered = F.concat(
+        F.try_element_at(months, F.col("_month")).cast("string"), F.lit("/"), F.regexp_replace("_text", r"^[A-Za-z]+[\s\-./,]*", "")
+    )
+    steps = steps.withColumn("_digits", F.when(F.col("_month").isNotNull(), numbered).otherwise(F.col("_text")))
+    digits = F.col("_digits")
+    steps = steps.withColumn("_parts", F.when(digits.rlike(r"^[0-9]+([^0-9A-Za-z]+[0-9]+)*$"), F.split(digits, "[^0-9]+")))
+    steps = steps.withColumn("_size", F.size("_parts"))
+    steps = steps.withColumns({f"_p{i}": F.get("_parts", F.lit(i)) for i in range(6)})
+    p = [F.col(f"_p{i}") for i in range(6)]
+    size, zero = F.col("_size"), F.lit(0)
+    leading_year = (size == 3) & (F.length(p[0]) == 4)
+    # Only a first number above 12 makes month/day fail where day/month can still fit.
+    day_first = (size == 3) & (_small(p[0]) > 12)
+    year = F.when(leading_year, _year(p[0])).otherwise(_year(p[2]))
+    month = F.when(leading_year | day_first, _small(p[1])).otherwise(_small(p[0]))
+    day = F.when(leading_year, _small(p[2])).when(day_first, _small(p[0])).otherwise(_small(p[1]))
+    hour, minute, second = (F.when(size > 3 + i, _small(p[3 + i])).otherwise(0) for i in range(3))
 
     def cut(start, length):
-        return F.substring(digits, start, length)
+        return F.substring(digits, start, length).try_cast("int")
 
-    dates = F.coalesce(F.when(F.length(a) == 4, _moment(a, b, c)), _moment(c, a, b), _moment(c, b, a))
     compact = F.coalesce(
-        _moment(cut(1, 4), cut(5, 2), cut(7, 2)),
-        _moment(cut(5, 4), cut(1, 2), cut(3, 2)),
-        _moment(cut(5, 4), cut(3, 2), cut(1, 2)),
+        _moment(cut(1, 4), cut(5, 2), cut(7, 2), zero, zero, zero),
+        _moment(cut(5, 4), cut(1, 2), cut(3, 2), zero, zero, zero),
+        _moment(cut(5, 4), cut(3, 2), cut(1, 2), zero, zero, zero),
     )
-    clock = F.try_make_timestamp_ntz(
-        F.lit(0), F.lit(1), F.lit(1), a.try_cast("int"), b.try_cast("int"), F.lit(0).cast("decimal(16,6)")
-    )
-    return (
-        F.when(~digits.rlike(r"^[0-9]+([^0-9A-Za-z?]+[0-9]+)*$"), F.lit(None).cast("timestamp_ntz"))
-        .when(F.size(parts) == 5, _moment(c, a, b, d, e))
-        .when(F.size(parts) == 6, _moment(c, a, b, d, e, f))
-        .when(F.size(parts) == 3, dates)
-        .when(digits.rlike(r"^\d{8}$"), compact)
-        .when(digits.rlike(r"^\d{1,2}:\d{1,2}$"), clock)
+    found = (
+        F.when(size.isin(3, 5, 6), _moment(year, month, day, hour, minute, second))
+        .when((size == 1) & (F.length(digits) == 8), compact)
+        .when((size == 2) & digits.rlike(r"^\d{1,2}:\d{1,2}$"), _moment(zero, F.lit(1), F.lit(1), _small(p[0]), _small(p[1]), zero))
     )
+    return steps.withColumn(out, found).drop("_text", "_month", "_digits", "_parts", "_size", *(f"_p{i}" for i in range(6)))
 
 
 def typed_time_kind(kind: T.DataType) -> str | None:
@@ -99,24 +99,25 @@ def typed_time_kind(kind: T.DataType) -> str | None:
     return None
 
 
-def time_value(df: DataFrame, name: str, time_kind: str) -> Column:
-    """A double for numeric times, microseconds as a long for dates."""
+def with_time_value(df: DataFrame, name: str, time_kind: str, out: str = TIME) -> DataFrame:
+    """Add the time as a double for numeric times, as microseconds in a long for dates."""
     kind, value = type_of(df, name), column(df, name)
     if time_kind == "numeric":
         if isinstance(kind, T.StringType):
-            return to_number(value)
+            return df.withColumn(out, to_number(value))
         if isinstance(kind, T.BooleanType):
-            return value.cast("int").cast("double")
+            return df.withColumn(out, value.cast("int").cast("double"))
         if isinstance(kind, T.NumericType):
-            return value.cast("double")
+            return df.withColumn(out, value.cast("double"))
         raise ValueError(f"a {kind.simpleString()} time column is read as date, not as number")
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(value)
+        return df.withColumn(out, F.unix_micros(value))
     if isinstance(kind, T.DateType):
-        return F.unix_date(value).cast("bigint") * MICROS_PER_DAY
+        return df.withColumn(out, F.unix_date(value).cast("bigint") * MICROS_PER_DAY)
     if isinstance(kind, T.TimestampNTZType):
-        return micros(value)
-    return micros(parse_date_text(value.cast("string")))
+        return df.withColumn(out, micros(value))
+    parsed = with_date_text(df, value.cast("string"), "_moment")
+    return parsed.withColumn(out, micros(F.col("_moment"))).drop("_moment")
 
 
 def elapsed(value: Column, start: Column, time_kind: str) -> Column:

@@ -13,7 +13,8 @@ def attach(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, spread
     keys are known exactly. A key above one shuffle partition's share of the rows is cut
     into as many slices as it has shares. At most ``spark.sql.shuffle.partitions`` keys can
     be above that share, which bounds the broadcast list of heavy keys, and at most twice
-    as many copies of facts arise. ``spread_by`` must tell the rows of one key apart.
+    as many copies of facts arise. ``spread_by`` must tell the rows of one key apart. Hand in
+    facts that are written already, since they are read three times here.
     """
     shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = facts.agg(F.sum(weight)).scalar()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlane.functions.values import as_text, column, legacy_label, type_of
-from cohortlane.operators.ranking import dense_order, in_order, slice_offsets
+from cohortlane.operators.ranking import dense_order, in_order
 
 # Limits of the binning and palette rules.
 MANY_VALUES = 15
@@ -63,32 +63,37 @@ def quartile_cuts(df: DataFrame, name: str, approximate: bool = False) -> Quarti
         ).first()
         return QuartileCuts(row["n"], tuple(sorted(set(row["cuts"] or ()))))
     placed = in_order(_value_counts(df, name), F.col("value"))
-    facts = placed.agg(F.count("*").alias("n_distinct"), F.sum("held").alias("n")).first()
-    if not facts["n"]:
+    # One row per sorted partition.
+    slices = placed.groupBy("_slice").agg(F.count("*").alias("n_distinct"), F.sum("held").alias("n")).orderBy("_slice").collect()
+    n = sum(s["n"] for s in slices)
+    if not n:
         return QuartileCuts(0, ())
-    spots = [p * (facts["n"] - 1) for p in QUARTILES]
+    spots = [p * (n - 1) for p in QUARTILES]
     wanted = sorted({int(edge) for spot in spots for edge in (math.floor(spot), math.ceil(spot))})
-    at = _values_at(placed, wanted)
+    at = _values_at(placed, {s["_slice"]: s["n"] for s in slices}, wanted)
     cuts = []
     for spot in spots:
         low, high, part = math.floor(spot), math.ceil(spot), spot - math.floor(spot)
         cuts.append(at[low] if at[low] == at[high] else (1 - part) * at[low] + part * at[high])
-    return QuartileCuts(facts["n_distinct"], tuple(sorted(set(cuts))))
+    return QuartileCuts(sum(s["n_distinct"] for s in slices), tuple(sorted(set(cuts))))
 
 
-def _values_at(placed: DataFrame, wanted: list[int]) -> dict[int, float]:
-    """Values at 0-based positions of the sorted rows; at most eight are asked for."""
-    spots = F.array(*(F.lit(w).cast("bigint") for w in wanted))
-
-    def holding(low: Column, size: Column) -> Column:
-        return F.filter(spots, lambda w: (w >= low) & (w < low + size))
-
-    slices = slice_offsets(placed, F.col("held")).filter(F.size(holding(F.col("_before"), F.col("_held"))) > 0)
-    inside = placed.join(F.broadcast(slices), "_slice")
+def _values_at(placed: DataFrame, held: dict[int, int], wanted: list[int]) -> dict[int, float]:
+    """Values at 0-based positions; at most eight positions, so at most eight slices are read."""
+    before, inside = 0, {}
+    for number, size in held.items():
+        if any(before <= w < before + size for w in wanted):
+            inside[number] = before
+        before += size
+    starts = F.create_map(*(F.lit(v).cast("bigint") for pair in inside.items() for v in pair))
     earlier = Window.partitionBy("_slice").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    low = F.col("_before") + F.coalesce(F.sum("held").over(earlier), F.lit(0))
-    spread = inside.select("value", F.explode(holding(low, F.col("held"))).alias("spot"))
-    return {row["spot"]: row["value"] for row in spread.collect()}
+    counted = placed.filter(F.col("_slice").isin(*inside)).select(
+        "value", "held", (starts[F.col("_slice")] + F.coalesce(F.sum("held").over(earlier), F.lit(0))).alias("low")
+    )
+    spots = F.array(*(F.lit(w).cast("bigint") for w in wanted))
+    low, high = F.col("low"), F.col("low") + F.col("held")
+    hits = counted.select("value", F.explode(F.filter(spots, lambda w: (w >= low) & (w < high))).alias("spot"))
+    return {row["spot"]: row["value"] for row in hits.collect()}
 
 
 def quartile_cuts_frame(df: DataFrame, name: str) -> DataFrame:

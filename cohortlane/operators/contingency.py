@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlane.functions.flags import is_available, is_available_exact
-from cohortlane.functions.times import time_value
+from cohortlane.functions.times import TIME, with_time_value
 from cohortlane.functions.values import as_text, column, missing_label, named
 from cohortlane.operators.timing import settle_time_kind
 from cohortlane.session import written
@@ -42,10 +42,10 @@ def subject_group_flags(df: DataFrame, spec: StudySpec, group: str) -> DataFrame
     """
     spec = settle_time_kind(df, spec.on(df))
     n = len(spec.modalities)
-    rows = df.select(
+    rows = with_time_value(df, spec.time, spec.time_kind).select(
         column(df, spec.subject).alias("subject"),
         as_text(df, group).alias("Group"),
-        time_value(df, spec.time, spec.time_kind).alias("time"),
+        F.col(TIME).alias("time"),
         *(is_available(df, m).alias(f"on_{i}") for i, m in enumerate(spec.modalities)),
     ).filter(_any_flag(n))
     direct = rows.groupBy("subject", "Group").agg(*_flags_up(n))

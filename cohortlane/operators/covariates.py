@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlane.functions.times import TIME, with_time_value
 from cohortlane.functions.values import as_text, column, none_label
 from cohortlane.operators.profile import subject_text
 from cohortlane.operators.timing import settle_time_kind
-from cohortlane.functions.times import time_value
 from cohortlane.spec import StudySpec
 
 
@@ -54,9 +54,9 @@ def eligible_covariates(df: DataFrame, spec: StudySpec) -> DataFrame:
 def first_value(df: DataFrame, spec: StudySpec, covariate: str) -> DataFrame:
     """The first non-null value per subject by time, then sample key; null if there is none."""
     spec = settle_time_kind(df, spec.on(df))
-    rows = df.select(
+    rows = with_time_value(df, spec.time, spec.time_kind).select(
         column(df, spec.subject).alias("subject"),
-        F.struct(time_value(df, spec.time, spec.time_kind).alias("time"), column(df, spec.sample).alias("sample")).alias("at"),
+        F.struct(F.col(TIME).alias("time"), column(df, spec.sample).alias("sample")).alias("at"),
         as_text(df, covariate).alias("value"),
     )
     firsts = rows.groupBy("subject").agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("at"))).alias("value"))
@@ -83,13 +83,13 @@ def subject_pairs(df: DataFrame, spec: StudySpec, primary: str, secondary: str)
     """
     spec = settle_time_kind(df, spec.on(df))
     value = as_text(df, secondary)
-    rows = df.select(
+    rows = with_time_value(df, spec.time, spec.time_kind).select(
         column(df, spec.subject).alias("subject"),
         none_label(as_text(df, primary)).alias("primary"),
         F.when(
             value.isNotNull(),
             F.struct(
-                time_value(df, spec.time, spec.time_kind).alias("time"),
+                F.col(TIME).alias("time"),
                 column(df, spec.sample).alias("sample"),
                 value.alias("value"),
             ),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.flags import is_available
-from cohortlane.functions.times import elapsed, time_value
+from cohortlane.functions.times import TIME, elapsed, with_time_value
 from cohortlane.functions.values import as_text, column, named
 from cohortlane.spec import StudySpec
 
@@ -32,11 +32,11 @@ def subject_profile(
     """
     by, firsts = by or {}, firsts or {}
     timed = spec.time_kind is not None
-    value = time_value(df, spec.time, spec.time_kind) if timed else F.lit(None).cast("double")
-    rows = df.select(
+    rows = with_time_value(df, spec.time, spec.time_kind) if timed else df.withColumn(TIME, F.lit(None).cast("double"))
+    rows = rows.select(
         column(df, spec.subject).alias("subject"),
         named(spec.sample).alias("sample"),
-        value.alias("value"),
+        F.col(TIME).alias("value"),
         *(e.alias(name) for name, e in by.items()),
         *(e.alias(name) for name, e in firsts.items()),
         *(is_available(df, m).alias(f"on_{i}") for i, m in enumerate(spec.modalities)),

@@ -29,18 +29,17 @@ def in_order(df: DataFrame, *order: Column) -> DataFrame:
     )
 
 
-def slice_offsets(placed: DataFrame, weight: Column) -> DataFrame:
-    """Total ``weight`` before each slice; one row per sorted partition, so it is small."""
-    totals = placed.groupBy("_slice").agg(F.sum(weight).alias("_held"))
+def slice_offsets(placed: DataFrame) -> DataFrame:
+    """Rows before each slice; one row per sorted partition, so it is small."""
+    totals = placed.groupBy("_slice").agg(F.count("*").alias("_held"))
     before = F.sum("_held").over(Window.partitionBy().orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
-    return totals.select("_slice", F.coalesce(before, F.lit(0)).alias("_before"), "_held")
+    return totals.select("_slice", F.coalesce(before, F.lit(0)).alias("_before"))
 
 
 def dense_order(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
     """Number all rows 1..n in the given total order."""
     placed = in_order(df, *order)
-    offsets = F.broadcast(slice_offsets(placed, F.lit(1)).drop("_held"))
-    numbered = placed.join(offsets, "_slice")
+    numbered = placed.join(F.broadcast(slice_offsets(placed)), "_slice")
     return numbered.select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias(rank))
 
 
@@ -55,6 +54,7 @@ def order_pairs(pairs: DataFrame, with_secondary: bool) -> DataFrame:
     Larger primary groups come first, then larger groups within them, then labels and
     subjects. A subject in several primary groups stands where it comes first.
     """
+    pairs = written(pairs, "pairs")
     sizes = pairs.groupBy("primary").agg(F.count("*").alias("n_primary"), F.count("*").alias("weight"))
     keyed = attach(pairs, sizes, ["primary"], "weight", [F.col("subject")])
     place = [(-F.col("n_primary")).alias("a"), F.col("primary").alias("b")]

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.flags import available_text, cell_available
-from cohortlane.functions.times import elapsed, time_value
-from cohortlane.functions.values import as_text, named
-from cohortlane.operators.attach import attach
-from cohortlane.operators.timing import settle_time_kind
+from cohortlane.functions.times import TIME, with_time_value
+from cohortlane.functions.values import as_text, column, named
+from cohortlane.operators.timing import settle_time_kind, since_start
 from cohortlane.spec import StudySpec
 
 
@@ -46,20 +45,19 @@ def long_availability(df: DataFrame, spec: StudySpec, covariates: Sequence[str]
     and ``available``, one row per available cell.
     """
     spec = settle_time_kind(df, spec.on(df))
-    rows = df.select(
+    rows = with_time_value(df, spec.time, spec.time_kind).select(
         as_text(df, spec.sample).alias("sample_id"),
-        as_text(df, spec.subject).alias("subject"),
+        column(df, spec.subject).alias("subject"),
         named(spec.time).cast("string").alias("time_raw"),
-        time_value(df, spec.time, spec.time_kind).alias("time"),
+        F.col(TIME).alias("time"),
         *(named(c) for c in covariates),
         *(available_text(df, m).alias(m) for m in spec.modalities),
     )
     if spec.time_kind == "date":
-        starts = rows.groupBy("subject").agg(F.min("time").alias("start"), F.count("*").alias("n_rows"))
         any_flag = F.coalesce(*(named(m) for m in spec.modalities), F.lit(None).cast("string"))
-        rows = attach(rows.filter(any_flag.isNotNull()), starts, ["subject"], "n_rows", [F.col("sample_id")])
-        rows = rows.withColumn("time", elapsed(F.col("time"), F.col("start"), "date")).drop("start")
+        rows = since_start(rows.filter(any_flag.isNotNull()), rows)
     kept = {c: named(c) for c in ("sample_id", "subject", "time_raw", "time", *covariates)}
+    kept["subject"] = as_text(rows, "subject")
     return unpivot_available(rows, spec, kept, lambda _, m: named(m))
 
 

@@ -7,9 +7,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlane.functions.times import elapsed, parse_date_text, time_value, typed_time_kind
+from cohortlane.functions.times import TIME, elapsed, typed_time_kind, with_date_text, with_time_value
 from cohortlane.functions.values import as_text, column, is_number_text, named, type_of
 from cohortlane.operators.attach import attach
+from cohortlane.session import written
 from cohortlane.spec import StudySpec
 
 
@@ -21,9 +22,14 @@ def time_kind_facts(df: DataFrame, time: str) -> DataFrame:
     """
     typed = typed_time_kind(type_of(df, time))
     text = column(df, time).cast("string")
-    is_number = is_number_text(text) if typed is None else F.lit(typed == "numeric")
-    parsed = parse_date_text(text).isNotNull() if typed is None else F.lit(typed == "date") & text.isNotNull()
-    facts = df.select(text.alias("text"), is_number.alias("number"), parsed.alias("date")).agg(
+    rows = df.select(text.alias("text"))
+    if typed is None:
+        rows = with_date_text(rows, F.col("text"), "moment").select(
+            is_number_text(F.col("text")).alias("number"), F.col("moment").isNotNull().alias("date")
+        )
+    else:
+        rows = rows.select(F.lit(typed == "numeric").alias("number"), ((F.lit(typed) == "date") & F.col("text").isNotNull()).alias("date"))
+    facts = rows.agg(
         F.coalesce(F.bool_and("number"), F.lit(typed != "date")).alias("all_numeric"),
         F.avg(F.col("date").cast("int")).alias("ratio"),
     )
@@ -48,15 +54,24 @@ def days_since_start(df: DataFrame, spec: StudySpec) -> DataFrame:
     ``time_raw``, ``time``.
     """
     spec = settle_time_kind(df, spec.on(df))
-    rows = df.select(
+    rows = with_time_value(df, spec.time, spec.time_kind).select(
         as_text(df, spec.sample).alias("sample_id"),
-        as_text(df, spec.subject).alias("subject"),
+        column(df, spec.subject).alias("subject"),
         named(spec.time).cast("string").alias("time_raw"),
-        time_value(df, spec.time, spec.time_kind).alias("value"),
+        F.col(TIME).alias("time"),
     )
     if spec.time_kind == "date":
-        starts = rows.groupBy("subject").agg(F.min("value").alias("start"), F.count("*").alias("n_rows"))
-        rows = attach(rows, starts, ["subject"], "n_rows", [F.col("sample_id")])
-    else:
-        rows = rows.withColumn("start", F.lit(None).cast("double"))
-    return rows.select("sample_id", "subject", "time_raw", elapsed(F.col("value"), F.col("start"), spec.time_kind).alias("time"))
+        rows = since_start(rows, rows)
+    return rows.withColumn("subject", as_text(rows, "subject"))
+
+
+def since_start(rows: DataFrame, all_rows: DataFrame) -> DataFrame:
+    """Turn ``time`` from microseconds to days since the subject's start over ``all_rows``.
+
+    The starts, one row per subject, are written first: that takes one narrow pass, and their
+    known size lets the planner keep the samples where they are when they can be broadcast.
+    """
+    starts = all_rows.groupBy("subject").agg(F.min("time").alias("start"), F.count("*").alias("n_rows"))
+    joined = attach(rows, written(starts, "starts"), ["subject"], "n_rows", [F.col("sample_id")])
+    timed = joined.withColumn("time", elapsed(F.col("time"), F.col("start"), "date"))
+    return timed.select(*(named(c) for c in rows.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.flags import available_text
-from cohortlane.functions.times import elapsed, time_value
+from cohortlane.functions.times import TIME, elapsed, with_time_value
 from cohortlane.functions.values import as_text, column, named, number_text
 from cohortlane.operators.aggregates import modality_lanes, time_limits
 from cohortlane.operators.attach import attach
@@ -53,10 +53,10 @@ class Overlap:
 
     def points(self) -> DataFrame:
         df, spec = self.df, self.spec
-        rows = df.select(
+        rows = with_time_value(df, spec.time, spec.time_kind).select(
             column(df, spec.subject).alias("subject"),
             as_text(df, spec.sample).alias("sample_id"),
-            time_value(df, spec.time, spec.time_kind).alias("value"),
+            F.col(TIME).alias("value"),
             *(available_text(df, m).alias(m) for m in spec.modalities),
         ).filter(F.coalesce(*(available_text(df, m) for m in spec.modalities), F.lit(None)).isNotNull())
         facts = self.subjects.select("subject", "subject_text", "n_rows", "start", "subject_rank")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from cohortlane.functions.values import named
 from cohortlane.operators.constraints import key_violations
 
 
@@ -24,21 +25,25 @@ def append_new_files(stream: DataFrame, key: str, target: str, rejected: str, ch
     stored already. Every batch has a folder of its own, so a batch that is run again after
     a failure replaces what it wrote.
     """
-    empty = stream.schema
+    schema = stream.schema
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = _read_before(spark, target, empty, batch_id)
-        taken = stored.select("file_name").distinct()
-        kept = batch.groupBy("file_name").agg(F.min("file_path").alias("file_path")).join(taken, "file_name", "left_anti")
+        stored = _read_before(spark, target, schema, batch_id)
+        seen = stored.unionByName(_read_before(spark, rejected, schema, batch_id))
+        fresh = batch.groupBy("file_name").agg(F.min("file_path").alias("file_path"))
+        kept = fresh.join(seen.select("file_name").distinct(), "file_name", "left_anti")
         rows = batch.join(kept, ["file_name", "file_path"], "left_semi")
-        repeated = key_violations(rows, key).select(F.col(key).alias("_key"))
-        known = stored.select(F.col(key).alias("_key"))
+        repeated = key_violations(rows, key).select(named(key).alias("_key"))
+        known = stored.select(named(key).alias("_key"))
         refused_keys = repeated.unionByName(known).distinct().withColumn("_refused", F.lit(True))
-        marked = rows.join(refused_keys, rows[key].eqNullSafe(F.col("_key")), "left").drop("_key")
+        marked = rows.join(refused_keys, rows[key].eqNullSafe(F.col("_key")), "left").drop("_key").persist()
         refused = F.coalesce("_refused", F.lit(False))
-        marked.filter(~refused).drop("_refused").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        marked.filter(refused).drop("_refused").write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+        try:
+            for keep, folder in ((~refused, target), (refused, rejected)):
+                marked.filter(keep).drop("_refused").write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        finally:
+            marked.unpersist()
 
     return (
         stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cohortlane.functions.times import time_value
+from cohortlane.functions.times import TIME, with_time_value
 from cohortlane.functions.values import as_text
 from cohortlane.operators.reshape import unpivot_available
 from cohortlane.spec import StudySpec
@@ -22,8 +22,8 @@ def running_ranges(samples: DataFrame, spec: StudySpec) -> DataFrame:
     if spec.time_kind is None:
         raise ValueError("a stream needs a spec with a time kind")
     spec = spec.on(samples)
-    kept = {"subject": as_text(samples, spec.subject), "time": time_value(samples, spec.time, spec.time_kind)}
-    return unpivot_available(samples, spec, kept).groupBy("subject", "modality").agg(
+    kept = {"subject": as_text(samples, spec.subject), "time": F.col(TIME)}
+    return unpivot_available(with_time_value(samples, spec.time, spec.time_kind), spec, kept).groupBy("subject", "modality").agg(
         F.count("*").alias("n_samples"), F.min("time").alias("min_time"), F.max("time").alias("max_time")
     )
 
