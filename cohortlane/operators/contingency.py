@@ -37,8 +37,9 @@ def subject_group_flags(df: DataFrame, spec: StudySpec, group: str) -> DataFrame
     """Subjects with data, per group, and the modalities seen there.
 
     A sample counts for all groups that its subject has at that time among samples with data.
-    Nearly always that is one group, so the samples are folded to subject and group first;
-    only subjects found in several groups are looked at time by time.
+    Nearly always that is one group, so the samples are folded to subject and group first and
+    written; only if there are subjects in several groups, their samples are read again and
+    looked at time by time.
     """
     spec = settle_time_kind(df, spec.on(df))
     n = len(spec.modalities)
@@ -48,8 +49,10 @@ def subject_group_flags(df: DataFrame, spec: StudySpec, group: str) -> DataFrame
         F.col(TIME).alias("time"),
         *(is_available(df, m).alias(f"on_{i}") for i, m in enumerate(spec.modalities)),
     ).filter(_any_flag(n))
-    direct = rows.groupBy("subject", "Group").agg(*_flags_up(n))
+    direct = written(rows.groupBy("subject", "Group").agg(*_flags_up(n)), "direct")
     several = direct.groupBy("subject").agg(F.count("*").alias("groups")).filter("groups > 1").select("subject")
+    if several.isEmpty():
+        return direct
     meetings = rows.join(several, "subject", "left_semi").groupBy("subject", "time", "Group").agg(*_flags_up(n))
     together = Window.partitionBy("subject", "time")
     shared = meetings.withColumns({f"on_{i}": F.max(f"on_{i}").over(together) for i in range(n)})

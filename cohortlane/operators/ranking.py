@@ -52,22 +52,24 @@ def order_pairs(pairs: DataFrame, with_secondary: bool) -> DataFrame:
     """Rank subjects from ``subject``, ``primary`` and, if used, ``secondary``.
 
     Larger primary groups come first, then larger groups within them, then labels and
-    subjects. A subject in several primary groups stands where it comes first.
+    subjects. A subject in several primary groups stands where it comes first. A pair of
+    subject and primary label has one secondary label, so the primary sizes are sums of the
+    local ones, and one table of labels with both sizes is joined.
     """
+    labels = ["primary", "secondary"] if with_secondary else ["primary"]
     pairs = written(pairs, "pairs")
-    sizes = pairs.groupBy("primary").agg(F.count("*").alias("n_primary"), F.count("*").alias("weight"))
-    keyed = attach(pairs, sizes, ["primary"], "weight", [F.col("subject")])
+    local = pairs.groupBy(*labels).agg(F.count("*").alias("n_local"))
+    sizes = local.withColumn("n_primary", F.sum("n_local").over(Window.partitionBy("primary"))).withColumn("weight", F.col("n_local"))
+    keyed = attach(pairs, written(sizes, "sizes"), labels, "weight", [F.col("subject")])
     place = [(-F.col("n_primary")).alias("a"), F.col("primary").alias("b")]
     if with_secondary:
-        local = pairs.groupBy("primary", "secondary").agg(F.count("*").alias("n_local"), F.count("*").alias("weight"))
-        keyed = attach(keyed, local, ["primary", "secondary"], "weight", [F.col("subject")])
         place += [(-F.col("n_local")).alias("c"), F.col("secondary").alias("d")]
     best = keyed.groupBy("subject").agg(F.min(F.struct(*place)).alias("place"))
     ranked = best.select(as_text(best, "subject").alias("subject"), "place")
-    fields = [F.col(f"place.{f}") for f in ("a", "b", "c", "d")[: len(place)]]
-    named_place = [F.col("place.b").alias("primary")] + ([F.col("place.d").alias("secondary")] if with_secondary else [])
+    fields = [F.col(f"place.{f}") for f in "abcd"[: len(place)]]
+    shown = [F.col("place.b").alias("primary")] + ([F.col("place.d").alias("secondary")] if with_secondary else [])
     ordered = dense_order(ranked, [*fields, F.col("subject")], "subject_rank")
-    return ordered.select("subject", *named_place, "subject_rank")
+    return ordered.select("subject", *shown, "subject_rank")
 
 
 def subject_order_primary(df: DataFrame, spec: StudySpec, primary: str) -> DataFrame:

@@ -16,7 +16,7 @@ from cohortlane.operators import aggregates, binning, contingency, covariates, r
 from cohortlane.operators.constraints import key_violations
 from cohortlane.plans.overlap import Overlap
 from cohortlane.plans.timeline import Timeline, ranges_with_points
-from cohortlane.session import shared_folder
+from cohortlane.session import shared_folder, written
 from cohortlane.sources import datasets, delimited
 from cohortlane.spec import StudySpec
 from cohortlane.streaming import running
@@ -333,7 +333,10 @@ def covariate_scale_kind(spark, folder):
 
 
 def orders_timeline(spark, folder) -> Timeline:
-    return Timeline(*orders_study(spark, folder, customer=True), primary="segment", secondary="c_acctbal")
+    # A timeline reads its samples three times, so the joins behind them are written out.
+    df, spec = orders_study(spark, folder, customer=True)
+    wanted = [spec.sample, spec.subject, spec.time, *spec.modalities, "segment", "c_acctbal"]
+    return Timeline(written(df.select(*wanted), "samples"), spec, primary="segment", secondary="c_acctbal")
 
 
 @query
