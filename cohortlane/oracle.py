@@ -453,6 +453,10 @@ WHERE name NOT IN (SELECT n.name FROM named n JOIN labels l ON n.doc_id = l.doc_
   FROM (SELECT unnest(['house', '00', '4']) AS word))""",
     "csv_roundtrip": "SELECT * FROM customer",
     "stored_dataset": "SELECT * FROM orders",
+    "feature_matrix_files": """SELECT CAST(vec_id AS VARCHAR) AS sample_id, 'f' || (place - 1) AS feature,
+  round(CAST(embedding[place] AS DOUBLE), 6) AS value
+FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings)""",
+    "streamed_files": "SELECT * FROM customer",
     "running_ranges_events": """SELECT CAST(user_id AS VARCHAR) AS subject, event_type AS modality, count(*) AS n_samples,
   min(epoch_us(ts)) AS min_time, max(epoch_us(ts)) AS max_time FROM events
 WHERE event_type IN ('click', 'error', 'purchase', 'signup', 'view') GROUP BY 1, 2""",

@@ -19,7 +19,7 @@ from cohortlane.plans.timeline import Timeline, ranges_with_points
 from cohortlane.session import shared_folder, written
 from cohortlane.sources import datasets, delimited
 from cohortlane.spec import StudySpec
-from cohortlane.streaming import running
+from cohortlane.streaming import ingest, running
 from cohortlane.studies import events_study, labels_study, orders_study, orders_with_flags, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,6 +493,26 @@ def stored_dataset(spark, folder):
     return datasets.load_dataset(spark, [datasets.save_dataset(table(spark, folder, "orders"), root, "metadata", "all orders", "o_orderkey")])
 
 
+@query
+def feature_matrix_files(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    width = vectors.select(F.max(F.size("embedding"))).first()[0]
+    wide = vectors.select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(width)))
+    path = f"{shared_folder(spark)}/cohortlane/matrix-{uuid.uuid4().hex}"
+    datasets.export_csv(wide, path)
+    return rounded(datasets.read_matrices(spark, path).select("sample_id", "feature", "value"), "value")
+
+
+@query
+def streamed_files(spark, folder):
+    customers = table(spark, folder, "customer")
+    base = f"{shared_folder(spark)}/cohortlane/stream-{uuid.uuid4().hex}"
+    datasets.export_csv(customers, f"{base}/inbox")
+    stream = ingest.sample_file_stream(spark, f"{base}/inbox", customers.schema)
+    ingest.append_new_files(stream, "c_custkey", f"{base}/kept", f"{base}/refused", f"{base}/offsets").awaitTermination()
+    return spark.read.parquet(f"{base}/kept").select(*customers.columns)
+
+
 @query
 def running_ranges_events(spark, folder):
     schema = table(spark, folder, "events").schema
