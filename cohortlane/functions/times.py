@@ -25,69 +25,51 @@ def micros(moment: Column) -> Column:
     return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
 
 
-def _year(text: Column) -> Column:
-    number = text.try_cast("int")
-    return (
-        F.when(F.length(text) == 4, number)
-        .when((F.length(text) == 2) & (number < 69), number + 2000)
-        .when(F.length(text) == 2, number + 1900)
-    )
-
-
-def _small(text: Column) -> Column:
-    return F.when(F.length(text) <= 2, text.try_cast("int"))
-
-
-def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
-    return F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)"))
-
-
 def with_date_text(df: DataFrame, text: Column, out: str) -> DataFrame:
     """Add ``out``: a date text as timestamp, null when no form fits.
 
     Forms in this order: month/day/year hour:minute, month/day/year hour:minute:second,
     year-month-day, month/day/year, day/month/year, hour:minute. Separators are free, months
     may be named, a leading year has four digits, and a lone clock time falls on day one of
-    year zero. The steps are columns of their own, so that each is worked out once per row.
+    year zero. The steps are columns of their own, so that each is worked out once per row
+    and the generated methods stay small enough for the JVM to compile.
     """
     months = F.create_map(*(F.lit(v) for i, m in enumerate(MONTHS, 1) for v in ((m, i) if m == "may" else (m, i, m[:3], i))))
-    swap = r"^(\d{1,2})[\s\-./,]*([A-Za-z]{3,9})[\s\-./,]*(\d{4}|\d{2})$"
     trimmed = F.trim(text)
     named_month = trimmed.rlike("[A-Za-z]")
+    swap = r"^(\d{1,2})[\s\-./,]*([A-Za-z]{3,9})[\s\-./,]*(\d{4}|\d{2})$"
     steps = df.withColumn("_text", F.when(named_month, F.regexp_replace(trimmed, swap, "$2/$1/$3")).otherwise(trimmed))
     steps = steps.withColumn("_month", F.when(named_month, F.lower(F.regexp_extract("_text", "^[A-Za-z]{3,9}", 0))))
     numbered = F.concat(
         F.try_element_at(months, F.col("_month")).cast("string"), F.lit("/"), F.regexp_replace("_text", r"^[A-Za-z]+[\s\-./,]*", "")
     )
-    steps = steps.withColumn("_digits", F.when(F.col("_month").isNotNull(), numbered).otherwise(F.col("_text")))
-    digits = F.col("_digits")
-    steps = steps.withColumn("_parts", F.when(digits.rlike(r"^[0-9]+([^0-9A-Za-z]+[0-9]+)*$"), F.split(digits, "[^0-9]+")))
-    steps = steps.withColumn("_size", F.size("_parts"))
-    steps = steps.withColumns({f"_p{i}": F.get("_parts", F.lit(i)) for i in range(6)})
-    p = [F.col(f"_p{i}") for i in range(6)]
-    size, zero = F.col("_size"), F.lit(0)
-    leading_year = (size == 3) & (F.length(p[0]) == 4)
+    steps = steps.withColumn("_text", F.when(F.col("_month").isNotNull(), numbered).otherwise(F.col("_text")))
+    parted = F.regexp_replace("_text", r"^(\d{4})(0[1-9]|1[0-2])(\d{2})$", "$1/$2/$3")
+    steps = steps.withColumn("_text", F.regexp_replace(parted, r"^(\d{2})(\d{2})(\d{4})$", "$1/$2/$3"))
+    form = r"^(\d{1,2}:\d{1,2}|\d+([^0-9A-Za-z]+\d+){2}|\d+([^0-9A-Za-z]+\d+){4,5})$"
+    steps = steps.withColumn("_parts", F.when(F.col("_text").rlike(form), F.split("_text", "[^0-9]+")))
+    steps = steps.withColumns({"_size": F.size("_parts"), **{f"_p{i}": F.get("_parts", F.lit(i)) for i in range(6)}})
+    a, b, c, d, e, f = (F.col(f"_p{i}") for i in range(6))
+    clock_only = F.col("_size") == 2
+    leading_year = (F.col("_size") == 3) & (F.length(a) == 4)
     # Only a first number above 12 makes month/day fail where day/month can still fit.
-    day_first = (size == 3) & (_small(p[0]) > 12)
-    year = F.when(leading_year, _year(p[0])).otherwise(_year(p[2]))
-    month = F.when(leading_year | day_first, _small(p[1])).otherwise(_small(p[0]))
-    day = F.when(leading_year, _small(p[2])).when(day_first, _small(p[0])).otherwise(_small(p[1]))
-    hour, minute, second = (F.when(size > 3 + i, _small(p[3 + i])).otherwise(0) for i in range(3))
-
-    def cut(start, length):
-        return F.substring(digits, start, length).try_cast("int")
-
-    compact = F.coalesce(
-        _moment(cut(1, 4), cut(5, 2), cut(7, 2), zero, zero, zero),
-        _moment(cut(5, 4), cut(1, 2), cut(3, 2), zero, zero, zero),
-        _moment(cut(5, 4), cut(3, 2), cut(1, 2), zero, zero, zero),
-    )
-    found = (
-        F.when(size.isin(3, 5, 6), _moment(year, month, day, hour, minute, second))
-        .when((size == 1) & (F.length(digits) == 8), compact)
-        .when((size == 2) & digits.rlike(r"^\d{1,2}:\d{1,2}$"), _moment(zero, F.lit(1), F.lit(1), _small(p[0]), _small(p[1]), zero))
+    day_first = (F.col("_size") == 3) & (F.length(a) == 2) & (a > "12")
+    steps = steps.withColumns({
+        "_form": F.when(leading_year, "ymd").when(day_first, "dmy").when(clock_only, "clock").otherwise("mdy"),
+        "_year": F.when(F.length(c) == 2, F.concat(F.when(c < "69", "20").otherwise("19"), c)).when(F.length(c) == 4, c),
+    })
+    chosen = F.col("_form")
+    moment = F.concat(
+        F.when(chosen == "ymd", a).when(chosen == "clock", "0000").otherwise(F.col("_year")), F.lit("-"),
+        F.when(chosen == "mdy", a).when(chosen == "clock", "1").otherwise(b), F.lit("-"),
+        F.when(chosen == "mdy", b).when(chosen == "ymd", c).when(chosen == "clock", "1").otherwise(a), F.lit(" "),
+        F.concat_ws(
+            ":", F.when(chosen == "clock", a).otherwise(F.coalesce(d, F.lit("0"))),
+            F.when(chosen == "clock", b).otherwise(F.coalesce(e, F.lit("0"))), F.coalesce(f, F.lit("0")),
+        ),
     )
-    return steps.withColumn(out, found).drop("_text", "_month", "_digits", "_parts", "_size", *(f"_p{i}" for i in range(6)))
+    steps = steps.withColumn(out, moment.try_cast("timestamp_ntz"))
+    return steps.drop("_text", "_month", "_parts", "_size", "_form", "_year", *(f"_p{i}" for i in range(6)))
 
 
 def typed_time_kind(kind: T.DataType) -> str | None:
