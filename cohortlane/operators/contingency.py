@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.flags import is_available, is_available_exact
 from cohortlane.functions.times import TIME, with_time_value
 from cohortlane.functions.values import as_text, column, missing_label, named
+from cohortlane.operators.attach import attach
 from cohortlane.operators.timing import settle_time_kind
 from cohortlane.session import written
 from cohortlane.spec import StudySpec
@@ -53,10 +54,13 @@ def subject_group_flags(df: DataFrame, spec: StudySpec, group: str) -> DataFrame
     several = direct.groupBy("subject").agg(F.count("*").alias("groups")).filter("groups > 1").select("subject")
     if several.isEmpty():
         return direct
-    meetings = rows.join(several, "subject", "left_semi").groupBy("subject", "time", "Group").agg(*_flags_up(n))
-    together = Window.partitionBy("subject", "time")
-    shared = meetings.withColumns({f"on_{i}": F.max(f"on_{i}").over(together) for i in range(n)})
-    return direct.unionByName(shared.drop("time")).groupBy("subject", "Group").agg(*_flags_up(n))
+    # Unknown times of a subject count as one time.
+    met = rows.join(several, "subject", "left_semi").withColumns({"timed": F.col("time").isNotNull(), "time": F.coalesce("time", F.lit(0))})
+    at = ["subject", "time", "timed"]
+    meetings = written(met.groupBy(*at, "Group").agg(*_flags_up(n)), "meetings")
+    seen = written(meetings.groupBy(*at).agg(*_flags_up(n), F.count("*").alias("n_groups")), "seen")
+    shared = attach(meetings.select(*at, "Group"), seen, at, "n_groups", [F.col("Group")]).drop("time", "timed")
+    return direct.unionByName(shared).groupBy("subject", "Group").agg(*_flags_up(n))
 
 
 def contingency(df: DataFrame, spec: StudySpec, group: str) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlane.functions.times import TIME, with_time_value
 from cohortlane.functions.values import as_text, column, none_label
+from cohortlane.operators.attach import attach
 from cohortlane.operators.profile import subject_text
 from cohortlane.operators.timing import settle_time_kind
+from cohortlane.session import written
 from cohortlane.spec import StudySpec
 
 
@@ -79,7 +81,8 @@ def subject_label_sizes(df: DataFrame, spec: StudySpec, covariate: str) -> DataF
 def subject_pairs(df: DataFrame, spec: StudySpec, primary: str, secondary: str) -> DataFrame:
     """Distinct subject and primary label, with the subject's first secondary label.
 
-    Samples fold to one row per subject and label before anything is looked at per subject.
+    Samples fold to one row per subject and label, which are written; the first labels are
+    found from these and joined back, whatever number of labels a subject has.
     """
     spec = settle_time_kind(df, spec.on(df))
     value = as_text(df, secondary)
@@ -95,9 +98,14 @@ def subject_pairs(df: DataFrame, spec: StudySpec, primary: str, secondary: str)
             ),
         ).alias("first"),
     )
-    pairs = rows.groupBy("subject", "primary").agg(F.min("first").alias("first"))
-    first = F.min("first").over(Window.partitionBy("subject"))
-    return pairs.select("subject", "primary", none_label(first["value"]).alias("secondary"))
+    return with_first_label(written(rows.groupBy("subject", "primary").agg(F.min("first").alias("first")), "pairs"))
+
+
+def with_first_label(pairs: DataFrame) -> DataFrame:
+    """Give all rows of a subject the label in the smallest ``first`` struct among them."""
+    firsts = pairs.groupBy("subject").agg(F.min("first")["value"].alias("secondary"), F.count("*").alias("n_labels"))
+    joined = attach(pairs, written(firsts, "firsts"), ["subject"], "n_labels", [F.col("primary")])
+    return joined.select("subject", "primary", none_label(F.col("secondary")).alias("secondary"))
 
 
 def local_counts(df: DataFrame, spec: StudySpec, primary: str, secondary: str) -> DataFrame:

@@ -81,13 +81,12 @@ def per_modality(profile: DataFrame, spec: StudySpec, keep: Sequence[str] = ())
     and ``n_untimed``; times are normalised and null where no available sample has one.
     """
     kind = spec.time_kind or "numeric"
-    time_type = "double"
     cells = [
         F.struct(
             F.lit(m).alias("modality"),
             F.col(f"n_{i}").alias("n_samples"),
-            elapsed(F.col(f"lo_{i}"), F.col("start"), kind).cast(time_type).alias("min_pts"),
-            elapsed(F.col(f"hi_{i}"), F.col("start"), kind).cast(time_type).alias("max_pts"),
+            elapsed(F.col(f"lo_{i}"), F.col("start"), kind).cast("double").alias("min_pts"),
+            elapsed(F.col(f"hi_{i}"), F.col("start"), kind).cast("double").alias("max_pts"),
             F.col(f"gap_{i}").alias("n_untimed"),
         )
         for i, m in enumerate(spec.modalities)

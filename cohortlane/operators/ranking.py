@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.functions.values import as_text, column, none_label
@@ -29,18 +31,20 @@ def in_order(df: DataFrame, *order: Column) -> DataFrame:
     )
 
 
-def slice_offsets(placed: DataFrame) -> DataFrame:
-    """Rows before each slice; one row per sorted partition, so it is small."""
-    totals = placed.groupBy("_slice").agg(F.count("*").alias("_held"))
-    before = F.sum("_held").over(Window.partitionBy().orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
-    return totals.select("_slice", F.coalesce(before, F.lit(0)).alias("_before"))
+def rows_before(placed: DataFrame) -> list[int]:
+    """Rows ahead of each slice; one number per sorted partition."""
+    held = dict(placed.groupBy("_slice").agg(F.count("*")).collect())
+    return [0, *accumulate(held.get(i, 0) for i in range(max(held, default=0)))]
 
 
 def dense_order(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
-    """Number all rows 1..n in the given total order."""
+    """Number all rows 1..n in the given total order.
+
+    The result is a plain projection of the written rows, so the planner knows its size.
+    """
     placed = in_order(df, *order)
-    numbered = placed.join(F.broadcast(slice_offsets(placed)), "_slice")
-    return numbered.select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias(rank))
+    ahead = F.array(*(F.lit(n).cast("bigint") for n in rows_before(placed)))
+    return placed.select(*df.columns, (F.get(ahead, F.col("_slice").cast("int")) + F.col("_place") + 1).alias(rank))
 
 
 def subject_order_by_points(df: DataFrame, spec: StudySpec) -> DataFrame:
@@ -48,27 +52,36 @@ def subject_order_by_points(df: DataFrame, spec: StudySpec) -> DataFrame:
     return dense_order(points_per_subject(df, spec), [F.desc("n_points"), F.asc("subject")], "subject_rank")
 
 
-def order_pairs(pairs: DataFrame, with_secondary: bool) -> DataFrame:
-    """Rank subjects from ``subject``, ``primary`` and, if used, ``secondary``.
+def subject_places(pairs: DataFrame, with_secondary: bool) -> DataFrame:
+    """Where subjects stand, from ``subject``, ``primary`` and, if used, ``secondary``.
 
-    Larger primary groups come first, then larger groups within them, then labels and
-    subjects. A subject in several primary groups stands where it comes first. A pair of
-    subject and primary label has one secondary label, so the primary sizes are sums of the
-    local ones, and one table of labels with both sizes is joined.
+    Larger primary groups come first, then larger groups within them, then labels. A subject
+    in several primary groups stands where it comes first. ``pairs`` has one row per subject
+    and primary label and is read several times, so it should come from a written table.
+    Result: ``subject`` and the struct ``place``.
     """
-    labels = ["primary", "secondary"] if with_secondary else ["primary"]
-    pairs = written(pairs, "pairs")
-    local = pairs.groupBy(*labels).agg(F.count("*").alias("n_local"))
-    sizes = local.withColumn("n_primary", F.sum("n_local").over(Window.partitionBy("primary"))).withColumn("weight", F.col("n_local"))
-    keyed = attach(pairs, written(sizes, "sizes"), labels, "weight", [F.col("subject")])
+    def sized(rows: DataFrame, labels: list[str], name: str) -> DataFrame:
+        sizes = pairs.groupBy(*labels).agg(F.count("*").alias(name), F.count("*").alias("weight"))
+        return attach(rows, written(sizes, "sizes"), labels, "weight", [F.col("subject")])
+
+    keyed = sized(pairs, ["primary"], "n_primary")
     place = [(-F.col("n_primary")).alias("a"), F.col("primary").alias("b")]
     if with_secondary:
+        keyed = sized(keyed, ["primary", "secondary"], "n_local")
         place += [(-F.col("n_local")).alias("c"), F.col("secondary").alias("d")]
-    best = keyed.groupBy("subject").agg(F.min(F.struct(*place)).alias("place"))
-    ranked = best.select(as_text(best, "subject").alias("subject"), "place")
-    fields = [F.col(f"place.{f}") for f in "abcd"[: len(place)]]
+    return keyed.groupBy("subject").agg(F.min(F.struct(*place)).alias("place"))
+
+
+def place_order(with_secondary: bool) -> list[Column]:
+    return [F.col(f"place.{f}") for f in ("abcd" if with_secondary else "ab")]
+
+
+def order_pairs(pairs: DataFrame, with_secondary: bool) -> DataFrame:
+    """Rank subjects by their place, then by name."""
+    places = subject_places(pairs, with_secondary)
+    ranked = places.select(as_text(places, "subject").alias("subject"), "place")
+    ordered = dense_order(ranked, [*place_order(with_secondary), F.col("subject")], "subject_rank")
     shown = [F.col("place.b").alias("primary")] + ([F.col("place.d").alias("secondary")] if with_secondary else [])
-    ordered = dense_order(ranked, [*fields, F.col("subject")], "subject_rank")
     return ordered.select("subject", *shown, "subject_rank")
 
 
@@ -76,7 +89,7 @@ def subject_order_primary(df: DataFrame, spec: StudySpec, primary: str) -> DataF
     """All subjects by size of their primary group, label, subject."""
     spec = spec.on(df)
     pairs = df.select(column(df, spec.subject).alias("subject"), none_label(as_text(df, primary)).alias("primary")).distinct()
-    return order_pairs(pairs, with_secondary=False)
+    return order_pairs(written(pairs, "pairs"), with_secondary=False)
 
 
 def subject_order_primary_secondary(df: DataFrame, spec: StudySpec, primary: str, secondary: str) -> DataFrame:
@@ -88,4 +101,4 @@ def subject_order_secondary(df: DataFrame, spec: StudySpec, secondary: str) -> D
     """All subjects by size of their secondary group, label, subject."""
     firsts = first_value(df, spec, secondary)
     labelled = firsts.select("subject", none_label(F.col("value")).alias("primary"))
-    return order_pairs(labelled, with_secondary=False).withColumnRenamed("primary", "secondary")
+    return order_pairs(written(labelled, "pairs"), with_secondary=False).withColumnRenamed("primary", "secondary")

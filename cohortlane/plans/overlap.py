@@ -35,7 +35,7 @@ class Overlap:
         profile = subject_profile(self.df, self.spec)
         facts = profile.withColumns({"n_points": points(self.spec.modalities), "subject_text": as_text(profile, "subject")})
         with_data = facts.filter("n_points > 0")
-        return written(dense_order(with_data, [F.desc("n_points"), F.asc("subject_text")], "subject_rank"), "overlap")
+        return dense_order(with_data, [F.desc("n_points"), F.asc("subject_text")], "subject_rank")
 
     @cached_property
     def lanes(self) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from cohortlane.functions.values import named
 from cohortlane.operators import aggregates, contingency, covariates, ranking, reshape, search, timing
-from cohortlane.operators.constraints import check_key
+from cohortlane.operators.constraints import KeyViolation, check_key
 from cohortlane.plans.overlap import Overlap
 from cohortlane.plans.timeline import Timeline
 from cohortlane.spec import StudySpec
@@ -19,8 +20,10 @@ class Study:
         self.spec = timing.settle_time_kind(df, spec.on(df))
 
     def check(self) -> Study:
-        """Raise when the sample key has duplicates or nulls."""
+        """Raise when the sample key has duplicates or nulls, or a subject is null."""
         check_key(self.df, self.spec.sample)
+        if not self.df.filter(named(self.spec.subject).isNull()).isEmpty():
+            raise KeyViolation("Subject ID column contains missing values.")
         return self
 
     def long(self, *covariate_names: str) -> DataFrame:

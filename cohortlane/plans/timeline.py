@@ -13,8 +13,9 @@ from cohortlane.functions.values import as_text, column, named, none_label, numb
 from cohortlane.operators.aggregates import strip_geometry
 from cohortlane.operators.attach import attach
 from cohortlane.operators.binning import quartile_bins
+from cohortlane.operators.covariates import with_first_label
 from cohortlane.operators.profile import per_modality, points, roll_up, subject_profile
-from cohortlane.operators.ranking import dense_order, order_pairs
+from cohortlane.operators.ranking import dense_order, place_order, subject_places
 from cohortlane.operators.reshape import unpivot_available
 from cohortlane.operators.timing import settle_time_kind
 from cohortlane.session import written
@@ -62,22 +63,23 @@ class Timeline:
             "n_points": points(self.spec.modalities),
             "subject_text": as_text(per_subject, "subject"),
         }).drop(*firsts)
+        name = F.asc("subject_text")
         if self.primary is None and self.secondary is None:
-            with_data = facts.filter("n_points > 0")
-            return written(dense_order(with_data, [F.desc("n_points"), F.asc("subject_text")], "subject_rank"), "subjects")
-        ranks = self._group_ranks(facts)
-        return written(facts.join(ranks, "subject_text", "left"), "subjects")
-
-    def _group_ranks(self, facts: DataFrame) -> DataFrame:
+            return dense_order(facts.filter("n_points > 0"), [F.desc("n_points"), name], "subject_rank")
+        both = self.primary is not None and self.secondary is not None
+        placed = facts.join(subject_places(self._pairs(), both), "subject")
+        return dense_order(placed, [*place_order(both), name], "subject_rank").drop("place")
+
+    def _pairs(self) -> DataFrame:
+        """Subjects with their primary labels and, if used too, their secondary label."""
+        label = none_label(F.col("primary")) if self.primary is not None else None
+        if self.secondary is None:
+            return self.folded.select("subject", label.alias("primary")).distinct()
         if self.primary is None:
-            pairs = facts.select("subject", F.col("point_group").alias("primary"))
-            ordered = order_pairs(pairs, with_secondary=False)
-        else:
-            pairs = self.folded.select("subject", none_label(F.col("primary")).alias("primary")).distinct()
-            if self.secondary is not None:
-                pairs = pairs.join(facts.select("subject", F.col("point_group").alias("secondary")), "subject")
-            ordered = order_pairs(pairs, with_secondary=self.secondary is not None)
-        return ordered.select(F.col("subject").alias("subject_text"), "subject_rank")
+            return self.folded.select("subject", none_label(F.col("point.kept")).alias("primary"))
+        first = F.when(F.col("point").isNotNull(), F.struct(F.col("point.value").alias("time"), "point.sample", F.col("point.kept").alias("value")))
+        pairs = self.folded.groupBy("subject", label.alias("primary")).agg(F.min(first).alias("first"))
+        return with_first_label(written(pairs, "pairs"))
 
     @cached_property
     def geometry(self) -> DataFrame:

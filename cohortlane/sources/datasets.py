@@ -85,10 +85,11 @@ def save_dataset(df: DataFrame, root: str, prefix: str, base: str, key: str | No
 def save_matrices(long: DataFrame, root: str, prefix: str = "omics", mode: str = "append") -> str:
     """Write long matrices partitioned by dataset, so that reading one prunes the others.
 
-    ``repartition`` by dataset and sample spreads a large dataset over many files.
+    Ranges of dataset and sample spread a large dataset over many tasks and keep the small
+    ones together, so that no task writes a file for every dataset.
     """
     path = f"{root.rstrip('/')}/{syntactic_name(prefix)}"
-    long.repartition("dataset", "sample_id").write.mode(mode).partitionBy("dataset").parquet(path)
+    long.repartitionByRange("dataset", "sample_id").write.mode(mode).partitionBy("dataset").parquet(path)
     return path
 
 

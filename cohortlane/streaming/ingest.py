@@ -36,8 +36,11 @@ def append_new_files(stream: DataFrame, key: str, target: str, rejected: str, ch
         rows = batch.join(kept, ["file_name", "file_path"], "left_semi")
         repeated = key_violations(rows, key).select(named(key).alias("_key"))
         known = stored.select(named(key).alias("_key"))
-        refused_keys = repeated.unionByName(known).distinct().withColumn("_refused", F.lit(True))
-        marked = rows.join(refused_keys, rows[key].eqNullSafe(F.col("_key")), "left").drop("_key").persist()
+        refused_keys = repeated.unionByName(known).filter("_key IS NOT NULL").distinct().withColumn("_refused", F.lit(True))
+        # Rows without a key need no join; together they would all meet in one task.
+        keyed = rows.filter(named(key).isNotNull())
+        marked = keyed.join(refused_keys, keyed[key] == F.col("_key"), "left").drop("_key")
+        marked = marked.unionByName(rows.filter(named(key).isNull()).withColumn("_refused", F.lit(True))).persist()
         refused = F.coalesce("_refused", F.lit(False))
         try:
             for keep, folder in ((~refused, target), (refused, rejected)):

@@ -1,5 +1,5 @@
 import random
-from datetime import date, datetime
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,10 +244,11 @@ def test_dense_order_is_a_permutation_whatever_the_partitions(spark):
     assert [r["rank"] for r in got] == list(range(1, 5001))
 
 
-@pytest.mark.parametrize("partitions", ["3", "16"])
-def test_attach_cuts_heavy_keys(spark, partitions):
-    kept = spark.conf.get("spark.sql.shuffle.partitions")
+@pytest.mark.parametrize("partitions, threshold", [("3", "10m"), ("16", "10m"), ("16", "-1")])
+def test_attach_cuts_heavy_keys(spark, partitions, threshold):
+    kept, broadcast = (spark.conf.get(f"spark.sql.{c}") for c in ("shuffle.partitions", "autoBroadcastJoinThreshold"))
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
         many = spark.range(3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).cast("string").alias("k"), "id")
         facts = many.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")).filter("k <> '2500'")
@@ -256,6 +257,7 @@ def test_attach_cuts_heavy_keys(spark, partitions):
         assert joined.count() == 3000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     assert got == {("0", i, 1999) if i < 2000 else (str(i), i, None if i == 2500 else i) for i in range(3000)}
 
 
@@ -407,6 +409,8 @@ def test_study(samples):
     assert study.contingency("grp").count() == 4 and study.timepoint_stats().count() == 2
     with pytest.raises(KeyViolation):
         Study(samples.union(samples), SPEC).check()
+    with pytest.raises(KeyViolation, match="Subject ID"):
+        Study(samples.withColumn("id", F.when(F.col("sample") != "a0", F.col("id"))), SPEC).check()
 
 
 @pytest.mark.parametrize("share", [0.34, 0.9])

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from cohortlane import StudySpec
 from cohortlane.operators.constraints import KeyViolation
