@@ -31,6 +31,11 @@ def unpivot_available(df: DataFrame, spec: StudySpec, kept: dict[str, Column], f
     ).filter("available IS NOT NULL")
 
 
+def with_any(rows: DataFrame, spec: StudySpec) -> DataFrame:
+    """Samples with an available cell, from rows whose flags are text or null already."""
+    return rows.filter(F.coalesce(*(named(m) for m in spec.modalities), F.lit(None).cast("string")).isNotNull())
+
+
 def availability_cells(df: DataFrame, spec: StudySpec, flag=available_text) -> DataFrame:
     """Available cells without times: ``sample_id``, ``subject``, ``modality``, ``available``."""
     spec = spec.on(df)
@@ -54,8 +59,7 @@ def long_availability(df: DataFrame, spec: StudySpec, covariates: Sequence[str]
         *(available_text(df, m).alias(m) for m in spec.modalities),
     )
     if spec.time_kind == "date":
-        any_flag = F.coalesce(*(named(m) for m in spec.modalities), F.lit(None).cast("string"))
-        rows = since_start(rows.filter(any_flag.isNotNull()), rows)
+        rows = since_start(with_any(rows, spec), rows)
     kept = {c: named(c) for c in ("sample_id", "subject", "time_raw", "time", *covariates)}
     kept["subject"] = as_text(rows, "subject")
     return unpivot_available(rows, spec, kept, lambda _, m: named(m))

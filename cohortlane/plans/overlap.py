@@ -14,7 +14,7 @@ from cohortlane.operators.aggregates import modality_lanes, time_limits
 from cohortlane.operators.attach import attach
 from cohortlane.operators.profile import per_modality, points, subject_profile
 from cohortlane.operators.ranking import dense_order
-from cohortlane.operators.reshape import unpivot_available
+from cohortlane.operators.reshape import unpivot_available, with_any
 from cohortlane.operators.timing import settle_time_kind
 from cohortlane.session import written
 from cohortlane.spec import StudySpec
@@ -58,9 +58,9 @@ class Overlap:
             as_text(df, spec.sample).alias("sample_id"),
             F.col(TIME).alias("value"),
             *(available_text(df, m).alias(m) for m in spec.modalities),
-        ).filter(F.coalesce(*(available_text(df, m) for m in spec.modalities), F.lit(None)).isNotNull())
+        )
         facts = self.subjects.select("subject", "subject_text", "n_rows", "start", "subject_rank")
-        joined = attach(rows, facts, ["subject"], "n_rows", [F.col("sample_id")])
+        joined = attach(with_any(rows, spec), facts, ["subject"], "n_rows", [F.col("sample_id")])
         kept = {
             "sample_id": F.col("sample_id"),
             "subject": F.col("subject_text"),

@@ -349,6 +349,19 @@ def test_timeline_with_secondary_only(samples):
     assert [r["subject"] for r in line.axis_labels().orderBy("subject_rank").collect()] == ["b", "d", "c", "a"]
 
 
+@pytest.mark.parametrize("kind", ["boolean", "int", "double"])
+def test_charts_with_typed_flags(spark, kind):
+    df = spark.createDataFrame([("1", "a", 0, 1, 0), ("2", "a", 1, 0, 0), ("3", "b", 1, 1, 1)], "sample string, id string, week int, Mic int, Pro int")
+    df = df.withColumns({m: F.col(m).cast(kind) for m in SPEC.modalities})
+    want = [("1", "Mic"), ("3", "Mic"), ("3", "Pro")]
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert rows(Timeline(df, SPEC).points().select("sample_id", "modality")) == want
+        assert rows(Overlap(df, SPEC).points().select("sample_id", "modality")) == want
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
 def test_unknown_time_makes_the_strip_unknown(spark):
     df = spark.createDataFrame([("1", "a", None, "Yes"), ("2", "a", 1, "Yes")], "sample string, id string, week int, Mic string")
     place = Timeline(df, SPEC).geometry.first()
