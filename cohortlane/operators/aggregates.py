@@ -11,6 +11,7 @@ from cohortlane.functions.flags import is_available
 from cohortlane.functions.values import named, percent_text
 from cohortlane.operators.profile import per_modality, points, subject_profile, subject_text
 from cohortlane.operators.timing import settle_time_kind
+from cohortlane.session import written
 from cohortlane.spec import StudySpec
 
 LANE_SPREAD = 0.3
@@ -68,7 +69,7 @@ def timepoint_stats_text(df: DataFrame, spec: StudySpec) -> DataFrame:
 
 def subject_totals(df: DataFrame, spec: StudySpec) -> DataFrame:
     """Per subject its samples and, alongside each, the total of the modality it is in."""
-    counts = samples_per_subject(df, spec)
+    counts = written(samples_per_subject(df, spec), "counts")
     totals = counts.groupBy("modality").agg(F.count("*").alias("total_subjects"))
     # One row per modality of the spec, so the broadcast side is bounded by its length.
     return counts.join(F.broadcast(totals), "modality")

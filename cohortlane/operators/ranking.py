@@ -43,7 +43,7 @@ def dense_order(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
     The result is a plain projection of the written rows, so the planner knows its size.
     """
     placed = in_order(df, *order)
-    ahead = F.array(*(F.lit(n).cast("bigint") for n in rows_before(placed)))
+    ahead = F.expr(f"array({', '.join(f'{n}L' for n in rows_before(placed))})")
     return placed.select(*df.columns, (F.get(ahead, F.col("_slice").cast("int")) + F.col("_place") + 1).alias(rank))
 
 

@@ -20,20 +20,29 @@ def unpivot_available(df: DataFrame, spec: StudySpec, kept: dict[str, Column], f
     The flags turn into text or null first, so modalities of different types can be mixed;
     the unpivot is a projection per modality and does not shuffle.
     """
-    flags = [flag(df, m).alias(f"on_{i}") for i, m in enumerate(spec.modalities)]
-    if not flags:
+    if not spec.modalities:
         return df.select(
             *(e.alias(n) for n, e in kept.items()), F.lit("").alias("modality"), F.lit("").alias("available")
         ).filter(F.lit(False))
-    wide = df.select(*(e.alias(n) for n, e in kept.items()), *flags).toDF(*kept, *spec.modalities)
-    return wide.unpivot(
-        [named(n) for n in kept], [named(m) for m in spec.modalities], "modality", "available"
-    ).filter("available IS NOT NULL")
+    places = [f"_kept_{i}" for i in range(len(kept))]
+    wide = df.select(*(e.alias(p) for p, e in zip(places, kept.values())), *(flag(df, m).alias(m) for m in spec.modalities))
+    cells = wide.unpivot(places, [named(m) for m in spec.modalities], "modality", "available").filter("available IS NOT NULL")
+    return cells.toDF(*kept, "modality", "available")
+
+
+def flag_texts(df: DataFrame, spec: StudySpec) -> list[Column]:
+    """Every flag as text or null, under names that no other column has."""
+    return [available_text(df, m).alias(f"_on_{i}") for i, m in enumerate(spec.modalities)]
 
 
 def with_any(rows: DataFrame, spec: StudySpec) -> DataFrame:
-    """Samples with an available cell, from rows whose flags are text or null already."""
-    return rows.filter(F.coalesce(*(named(m) for m in spec.modalities), F.lit(None).cast("string")).isNotNull())
+    """Samples with an available cell, from rows with ``flag_texts``."""
+    return rows.filter(F.coalesce(*(f"_on_{i}" for i in range(len(spec.modalities))), F.lit(None).cast("string")).isNotNull())
+
+
+def unpivot_texts(rows: DataFrame, spec: StudySpec, kept: dict[str, Column]) -> DataFrame:
+    """The available cells of rows with ``flag_texts``."""
+    return unpivot_available(rows, spec, kept, lambda _, m: F.col(f"_on_{spec.modalities.index(m)}"))
 
 
 def availability_cells(df: DataFrame, spec: StudySpec, flag=available_text) -> DataFrame:
@@ -56,13 +65,13 @@ def long_availability(df: DataFrame, spec: StudySpec, covariates: Sequence[str]
         named(spec.time).cast("string").alias("time_raw"),
         F.col(TIME).alias("time"),
         *(named(c) for c in covariates),
-        *(available_text(df, m).alias(m) for m in spec.modalities),
+        *flag_texts(df, spec),
     )
     if spec.time_kind == "date":
         rows = since_start(with_any(rows, spec), rows)
     kept = {c: named(c) for c in ("sample_id", "subject", "time_raw", "time", *covariates)}
     kept["subject"] = as_text(rows, "subject")
-    return unpivot_available(rows, spec, kept, lambda _, m: named(m))
+    return unpivot_texts(rows, spec, kept)
 
 
 def availability_wide(df: DataFrame, spec: StudySpec, group: str) -> DataFrame:

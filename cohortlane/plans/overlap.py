@@ -7,14 +7,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlane.functions.flags import available_text
 from cohortlane.functions.times import TIME, elapsed, with_time_value
-from cohortlane.functions.values import as_text, column, named, number_text
+from cohortlane.functions.values import as_text, column, number_text
 from cohortlane.operators.aggregates import modality_lanes, time_limits
 from cohortlane.operators.attach import attach
 from cohortlane.operators.profile import per_modality, points, subject_profile
 from cohortlane.operators.ranking import dense_order
-from cohortlane.operators.reshape import unpivot_available, with_any
+from cohortlane.operators.reshape import flag_texts, unpivot_texts, with_any
 from cohortlane.operators.timing import settle_time_kind
 from cohortlane.session import written
 from cohortlane.spec import StudySpec
@@ -57,7 +56,7 @@ class Overlap:
             column(df, spec.subject).alias("subject"),
             as_text(df, spec.sample).alias("sample_id"),
             F.col(TIME).alias("value"),
-            *(available_text(df, m).alias(m) for m in spec.modalities),
+            *flag_texts(df, spec),
         )
         facts = self.subjects.select("subject", "subject_text", "n_rows", "start", "subject_rank")
         joined = attach(with_any(rows, spec), facts, ["subject"], "n_rows", [F.col("sample_id")])
@@ -67,7 +66,7 @@ class Overlap:
             "time": elapsed(F.col("value"), F.col("start"), spec.time_kind),
             "subject_rank": F.col("subject_rank"),
         }
-        cells = self._in_lanes(unpivot_available(joined, spec, kept, lambda _, m: named(m)))
+        cells = self._in_lanes(unpivot_texts(joined, spec, kept))
         return cells.withColumn("tooltip", F.concat_ws(
             " ", F.lit("Subject ID:"), "subject", F.lit("\n"), F.lit("Omics Type:"), "modality", F.lit("\n"),
             F.lit("Timepoint:"), self._told(F.col("time")), F.lit("\n"), F.lit("Available:"), "available",

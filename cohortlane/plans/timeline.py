@@ -7,16 +7,15 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlane.functions.flags import available_text
 from cohortlane.functions.times import TIME, elapsed, with_time_value
-from cohortlane.functions.values import as_text, column, named, none_label, number_text
+from cohortlane.functions.values import as_text, column, none_label, number_text
 from cohortlane.operators.aggregates import strip_geometry
 from cohortlane.operators.attach import attach
 from cohortlane.operators.binning import quartile_bins
 from cohortlane.operators.covariates import with_first_label
 from cohortlane.operators.profile import per_modality, points, roll_up, subject_profile
 from cohortlane.operators.ranking import dense_order, place_order, subject_places
-from cohortlane.operators.reshape import unpivot_available, with_any
+from cohortlane.operators.reshape import flag_texts, unpivot_texts, with_any
 from cohortlane.operators.timing import settle_time_kind
 from cohortlane.session import written
 from cohortlane.spec import StudySpec
@@ -103,7 +102,7 @@ class Timeline:
             column(df, spec.subject).alias("subject"),
             as_text(df, spec.sample).alias("sample_id"),
             F.col(TIME).alias("value"),
-            *(available_text(df, m).alias(m) for m in spec.modalities),
+            *flag_texts(df, spec),
         )
         facts = self.subjects.select("subject", "subject_text", "n_rows", "start", "color_group", "point_group", "subject_rank")
         joined = attach(with_any(rows, spec), facts, ["subject"], "n_rows", [F.col("sample_id")])
@@ -115,7 +114,7 @@ class Timeline:
             "point_group": F.col("point_group"),
             "subject_rank": F.col("subject_rank"),
         }
-        cells = unpivot_available(joined, spec, kept, lambda _, m: named(m))
+        cells = unpivot_texts(joined, spec, kept)
         return cells.withColumn("tooltip", self._tooltip(*(F.col(c) for c in ("subject", "time", "modality", "color_group"))))
 
     def ranges(self) -> DataFrame:

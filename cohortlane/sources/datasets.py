@@ -9,6 +9,7 @@ from cohortlane.functions.names import syntactic_name
 from cohortlane.functions.text import file_base_name, file_extension
 from cohortlane.functions.values import named
 from cohortlane.operators.constraints import check_key, key_violations
+from cohortlane.session import written
 from cohortlane.sources.delimited import SEPARATORS, first_lines
 
 LONG_KEY = ["dataset", "sample_id", "feature"]
@@ -31,7 +32,7 @@ def read_matrices(spark: SparkSession, paths: str | list[str], sep: str = ",", s
         heads = first_lines(spark, paths).select(
             "path", F.regexp_replace(F.split("line", _literal(sep))[0], r'^"|"$', "").alias("sample_column")
         )
-        rows = rows.join(heads, "path")
+        rows = rows.join(written(heads, "heads"), "path")
     else:
         rows = rows.withColumn("sample_column", F.lit(sample_column))
     sample = F.try_variant_get("row", F.concat(F.lit("$['"), F.col("sample_column"), F.lit("']")), "string")

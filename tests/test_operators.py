@@ -362,6 +362,16 @@ def test_charts_with_typed_flags(spark, kind):
         spark.conf.set("spark.sql.ansi.enabled", "true")
 
 
+def test_modalities_may_be_called_like_other_columns(spark):
+    df = spark.createDataFrame([("1", "a", 2, "Yes", "No"), ("2", "a", 3, "Yes", "Yes")], "s string, i string, t int, time string, subject string")
+    spec = StudySpec("s", "i", "t", ("time", "subject"))
+    want = [("1", "time"), ("2", "subject"), ("2", "time")]
+    assert rows(reshape.long_availability(df, spec).select("sample_id", "modality")) == want
+    assert rows(Timeline(df, spec).points().select("sample_id", "modality")) == want
+    assert rows(Overlap(df, spec).points().select("sample_id", "modality")) == want
+    assert rows(aggregates.samples_per_subject(df, spec)) == [("subject", "a", 1), ("time", "a", 2)]
+
+
 def test_unknown_time_makes_the_strip_unknown(spark):
     df = spark.createDataFrame([("1", "a", None, "Yes"), ("2", "a", 1, "Yes")], "sample string, id string, week int, Mic string")
     place = Timeline(df, SPEC).geometry.first()
