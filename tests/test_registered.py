@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from cohortlane.oracle import ORACLE
+from cohortlane.registered import QUERIES
 from compare import table
 
 
@@ -19,10 +21,11 @@ def con(folder):
 
 
 def test_all_queries_have_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, folder, con, name):
     df = queries()[name](spark, folder)
     result = con.execute(oracle_sql()[name])
