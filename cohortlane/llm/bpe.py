@@ -1,14 +1,14 @@
 """Byte-level BPE by a lazily determinised transducer, and streaming decoding.
 
 The merges of a rank file make a transducer. It reads bytes and keeps every way in which the
-bytes seen last can still end in a token: a hypothesis is the list of tokens up to some earlier
+bytes seen last can still end in a token: a hypothesis is the last token before some earlier
 place and the node of the token trie that the bytes since then have reached. A prefix of a piece
 has exactly one tokenization, and a token may follow another only if merging the bytes of both
-gives the two back, so a step extends each hypothesis by a byte and finds the one that ends here.
-Hypotheses die as soon as no token goes on with their bytes. Tokens that all of them share are
-emitted, at most one token length behind the input. The set of hypotheses after the shared part,
-with the last token emitted, is the state; states and moves are made when first met and kept up
-to a bound.
+gives the two back, so a step extends each hypothesis by a byte and finds the one token that ends
+here. Hypotheses die as soon as no token goes on with their bytes. The set of hypotheses is the
+state; states and moves are made when first met and kept up to a bound. All hypotheses start
+within one token length of the input's place, so tokens before the place that all of them trace
+back to are final and are emitted.
 
 Decoding runs tokens through a state machine over UTF-8 bytes and gives out whole characters only.
 """
@@ -16,6 +16,7 @@ Decoding runs tokens through a state machine over UTF-8 bytes and gives out whol
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from functools import lru_cache
 from itertools import chain
@@ -33,9 +34,13 @@ CHUNK = regex.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: White space before a space: there the text is cut by CHUNK, elsewhere at every space.
 RUNS = tuple(f"{c} " for c in WHITE)
 ASCII_RUNS = tuple(run for run in RUNS if run.isascii())
-MAX_STATES = 250_000
-MAX_CHUNKS = 150_000
+MAX_STATES = 300_000
+MAX_CHUNKS = 250_000
 ROOT, NEVER = 0, 1 << 60
+NODE_BITS = 24
+NODE_MASK = (1 << NODE_BITS) - 1
+#: Bytes of one piece after which shared tokens are emitted; more than any token has.
+LONG = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,26 +54,27 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
+        self.ends, self.depths = [-1], [0]
         for token, rank in ranks.items():
             node = ROOT
-            for byte in token:
+            for depth, byte in enumerate(token, 1):
                 node = self.children[node].setdefault(byte, len(self.children))
                 if node == len(self.children):
                     self.children.append({})
                     self.ends.append(-1)
+                    self.depths.append(depth)
             self.ends[node] = rank
         self._edges: dict[int, tuple[list, list] | None] = {}
         self._follows: dict[int, bool] = {}
-        self._reset((-1, (((), ROOT),)))
+        self._reset((0,))
 
     def _reset(self, state: tuple) -> int:
         """Forget all states but the first and ``state``; returns the number of ``state``."""
-        first = (-1, (((), ROOT),))
-        self.states = [first]
-        self.known = {first: 0}
-        self.moves: dict[int, tuple[int, tuple]] = {}
+        self.states = [(0,)]
+        self.known = {(0,): 0}
+        self.moves: dict[int, tuple[int, int]] = {}
         if state not in self.known:
             self.known[state] = 1
             self.states.append(state)
@@ -136,51 +142,63 @@ class Transducer:
             found = self._follows[key] = self._apart(last, token)
         return found
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        last, paths = self.states[state]
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
         children, ends = self.children, self.ends
-        alive, ended = [], None
-        for path, node in paths:
-            node = children[node].get(byte)
+        after, ended = [], -1
+        for path in self.states[state]:
+            last, node = path >> NODE_BITS, children[path & NODE_MASK].get(byte)
             if node is None:
                 continue
             if children[node]:
-                alive.append((path, node))
-            if ended is None and (token := ends[node]) >= 0 and self.follows(path[-1] if path else last, token):
-                ended = (*path, token)
-        shared = len(ended)
-        for path, _ in alive:
-            shared = min(shared, len(path))
-            while path[:shared] != ended[:shared]:
-                shared -= 1
-        alive.append((ended, ROOT))
-        emitted = ended[:shared]
-        if shared:
-            after = emitted[-1], tuple([(path[shared:], node) for path, node in alive])
-        else:
-            after = last, tuple(alive)
+                after.append(last << NODE_BITS | node)
+            if ended < 0 and (token := ends[node]) >= 0 and self.follows(last - 1, token):
+                ended = token
+        after.append(ended + 1 << NODE_BITS)
+        after = tuple(after)
         number = self.known.get(after)
         if number is None:
             number = self.known[after] = len(self.states)
             self.states.append(after)
-        self.moves[state << 8 | byte] = move = number, emitted
+        self.moves[state << 8 | byte] = move = number, ended
         return move
 
+    def _traced(self, ended: list[int], place: int) -> list[int]:
+        """The tokens up to ``place``, from the token that ends at each place."""
+        found, lengths = [], self.lengths
+        while place:
+            token = ended[place - 1]
+            found.append(token)
+            place -= lengths[token]
+        found.reverse()
+        return found
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        state, found = 0, []
+        state, ended, emitted, get = 0, [], [], self.moves.get
         for byte in piece:
-            move = self.moves.get(state << 8 | byte)
+            move = get(state << 8 | byte)
             if move is None:
                 if len(self.states) > self.max_states:
                     state = self._reset(self.states[state])
+                    get = self.moves.get
                 move = self._step(state, byte)
-            state, emitted = move
-            if emitted:
-                found += emitted
-        return (*found, *self.states[state][1][-1][0])
+            state, token = move
+            ended.append(token)
+            if len(ended) == LONG:
+                state, ended = self._emit(state, ended, emitted)
+        return (*emitted, *self._traced(ended, len(ended)))
+
+    def _emit(self, state: int, ended: list[int], emitted: list[int]) -> tuple[int, list[int]]:
+        """Move the tokens that all hypotheses share from ``ended`` to ``emitted``."""
+        paths = [self._traced(ended, len(ended) - self.depths[p & NODE_MASK]) for p in self.states[state]]
+        shared = paths[0]
+        for path in paths[1:]:
+            n = next((i for i, (a, b) in enumerate(zip(shared, path)) if a != b), min(len(shared), len(path)))
+            shared = shared[:n]
+        emitted += shared
+        return state, ended[sum(self.lengths[t] for t in shared) :]
 
 
 class Chunks(dict):
@@ -338,7 +356,11 @@ class Decoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder per Python worker, used by all its tasks."""
+    """One encoder per Python worker, used by all its tasks.
+
+    Its tables are large and free of cycles, so the collector of cycles looks at them less often.
+    """
+    gc.set_threshold(200_000, 20, 100)
     return Encoder(path, pattern)
 
 
