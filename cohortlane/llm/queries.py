@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlane.llm.bpe import bpe_round_trip
+from cohortlane.llm.exact_dedup import exact_groups
+from cohortlane.llm.token_counts import token_counts
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,8 +20,29 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_round_trip(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_groups(documents(spark, folder), keep="max")
+
+
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_token_counts": op5_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_exact_dedup": """
+        WITH keyed AS (
+            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+            FROM documents
+        ), grouped AS (
+            SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM keyed GROUP BY body
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
+        FROM keyed JOIN grouped USING (body)
+    """,
+}
