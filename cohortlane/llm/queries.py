@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlane.llm.bpe import bpe_round_trip
 from cohortlane.llm.exact_dedup import exact_groups
+from cohortlane.llm.line_dedup import line_dedup
+from cohortlane.llm.sharding import write_shards
 from cohortlane.llm.token_counts import token_counts
 
 
@@ -28,10 +31,23 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    """The law is ``key``: document id and number of shards decide."""
+    shards = write_shards(documents(spark, folder))
+    return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup(documents(spark, folder))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_token_counts": op5_token_counts,
+    "op9_external_shuffle": op9_external_shuffle,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
@@ -45,4 +61,22 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
         FROM keyed JOIN grouped USING (body)
     """,
+    "op10_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+            FROM documents
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+            FROM lines
+        ), shared AS (
+            SELECT line_key FROM keyed WHERE length(line_key) >= 1 GROUP BY line_key HAVING count(DISTINCT doc_id) >= 10
+        ), marked AS (
+            SELECT doc_id, line, place, line_key IN (SELECT line_key FROM shared) AS dropped FROM keyed
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
 }
