@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortlane.llm.bpe import bpe_round_trip
 from cohortlane.llm.exact_dedup import exact_groups
 from cohortlane.llm.line_dedup import line_dedup
+from cohortlane.llm.packing import pack_documents
 from cohortlane.llm.sharding import write_shards
 from cohortlane.llm.token_counts import token_counts
 
@@ -27,6 +28,19 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(documents(spark, folder), keep="max")
 
 
+#: The special token that the vocabulary file declares and finds in texts.
+SPECIALS = {"<|endoftext|>": 50256}
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The ids of byte_bpe_50k.json: its vocabulary is that of the rank file, with one special token."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIALS)
+
+
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(documents(spark, folder))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -45,6 +59,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
     "op9_external_shuffle": op9_external_shuffle,
     "op10_line_dedup": op10_line_dedup,
