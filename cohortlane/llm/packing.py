@@ -29,8 +29,8 @@ from cohortlane.llm.frames import per_text, ranked_within
 from cohortlane.session import written
 
 CAPACITY = 1024
-GROUPS = 256
-SMALL = 64
+GROUPS = 512
+SMALL = 256
 
 
 def cut_pieces(df: DataFrame, ranks: str, pattern: str, specials: dict[str, int], end: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
