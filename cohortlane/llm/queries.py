@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlane.llm.bpe import bpe_round_trip
 from cohortlane.llm.exact_dedup import exact_groups
+from cohortlane.llm.fingerprints import fingerprints
 from cohortlane.llm.line_dedup import line_dedup
 from cohortlane.llm.packing import pack_documents
 from cohortlane.llm.sharding import write_shards
@@ -45,6 +46,10 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_prefix_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(documents(spark, folder))
+
+
 def op9_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     """The law is ``key``: document id and number of shards decide."""
     shards = write_shards(documents(spark, folder))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_prefix_fingerprints": op6_prefix_fingerprints,
     "op9_external_shuffle": op9_external_shuffle,
     "op10_line_dedup": op10_line_dedup,
 }
