@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortlane.llm.bpe import bpe_round_trip
 from cohortlane.llm.exact_dedup import exact_groups
 from cohortlane.llm.fingerprints import fingerprints
+from cohortlane.llm.jaccard_join import jaccard_components
 from cohortlane.llm.line_dedup import line_dedup
 from cohortlane.llm.packing import pack_documents
 from cohortlane.llm.sharding import write_shards
@@ -25,6 +26,10 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_round_trip(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(documents(spark, folder))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(documents(spark, folder), keep="max")
 
@@ -63,6 +68,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
