@@ -12,6 +12,7 @@ from cohortlane.llm.bpe import bpe_round_trip
 from cohortlane.llm.exact_dedup import exact_groups
 from cohortlane.llm.fingerprints import fingerprints
 from cohortlane.llm.jaccard_join import jaccard_components
+from cohortlane.llm.language_id import language_id
 from cohortlane.llm.line_dedup import line_dedup
 from cohortlane.llm.packing import pack_documents
 from cohortlane.llm.sharding import write_shards
@@ -55,6 +56,10 @@ def op6_prefix_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(documents(spark, folder))
 
 
+def op7_language_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id(documents(spark, folder))
+
+
 def op9_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     """The law is ``key``: document id and number of shards decide."""
     shards = write_shards(documents(spark, folder))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
     "op6_prefix_fingerprints": op6_prefix_fingerprints,
+    "op7_language_codes": op7_language_codes,
     "op9_external_shuffle": op9_external_shuffle,
     "op10_line_dedup": op10_line_dedup,
 }
