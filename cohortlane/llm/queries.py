@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlane.llm.bpe import bpe_round_trip
+from cohortlane.llm.context_tree import context_tree_scores
 from cohortlane.llm.exact_dedup import exact_groups
 from cohortlane.llm.fingerprints import fingerprints
 from cohortlane.llm.jaccard_join import jaccard_components
@@ -60,6 +61,10 @@ def op7_language_codes(spark: SparkSession, folder: str) -> DataFrame:
     return language_id(documents(spark, folder))
 
 
+def op8_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return context_tree_scores(documents(spark, folder))
+
+
 def op9_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     """The law is ``key``: document id and number of shards decide."""
     shards = write_shards(documents(spark, folder))
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_prefix_fingerprints": op6_prefix_fingerprints,
     "op7_language_codes": op7_language_codes,
+    "op8_context_tree": op8_context_tree,
     "op9_external_shuffle": op9_external_shuffle,
     "op10_line_dedup": op10_line_dedup,
 }
