@@ -62,7 +62,7 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log probability that the estimator gives all decisions made."""
     out = np.zeros(zeros.shape)
     met = (zeros + ones) > 0
-    a, b = zeros[met], ones[met]
+    a, b = zeros[met].astype(np.float64), ones[met].astype(np.float64)
     out[met] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
     return out
 
@@ -265,7 +265,7 @@ def learn(stats: DataFrame, depth: int, most: int) -> ContextTree:
             number = np.cumsum(held) - 1
             fit = held[rows]
             codes, n, rows, contexts = codes[fit], n[fit], number[rows[fit]], contexts[held]
-        counts = np.zeros((len(contexts), 256))
+        counts = np.zeros((len(contexts), 256), np.float32)
         counts[rows, codes & 255] = n
         levels.append(Level(contexts, counts))
         if d and not len(contexts):
