@@ -90,7 +90,10 @@ class Level:
 
 @dataclass
 class ContextTree:
-    """``logs``: a row of log10 probabilities per context of any depth; ``steps[d]``: from a context of depth d and a byte to one of depth d + 1."""
+    """``logs``: a row of log10 probabilities per context of any depth, from row ``offsets[d]`` on for depth d.
+
+    ``steps``: from a context and a byte to the context one byte longer, 0 if that is no node.
+    """
 
     depth: int
     logs: np.ndarray
@@ -133,7 +136,9 @@ class ContextTree:
             at = np.searchsorted(levels[d].contexts, longer >> 8)
             step[at + 1, longer & 255] = np.arange(1, len(longer) + 1)
             steps.append(step.ravel())
-        return cls(len(levels) - 1, np.concatenate(logs).ravel(), offsets, [first_step(levels[1]), *steps] if len(levels) > 1 else [])
+        if len(levels) > 1:
+            steps = [first_step(levels[1]), *steps]
+        return cls(max(1, len(levels) - 1), np.concatenate(logs).ravel(), offsets, steps)
 
     def scores(self, line: np.ndarray) -> np.ndarray:
         """Log10 probability of every byte but the first ``depth``, which are context only."""
@@ -145,7 +150,7 @@ class ContextTree:
             at = step[data] if d == 1 else np.concatenate([[0], step[at[:-1].astype(np.int32) * 256 + data[1:]]]).astype(np.int32)
             known = at[:-1]
             rows = np.where(known > 0, known.astype(np.int32) + np.int32(self.offsets[d] - 1), rows)
-        return self.logs[rows * 256 + data[1:]][self.depth - 1 :] if self.depth else self.logs[data[1:]]
+        return self.logs[rows * 256 + data[1:]][self.depth - 1 :]
 
 
 def first_step(level: Level) -> np.ndarray:

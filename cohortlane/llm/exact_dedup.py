@@ -8,13 +8,18 @@ the two are the same bytes exactly if all texts of the group are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.llm.frames import ascii_lower
 from cohortlane.session import written
 
 
+def content_hash(body: Column) -> Column:
+    """128 bits of the normalised text."""
+    return F.md5(body)
+
+
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max", normalise=ascii_lower) -> DataFrame:
     """``key``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` of every row.
 
@@ -25,7 +30,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", keep: s
     """
     best = F.max if keep == "max" else F.min
     plain = df.select(F.col(f"`{key}`").alias("id"), normalise(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("body"))
-    hashed = written(plain.select("id", F.md5("body").alias("hash"), F.sha2("body", 256).alias("text_sha256")), "hashed")
+    hashed = written(plain.select("id", content_hash(F.col("body")).alias("hash"), F.sha2("body", 256).alias("text_sha256")), "hashed")
     groups = hashed.groupBy("hash").agg(best("id").alias("keep_id"), F.count("*").alias("group_size"))
     several = written(groups.filter("group_size > 1").select("hash", "keep_id", "group_size"), "several")
     members = hashed.join(several, "hash", "left_semi")
@@ -33,7 +38,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", keep: s
     if collided.isEmpty():
         keyed = hashed.join(several, "hash", "left")
     else:  # the same hash with other bytes: there the text itself is the key
-        bodies = plain.withColumn("hash", F.md5("body")).join(collided, "hash", "left_semi")
+        bodies = plain.withColumn("hash", content_hash(F.col("body"))).join(collided, "hash", "left_semi")
         exact = bodies.groupBy("hash", "body").agg(best("id").alias("keep_id"), F.count("*").alias("group_size"))
         told = exact.select("hash", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size")
         sound = several.join(collided, "hash", "left_anti")
@@ -55,7 +60,7 @@ def colliding(plain: DataFrame, members: DataFrame) -> DataFrame:
     """Hashes of ``members`` under which not all texts are byte for byte the same."""
     asked = members.select(F.col("id").alias("asked"))
     bodies = plain.join(asked, plain["id"].eqNullSafe(asked["asked"]), "left_semi")
-    ends = bodies.groupBy(F.md5("body").alias("hash")).agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    ends = bodies.groupBy(content_hash(F.col("body")).alias("hash")).agg(F.min("body").alias("low"), F.max("body").alias("high"))
     return ends.filter("low <> high").select("hash")
 
 
