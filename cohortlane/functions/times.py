@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from cohortlane.functions.values import column, to_number, type_of
 
 MICROS_PER_DAY = 86_400_000_000
-TIME = "_time"
+#: Name of the time value while a frame is worked on; none that a table would have.
+TIME = "cohortlane time value"
 
 # Month names a date text may use.
 MONTHS = (
@@ -25,6 +26,14 @@ def micros(moment: Column) -> Column:
     return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A beginning that no column of ``df`` has, for columns that come and go."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def with_date_text(df: DataFrame, text: Column, out: str) -> DataFrame:
     """Add ``out``: a date text as timestamp, null when no form fits.
 
@@ -35,32 +44,33 @@ def with_date_text(df: DataFrame, text: Column, out: str) -> DataFrame:
     and the generated methods stay small enough for the JVM to compile.
     """
     months = F.create_map(*(F.lit(v) for i, m in enumerate(MONTHS, 1) for v in ((m, i) if m == "may" else (m, i, m[:3], i))))
+    own = own_prefix(df)
     trimmed = F.trim(text)
     named_month = trimmed.rlike("[A-Za-z]")
     swap = r"^(\d{1,2})[\s\-./,]*([A-Za-z]{3,9})[\s\-./,]*(\d{4}|\d{2})$"
-    steps = df.withColumn("_text", F.when(named_month, F.regexp_replace(trimmed, swap, "$2/$1/$3")).otherwise(trimmed))
-    steps = steps.withColumn("_month", F.when(named_month, F.lower(F.regexp_extract("_text", "^[A-Za-z]{3,9}", 0))))
+    steps = df.withColumn(own + "text", F.when(named_month, F.regexp_replace(trimmed, swap, "$2/$1/$3")).otherwise(trimmed))
+    steps = steps.withColumn(own + "month", F.when(named_month, F.lower(F.regexp_extract(own + "text", "^[A-Za-z]{3,9}", 0))))
     numbered = F.concat(
-        F.try_element_at(months, F.col("_month")).cast("string"), F.lit("/"), F.regexp_replace("_text", r"^[A-Za-z]+[\s\-./,]*", "")
+        F.try_element_at(months, F.col(own + "month")).cast("string"), F.lit("/"), F.regexp_replace(own + "text", r"^[A-Za-z]+[\s\-./,]*", "")
     )
-    steps = steps.withColumn("_text", F.when(F.col("_month").isNotNull(), numbered).otherwise(F.col("_text")))
-    parted = F.regexp_replace("_text", r"^(\d{4})(0[1-9]|1[0-2])(\d{2})$", "$1/$2/$3")
-    steps = steps.withColumn("_text", F.regexp_replace(parted, r"^(\d{2})(\d{2})(\d{4})$", "$1/$2/$3"))
+    steps = steps.withColumn(own + "text", F.when(F.col(own + "month").isNotNull(), numbered).otherwise(F.col(own + "text")))
+    parted = F.regexp_replace(own + "text", r"^(\d{4})(0[1-9]|1[0-2])(\d{2})$", "$1/$2/$3")
+    steps = steps.withColumn(own + "text", F.regexp_replace(parted, r"^(\d{2})(\d{2})(\d{4})$", "$1/$2/$3"))
     form = r"^(\d{1,2}:\d{1,2}|\d+([^0-9A-Za-z]+\d+){2}|\d+([^0-9A-Za-z]+\d+){4,5})$"
-    steps = steps.withColumn("_parts", F.when(F.col("_text").rlike(form), F.split("_text", "[^0-9]+")))
-    steps = steps.withColumns({"_size": F.size("_parts"), **{f"_p{i}": F.get("_parts", F.lit(i)) for i in range(6)}})
-    a, b, c, d, e, f = (F.col(f"_p{i}") for i in range(6))
-    clock_only = F.col("_size") == 2
-    leading_year = (F.col("_size") == 3) & (F.length(a) == 4)
+    steps = steps.withColumn(own + "parts", F.when(F.col(own + "text").rlike(form), F.split(own + "text", "[^0-9]+")))
+    steps = steps.withColumns({own + "size": F.size(own + "parts"), **{f"{own}p{i}": F.get(own + "parts", F.lit(i)) for i in range(6)}})
+    a, b, c, d, e, f = (F.col(f"{own}p{i}") for i in range(6))
+    clock_only = F.col(own + "size") == 2
+    leading_year = (F.col(own + "size") == 3) & (F.length(a) == 4)
     # Only a first number above 12 makes month/day fail where day/month can still fit.
-    day_first = (F.col("_size") == 3) & (F.length(a) == 2) & (a > "12")
+    day_first = (F.col(own + "size") == 3) & (F.length(a) == 2) & (a > "12")
     steps = steps.withColumns({
-        "_form": F.when(leading_year, "ymd").when(day_first, "dmy").when(clock_only, "clock").otherwise("mdy"),
-        "_year": F.when(F.length(c) == 2, F.concat(F.when(c < "69", "20").otherwise("19"), c)).when(F.length(c) == 4, c),
+        own + "form": F.when(leading_year, "ymd").when(day_first, "dmy").when(clock_only, "clock").otherwise("mdy"),
+        own + "year": F.when(F.length(c) == 2, F.concat(F.when(c < "69", "20").otherwise("19"), c)).when(F.length(c) == 4, c),
     })
-    chosen = F.col("_form")
+    chosen = F.col(own + "form")
     moment = F.concat(
-        F.when(chosen == "ymd", a).when(chosen == "clock", "0000").otherwise(F.col("_year")), F.lit("-"),
+        F.when(chosen == "ymd", a).when(chosen == "clock", "0000").otherwise(F.col(own + "year")), F.lit("-"),
         F.when(chosen == "mdy", a).when(chosen == "clock", "1").otherwise(b), F.lit("-"),
         F.when(chosen == "mdy", b).when(chosen == "ymd", c).when(chosen == "clock", "1").otherwise(a), F.lit(" "),
         F.concat_ws(
@@ -69,7 +79,7 @@ def with_date_text(df: DataFrame, text: Column, out: str) -> DataFrame:
         ),
     )
     steps = steps.withColumn(out, moment.try_cast("timestamp_ntz"))
-    return steps.drop("_text", "_month", "_parts", "_size", "_form", "_year", *(f"_p{i}" for i in range(6)))
+    return steps.drop(own + "text", own + "month", own + "parts", own + "size", own + "form", own + "year", *(f"{own}p{i}" for i in range(6)))
 
 
 def typed_time_kind(kind: T.DataType) -> str | None:
@@ -98,8 +108,9 @@ def with_time_value(df: DataFrame, name: str, time_kind: str, out: str = TIME) -
         return df.withColumn(out, F.unix_date(value).cast("bigint") * MICROS_PER_DAY)
     if isinstance(kind, T.TimestampNTZType):
         return df.withColumn(out, micros(value))
-    parsed = with_date_text(df, value.cast("string"), "_moment")
-    return parsed.withColumn(out, micros(F.col("_moment"))).drop("_moment")
+    moment = own_prefix(df) + "moment"
+    parsed = with_date_text(df, value.cast("string"), moment)
+    return parsed.withColumn(out, micros(F.col(moment))).drop(moment)
 
 
 def elapsed(value: Column, start: Column, time_kind: str) -> Column:

@@ -27,9 +27,8 @@ class QuartileCuts:
     n_distinct: int
     cuts: tuple[float, ...]
 
-    @property
-    def usable(self) -> bool:
-        return self.n_distinct > MANY_VALUES and len(self.cuts) >= 3
+    def usable(self, many: int = MANY_VALUES) -> bool:
+        return self.n_distinct > many and len(self.cuts) >= 3
 
     @property
     def labels(self) -> tuple[str, ...]:
@@ -111,16 +110,16 @@ def bin_number(value: Column, cuts: QuartileCuts) -> Column:
     return number.otherwise(len(cuts.cuts) - 1)
 
 
-def quartile_bins(df: DataFrame, name: str, cuts: QuartileCuts | None = None) -> DataFrame:
+def quartile_bins(df: DataFrame, name: str, cuts: QuartileCuts | None = None, many: int = MANY_VALUES) -> DataFrame:
     """Add ``<name>_quartile``, with the bin label, or the value as text when not binned.
 
-    A numeric column is binned when it has more than 15 distinct values and at least three
+    A numeric column is binned when it has more than ``many`` distinct values and at least three
     distinct cut points. Adds ``<name>_bin`` with the bin number, null when not binned.
     """
     label, number = as_text(df, name), F.lit(None).cast("int")
     if isinstance(type_of(df, name), T.NumericType):
         cuts = cuts or quartile_cuts(df, name)
-        if cuts.usable:
+        if cuts.usable(many):
             number = bin_number(column(df, name).cast("double"), cuts)
             texts = F.array(*(F.lit(t) for t in cuts.labels))
             label = F.when(number.isNotNull(), F.element_at(texts, number))

@@ -51,11 +51,11 @@ def subject_group_flags(df: DataFrame, spec: StudySpec, group: str) -> DataFrame
         *(is_available(df, m).alias(f"on_{i}") for i, m in enumerate(spec.modalities)),
     ).filter(_any_flag(n))
     direct = written(rows.groupBy("subject", "Group").agg(*_flags_up(n)), "direct")
-    several = direct.groupBy("subject").agg(F.count("*").alias("groups")).filter("groups > 1").select("subject")
+    several = direct.groupBy("subject").agg(F.count("*").alias("groups")).filter("groups > 1").select(F.col("subject").alias("mixed"))
     if several.isEmpty():
         return direct
     # Unknown times of a subject count as one time.
-    met = rows.join(several, "subject", "left_semi").withColumns({"timed": F.col("time").isNotNull(), "time": F.coalesce("time", F.lit(0))})
+    met = rows.join(several, rows["subject"].eqNullSafe(several["mixed"]), "left_semi").withColumns({"timed": F.col("time").isNotNull(), "time": F.coalesce("time", F.lit(0))})
     at = ["subject", "time", "timed"]
     meetings = written(met.groupBy(*at, "Group").agg(*_flags_up(n)), "meetings")
     seen = written(meetings.groupBy(*at).agg(*_flags_up(n), F.count("*").alias("n_groups")), "seen")

@@ -51,10 +51,10 @@ cells AS ({cells("study", "sample_id, o_orderkey, subject, time, segment, o_orde
 
 EVENTS = """
 daily AS (
-  SELECT user_id, CAST(day(ts) AS INTEGER) AS day, """ + ", ".join(
+  SELECT user_id, CAST(date_diff('day', first_day, CAST(ts AS DATE)) AS INTEGER) AS day, """ + ", ".join(
     f"bool_or(event_type = '{e}') AS \"{e}\"" for e in EVENT_TYPES
 ) + """
-  FROM events GROUP BY user_id, day(ts)
+  FROM events, (SELECT CAST(min(ts) AS DATE) AS first_day FROM events) GROUP BY user_id, date_diff('day', first_day, CAST(ts AS DATE))
 ),
 study AS (
   SELECT user_id || '-' || day AS sample_id, CAST(user_id AS VARCHAR) AS subject, CAST(day AS DOUBLE) AS time, * FROM daily
@@ -333,6 +333,11 @@ SELECT (SELECT count(DISTINCT subject) FROM cells) AS subjects_with_data, (SELEC
     "subject_rank_by_points_orders": f"WITH {ORDER_CELLS} {BY_POINTS}",
     "subject_rank_by_points_events": f"WITH {EVENT_CELLS} {BY_POINTS}",
     "days_since_start_typed": f"WITH {ORDERS} SELECT sample_id, subject, round(time, 6) AS time FROM study",
+    "days_since_start_null_subjects": """WITH study AS (
+  SELECT o_orderkey, o_orderdate, CASE WHEN o_custkey % 13 <> 0 THEN o_custkey END AS subject FROM orders
+)
+SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, CAST(subject AS VARCHAR) AS subject,
+  round((epoch_us(o_orderdate) - min(epoch_us(o_orderdate)) OVER (PARTITION BY subject)) / 86400000000.0, 6) AS time FROM study""",
     "days_since_start_text": f"""WITH {TEXT_TIMES}
 SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, CAST(o_custkey AS VARCHAR) AS subject, visit AS time_raw,
   round((epoch_us(moment) - min(epoch_us(moment)) OVER (PARTITION BY o_custkey)) / 86400000000.0, 6) AS time FROM parsed""",
@@ -366,6 +371,13 @@ SELECT "primary", secondary, count(*) AS n_subjects FROM pairs GROUP BY ALL""",
     "subject_order_primary_secondary": f"WITH {ORDERS}, {pairs('segment', 'n_name')} {ordered(True)} SELECT * FROM ranked",
     "subject_order_secondary": f"""WITH {ORDERS},
 pairs AS (SELECT subject, {none_label('value')} AS "primary" FROM {firsts('n_name')}) {ordered(False)}
+SELECT subject, "primary" AS secondary, subject_rank FROM ranked""",
+    "subject_order_numeric_secondary": f'WITH {TIMELINE} SELECT subject, "primary", secondary, subject_rank FROM ranked',
+    "subject_order_numeric_secondary_only": f"""WITH {ORDERS}, {cuts("study", "c_acctbal")} {BINS},
+balance AS (SELECT subject, value FROM {firsts("c_acctbal")}),
+pairs AS (
+  SELECT subject, coalesce((SELECT label FROM bins WHERE {IN_BIN.format("value")}), 'None') AS "primary" FROM balance
+) {ordered(False)}
 SELECT subject, "primary" AS secondary, subject_rank FROM ranked""",
     "quartile_cuts": f"""WITH {cuts('customer', 'c_acctbal')}
 SELECT CAST(cut_no AS INTEGER) AS cut_no, round(cut, 6) AS cut, (SELECT count(DISTINCT c_acctbal) FROM customer) AS n_distinct FROM cuts""",
@@ -400,7 +412,7 @@ SELECT sample_id, subject, time, color_group, point_group, subject_rank, modalit
 UNION ALL
 SELECT NULL, d.subject, round(strip_x - 2 * strip_width, 6), color_group, point_group, subject_rank, modality, 'Anchor', NULL, NULL
 FROM dims d, place WHERE EXISTS (SELECT 1 FROM cells c WHERE c.subject = d.subject)""",
-    "timeline_facet": f"WITH {TIMELINE} SELECT * EXCLUDE (tooltip) FROM ({TIMELINE_POINTS}) WHERE modality = 'ret_N'",
+    "timeline_facet": f"WITH {TIMELINE} SELECT * FROM ({TIMELINE_POINTS}) WHERE modality = 'ret_N'",
     "timeline_axis_labels": f"WITH {TIMELINE} SELECT subject, color_group, subject_rank FROM dims",
     "timeline_modality_levels": f"""WITH {ORDER_CELLS}
 SELECT modality, CAST(dense_rank() OVER (ORDER BY modality) AS INTEGER) AS modality_index FROM (SELECT DISTINCT modality FROM cells)""",

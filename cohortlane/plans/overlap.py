@@ -80,4 +80,4 @@ class Overlap:
         ))
 
     def limits(self) -> DataFrame:
-        return time_limits(self.subjects, self.spec)
+        return time_limits(subject_profile(self.df, self.spec), self.spec)

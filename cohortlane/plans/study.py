@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from cohortlane.functions.values import named
 from cohortlane.operators import aggregates, contingency, covariates, ranking, reshape, search, timing
+from cohortlane.operators.binning import MANY_VALUES, quartile_bins
 from cohortlane.operators.constraints import KeyViolation, check_key
 from cohortlane.plans.overlap import Overlap
 from cohortlane.plans.timeline import Timeline
@@ -50,17 +51,20 @@ class Study:
     def contingency(self, group: str) -> DataFrame:
         return contingency.contingency(self.df, self.spec, group)
 
-    def subject_order(self, primary: str | None = None, secondary: str | None = None) -> DataFrame:
+    def subject_order(self, primary: str | None = None, secondary: str | None = None, many: int = MANY_VALUES) -> DataFrame:
+        """The ranks that the timeline has: a numeric secondary goes by its quartile bins."""
+        if secondary:
+            binned, bins = quartile_bins(self.df, secondary, many=many), f"{secondary}_quartile"
         if primary and secondary:
-            return ranking.subject_order_primary_secondary(self.df, self.spec, primary, secondary)
+            return ranking.subject_order_primary_secondary(binned, self.spec, primary, bins)
         if primary:
             return ranking.subject_order_primary(self.df, self.spec, primary)
         if secondary:
-            return ranking.subject_order_secondary(self.df, self.spec, secondary)
+            return ranking.subject_order_secondary(binned, self.spec, bins)
         return ranking.subject_order_by_points(self.df, self.spec)
 
-    def timeline(self, primary: str | None = None, secondary: str | None = None) -> Timeline:
-        return Timeline(self.df, self.spec, primary, secondary)
+    def timeline(self, primary: str | None = None, secondary: str | None = None, many: int = MANY_VALUES) -> Timeline:
+        return Timeline(self.df, self.spec, primary, secondary, many)
 
     def overlap(self) -> Overlap:
         return Overlap(self.df, self.spec)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from cohortlane.functions.times import TIME, elapsed, with_time_value
 from cohortlane.functions.values import as_text, column, none_label, number_text
 from cohortlane.operators.aggregates import strip_geometry
 from cohortlane.operators.attach import attach
-from cohortlane.operators.binning import quartile_bins
+from cohortlane.operators.binning import MANY_VALUES, quartile_bins
 from cohortlane.operators.covariates import with_first_label
 from cohortlane.operators.profile import per_modality, points, roll_up, subject_profile
 from cohortlane.operators.ranking import dense_order, place_order, subject_places
@@ -29,13 +30,13 @@ class Timeline:
     samples, joined with one table of subject facts.
     """
 
-    def __init__(self, df: DataFrame, spec: StudySpec, primary: str | None = None, secondary: str | None = None):
+    def __init__(self, df: DataFrame, spec: StudySpec, primary: str | None = None, secondary: str | None = None, many: int = MANY_VALUES):
         self.spec = settle_time_kind(df, spec.on(df))
         if not self.spec.modalities:
             raise ValueError("none of the modalities is a column of the sample table")
         self.primary, self.secondary = primary, secondary
         if secondary is not None:
-            df = quartile_bins(df, secondary)
+            df = quartile_bins(df, secondary, many=many)
             self._secondary_column = f"{secondary}_quartile"
         self.df = df
 
@@ -49,6 +50,12 @@ class Timeline:
             firsts["point"] = as_text(self.df, self._secondary_column)
         return written(subject_profile(self.df, self.spec, by, firsts), "timeline")
 
+    def _measures(self) -> DataFrame:
+        """One row per subject without its rank, for what needs no order."""
+        firsts = [name for name, used in (("color", self.primary), ("point", self.secondary)) if used is not None]
+        measures = roll_up(self.folded, self.spec, firsts)
+        return measures.withColumn("subject_text", as_text(measures, "subject"))
+
     @cached_property
     def subjects(self) -> DataFrame:
         """One row per subject: measures, ``color_group``, ``point_group``, ``subject_rank``."""
@@ -66,7 +73,8 @@ class Timeline:
         if self.primary is None and self.secondary is None:
             return dense_order(facts.filter("n_points > 0"), [F.desc("n_points"), name], "subject_rank")
         both = self.primary is not None and self.secondary is not None
-        placed = facts.join(subject_places(self._pairs(), both), "subject")
+        places = subject_places(self._pairs(), both).withColumnRenamed("subject", "placed_subject")
+        placed = facts.join(places, facts["subject"].eqNullSafe(places["placed_subject"])).drop("placed_subject")
         return dense_order(placed, [*place_order(both), name], "subject_rank").drop("place")
 
     def _pairs(self) -> DataFrame:
@@ -83,7 +91,7 @@ class Timeline:
     @cached_property
     def geometry(self) -> DataFrame:
         """One row: first modality, strip and anchor positions."""
-        return written(strip_geometry(self.subjects, self.spec), "strip")
+        return written(strip_geometry(self._measures(), self.spec), "strip")
 
     def _tooltip(self, subject: Column, time: Column, modality: Column, color: Column) -> Column:
         def told(value):
@@ -95,9 +103,11 @@ class Timeline:
             parts += [F.lit("<br>"), F.lit(self.primary), F.lit(":"), told(color)]
         return F.concat_ws(" ", *parts)
 
-    def points(self) -> DataFrame:
-        """One row per available cell with its groups, rank and tooltip."""
+    def points(self, modality: str | None = None) -> DataFrame:
+        """One row per available cell, of one modality or of all, with its groups, rank and tooltip."""
         df, spec = self.df, self.spec
+        if modality is not None:
+            spec = replace(spec, modalities=tuple(m for m in spec.modalities if m == modality))
         rows = with_time_value(df, spec.time, spec.time_kind).select(
             column(df, spec.subject).alias("subject"),
             as_text(df, spec.sample).alias("sample_id"),
@@ -153,8 +163,10 @@ class Timeline:
 
     def facet(self, modality: str, anchors: bool = False) -> DataFrame:
         """One modality only."""
-        chosen = self.anchored() if anchors else self.points()
-        return chosen.filter(F.col("modality") == modality)
+        cells = self.points(modality)
+        if not anchors:
+            return cells
+        return cells.unionByName(self.anchors().filter(F.col("modality") == modality), allowMissingColumns=True)
 
     def axis_labels(self) -> DataFrame:
         """The strip group of each subject in display order."""
@@ -162,7 +174,7 @@ class Timeline:
 
     def modality_levels(self) -> DataFrame:
         """Modalities with data by name; at most as many as the study names."""
-        held = per_modality(self.subjects, self.spec).select("modality").distinct()
+        held = per_modality(self._measures(), self.spec).select("modality").distinct()
         return held.withColumn("modality_index", F.dense_rank().over(Window.partitionBy().orderBy("modality")))
 
 

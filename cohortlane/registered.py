@@ -15,6 +15,7 @@ from cohortlane.functions.values import as_text, legacy_label
 from cohortlane.operators import aggregates, binning, contingency, covariates, ranking, reshape, search, timing
 from cohortlane.operators.constraints import key_violations
 from cohortlane.plans.overlap import Overlap
+from cohortlane.plans.study import Study
 from cohortlane.plans.timeline import Timeline, ranges_with_points
 from cohortlane.session import shared_folder, written
 from cohortlane.sources import datasets, delimited
@@ -174,6 +175,13 @@ def days_since_start_typed(spark, folder):
     return rounded(timing.days_since_start(orders, StudySpec(spec.sample, spec.subject, spec.time, ())), "time").drop("time_raw")
 
 
+@query
+def days_since_start_null_subjects(spark, folder):
+    orders = table(spark, folder, "orders")
+    orders = orders.withColumn("o_custkey", F.when(F.col("o_custkey") % 13 != 0, F.col("o_custkey")))
+    return rounded(timing.days_since_start(orders, StudySpec("o_orderkey", "o_custkey", "o_orderdate", ())), "time").drop("time_raw")
+
+
 @query
 def days_since_start_text(spark, folder):
     return rounded(timing.days_since_start(*text_times(spark, folder)), "time")
@@ -288,6 +296,16 @@ def subject_order_secondary(spark, folder):
     return ranking.subject_order_secondary(*orders_study(spark, folder, nation=True), "n_name")
 
 
+@query
+def subject_order_numeric_secondary(spark, folder):
+    return Study(*orders_study(spark, folder, customer=True)).subject_order("segment", "c_acctbal")
+
+
+@query
+def subject_order_numeric_secondary_only(spark, folder):
+    return Study(*orders_study(spark, folder, customer=True)).subject_order(secondary="c_acctbal")
+
+
 # Bins
 
 
@@ -361,7 +379,7 @@ def timeline_anchored(spark, folder):
 
 @query
 def timeline_facet(spark, folder):
-    return rounded(orders_timeline(spark, folder).facet("ret_N"), "time").drop("tooltip")
+    return rounded(orders_timeline(spark, folder).facet("ret_N"), "time")
 
 
 @query

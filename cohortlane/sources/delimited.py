@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlane.functions.text import file_base_name, likely_delimiter, simple_delimiter, trim_blank
+from cohortlane.functions.text import likely_delimiter, simple_delimiter, trim_blank
+from cohortlane.functions.values import named
+from cohortlane.session import written
 
 # Separators by extension; text files are looked into.
 SEPARATORS = {"csv": ",", "tsv": "\t", "txt": None}
@@ -55,15 +57,52 @@ def read_delimited(spark: SparkSession, path: str, extension: str | None = None,
         return read(path, SEPARATORS[extension])
     by_delimiter = sniff_delimiters(spark, path).groupBy("delimiter").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     # The file list passes the driver, as it does for any file scan.
-    parts = [read(row["paths"], row["delimiter"]) for row in by_delimiter.orderBy("delimiter").collect()]
+    kinds = [(row["paths"], row["delimiter"]) for row in by_delimiter.orderBy("delimiter").collect()]
+    parts = [read(*kind) for kind in kinds]
+    if schema is None:
+        shared = common_types([part.schema for part in parts])
+        parts = [
+            part.select(*(named(f.name).cast(shared[f.name]).alias(f.name) for f in part.schema)) if all(
+                f.dataType == shared[f.name] or not isinstance(shared[f.name], T.StringType) for f in part.schema
+            ) else as_read(spark, paths, delimiter, part.schema, shared)
+            for part, (paths, delimiter) in zip(parts, kinds)
+        ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def common_types(schemas: list[T.StructType]) -> dict[str, T.DataType]:
+    """One type per column name: the type all have, double for numbers of several kinds, else text."""
+    found: dict[str, T.DataType] = {}
+    for f in (f for schema in schemas for f in schema):
+        before = found.setdefault(f.name, f.dataType)
+        if before != f.dataType:
+            numbers = all(isinstance(t, T.NumericType) for t in (before, f.dataType))
+            found[f.name] = T.DoubleType() if numbers else T.StringType()
+    return found
+
+
+def as_read(spark: SparkSession, paths: list[str], separator: str, schema: T.StructType, shared: dict[str, T.DataType]) -> DataFrame:
+    """The files once more, with the common types, so that texts stay as they are written."""
+    typed = T.StructType([T.StructField(f.name, shared[f.name]) for f in schema])
+    return spark.read.option("header", True).option("sep", separator).option("nullValue", "NA").schema(typed).csv(paths)
+
+
 def safe_preview(spark: SparkSession, path: str, rows: int = 5, columns: int | None = None) -> DataFrame:
-    """The first rows of a file as read, or one row with the error."""
+    """The first rows of a file, or one row with the error.
+
+    No more is read than the lines shown, and types are inferred from them alone. The lines
+    pass the driver, where an error of any kind is met.
+    """
     try:
-        df = read_delimited(spark, path)
-        return df.select(*(F.col(f"`{c}`") for c in df.columns[:columns])).limit(rows)
+        extension = os.path.splitext(path)[1].lstrip(".").lower()
+        if extension not in SEPARATORS:
+            raise ValueError(f"unsupported file type: {extension}")
+        lines = [row["value"] for row in spark.read.text(path).limit(rows + 1).collect()]
+        first = spark.createDataFrame([(lines[0] if lines else "",)], "line string")
+        separator = SEPARATORS[extension] or first.select(likely_delimiter(F.col("line"))).first()[0]
+        reader = spark.read.option("header", True).option("sep", separator).option("nullValue", "NA").option("inferSchema", True)
+        shown = reader.csv(spark.sparkContext.parallelize(lines, 1))
+        return shown.select(*(named(c) for c in shown.columns[:columns]))
     except Exception as error:
         return spark.createDataFrame([(str(error).splitlines()[0],)], "error string")
 
@@ -78,7 +117,8 @@ def read_names(spark: SparkSession, path: str, skip_header: bool = False) -> Dat
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value"
     )
     if skip_header:
-        numbered = lines.withColumn("line_no", F.monotonically_increasing_id())
+        # Written, since the numbers would differ in a second evaluation.
+        numbered = written(lines.withColumn("line_no", F.monotonically_increasing_id()), "names")
         heads = numbered.filter("at = 0").groupBy("path").agg(F.min("line_no").alias("line_no"))
         lines = numbered.join(heads, ["path", "line_no"], "left_anti")
     return flatten_names(lines.select("value"))
@@ -89,7 +129,3 @@ def flatten_names(table: DataFrame) -> DataFrame:
     cells = F.array(*(F.col(f"`{c}`").cast("string") for c in table.columns))
     return table.select(F.explode(cells).alias("name")).select(trim_blank(F.col("name")).alias("name")).filter("name <> ''")
 
-
-def with_dataset_name(df: DataFrame) -> DataFrame:
-    """Add ``dataset``, the base name of the file a row was read from."""
-    return df.withColumn("dataset", file_base_name(F.col("_metadata.file_name")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,40 +25,62 @@ def append_new_files(stream: DataFrame, key: str, target: str, rejected: str, ch
 
     A file is skipped when its name was taken already, and of equal names in one batch the
     smallest path is kept. Rows are refused when their key is null, repeated in the batch or
-    stored already. Every batch has a folder of its own, so a batch that is run again after
-    a failure replaces what it wrote.
+    stored already. What is stored decides, not the checkpoint: with a fresh checkpoint the
+    target is appended to. Every batch of a checkpoint has a folder of its own, so a batch that
+    is run again after a failure replaces what it wrote itself and nothing else. Taken names
+    stand in a small table beside the target, ``<target>_files``.
     """
     schema = stream.schema
+    names = f"{target.rstrip('/')}_files"
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = _read_before(spark, target, schema, batch_id)
-        seen = stored.unionByName(_read_before(spark, rejected, schema, batch_id))
+        run = _run_of(spark, checkpoint)
+        own = f"run={run}/batch={batch_id}"
+        taken = _stored(spark, names, T.StructType([schema["file_name"]]), run, batch_id)
         fresh = batch.groupBy("file_name").agg(F.min("file_path").alias("file_path"))
-        kept = fresh.join(seen.select("file_name").distinct(), "file_name", "left_anti")
+        kept = fresh.join(taken.select("file_name").distinct(), "file_name", "left_anti").persist()
         rows = batch.join(kept, ["file_name", "file_path"], "left_semi")
-        repeated = key_violations(rows, key).select(named(key).alias("_key"))
-        known = stored.select(named(key).alias("_key"))
-        refused_keys = repeated.unionByName(known).filter("_key IS NOT NULL").distinct().withColumn("_refused", F.lit(True))
+        repeated = key_violations(rows, key).select(named(key).alias("refused_key"))
+        asked = rows.select(named(key).alias("refused_key")).filter("refused_key IS NOT NULL").distinct()
+        known = _stored(spark, target, schema, run, batch_id).select(named(key).alias("refused_key"))
+        refused_keys = repeated.unionByName(known.join(asked, "refused_key", "left_semi")).filter("refused_key IS NOT NULL").distinct()
         # Rows without a key need no join; together they would all meet in one task.
-        keyed = rows.filter(named(key).isNotNull())
-        marked = keyed.join(refused_keys, keyed[key] == F.col("_key"), "left").drop("_key")
-        marked = marked.unionByName(rows.filter(named(key).isNull()).withColumn("_refused", F.lit(True))).persist()
-        refused = F.coalesce("_refused", F.lit(False))
+        marked = rows.filter(named(key).isNotNull()).select(F.struct("*").alias("row"), named(key).alias("row_key"))
+        marked = marked.join(refused_keys, F.col("row_key") == F.col("refused_key"), "left")
+        unkeyed = rows.filter(named(key).isNull()).select(F.struct("*").alias("row"), F.lit(True).alias("refused"))
+        told = marked.select("row", F.col("refused_key").isNotNull().alias("refused")).unionByName(unkeyed).persist()
         try:
-            for keep, folder in ((~refused, target), (refused, rejected)):
-                marked.filter(keep).drop("_refused").write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+            for wanted, folder in (("NOT refused", target), ("refused", rejected)):
+                told.filter(wanted).select("row.*").write.mode("overwrite").parquet(f"{folder}/{own}")
+            kept.select("file_name").write.mode("overwrite").parquet(f"{names}/{own}")
         finally:
-            marked.unpersist()
+            told.unpersist()
+            kept.unpersist()
 
     return (
         stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def _read_before(spark: SparkSession, target: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """What earlier batches stored."""
-    if batch_id == 0:
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lives and dies with the checkpoint: kept inside it, made when it is not there."""
+    place = f"{checkpoint.rstrip('/')}/run_name"
+    try:
+        return spark.read.schema("name string").parquet(place).first()["name"]
+    except (AnalysisException, TypeError):  # no such folder, or a write that was cut off
+        spark.createDataFrame([(uuid.uuid4().hex,)], "name string").write.mode("overwrite").parquet(place)
+        return spark.read.schema("name string").parquet(place).first()["name"]
+
+
+def _stored(spark: SparkSession, folder: str, schema: T.StructType, run: str, batch_id: int) -> DataFrame:
+    """What is stored in ``folder``, but for what this very batch wrote before it failed."""
+    wanted = T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
+    try:
+        stored = spark.read.schema(wanted).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    wanted = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(wanted).parquet(target).filter(F.col("batch") < batch_id).drop("batch")
+    this = (F.coalesce("run", F.lit("")) == run) & (F.coalesce("batch", F.lit(-1)) == batch_id)
+    return stored.filter(~this).drop("run", "batch")

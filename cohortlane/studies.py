@@ -42,9 +42,10 @@ def orders_study(spark: SparkSession, folder: str, customer: bool = False, natio
 
 
 def events_study(spark: SparkSession, folder: str) -> tuple[DataFrame, StudySpec]:
-    """One sample per user and day, a boolean per event type."""
+    """One sample per user and day since the first one, a boolean per event type."""
     events = table(spark, folder, "events")
-    daily = events.groupBy("user_id", F.day("ts").alias("day")).agg(
+    first = events.agg(F.to_date(F.min("ts"))).scalar()
+    daily = events.groupBy("user_id", F.datediff(F.to_date("ts"), first).alias("day")).agg(
         *(F.max(F.col("event_type") == e).alias(e) for e in EVENT_TYPES)
     )
     df = daily.withColumn("sample", F.concat_ws("-", "user_id", "day"))

@@ -306,7 +306,7 @@ def test_ties_without_three_cuts_stay_raw(spark):
 def test_labels_get_more_digits_when_needed():
     assert binning.QuartileCuts(99, (10000.1, 10000.4, 10000.9)).labels == ("[10000.1,10000.4)", "[10000.4,10000.9]")
     assert binning.QuartileCuts(99, (1.0, 2.5, 1000.0)).labels == ("[1,2.5)", "[2.5,1000]")
-    assert binning.QuartileCuts(0, ()).usable is False
+    assert binning.QuartileCuts(0, ()).usable() is False
 
 
 def test_scale_kinds(spark):
@@ -451,3 +451,30 @@ def test_a_subject_with_most_samples(spark, share):
     by_hand = long.groupBy("subject", "modality").agg(F.min("time"), F.max("time")).collect()
     assert ranges == {(r[0], r[1]): (r[2], r[3]) for r in by_hand}
     assert Timeline(df, SPEC, "grp", "grp").points().count() == long.count()
+
+
+def test_null_subjects_are_one_subject(spark):
+    """Null subjects get times, ranks and shared groups like any other subject."""
+    df = spark.createDataFrame(
+        [("s1", None, 1, "A", "Yes"), ("s2", None, 1, "B", "Yes"), ("s3", "x", 2, "A", "Yes"), ("s4", None, 4, "A", "No")],
+        "sample string, id string, week int, grp string, Mic string",
+    ).withColumn("week", F.expr("date '2024-01-01' + week"))
+    spec = StudySpec("sample", "id", "week", ("Mic",))
+    times = {r["sample_id"]: r["time"] for r in timing.days_since_start(df, spec).collect()}
+    assert times == {"s1": 0.0, "s2": 0.0, "s3": 0.0, "s4": 3.0}
+    counts = {r["Group"]: r["Mic"] for r in contingency.contingency(df, spec, "grp").collect()}
+    assert counts == {"A": 2, "B": 1, "Total": 3}
+    line = Timeline(df, spec, "grp")
+    assert {r["sample_id"]: r["subject_rank"] is None for r in line.points().collect()} == {"s1": False, "s2": False, "s3": False}
+    assert line.axis_labels().count() == 2 and line.segments().count() == 2
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    df = spark.createDataFrame(
+        [("s1", "x", "2024-01-01", "y", "z", "w", "Yes"), ("s2", "x", "2024-01-03", "y", "z", "w", "Yes")],
+        "sample string, id string, week string, _year string, _time string, _slice string, Mic string",
+    )
+    long = reshape.long_availability(df, StudySpec("sample", "id", "week", ("Mic",)), ["_year", "_time", "_slice"])
+    assert sorted((r["sample_id"], r["time"], r["_year"], r["_time"], r["_slice"]) for r in long.collect()) == [
+        ("s1", 0.0, "y", "z", "w"), ("s2", 2.0, "y", "z", "w")
+    ]

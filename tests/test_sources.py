@@ -147,3 +147,29 @@ def test_running_ranges(spark, tmp_path):
 def test_streams_need_a_time_kind(spark):
     with pytest.raises(ValueError):
         running.running_ranges(spark.createDataFrame([], SAMPLES), StudySpec("sample", "id", "week", ("Mic",)))
+
+
+def test_a_fresh_checkpoint_appends(spark, tmp_path):
+    """What is stored decides which files and keys are new, whatever the checkpoint says."""
+    inbox, target, rejected = tmp_path / "inbox", str(tmp_path / "target"), str(tmp_path / "rejected")
+    head = "k.id,v\n"
+
+    def run(marks):
+        stream = ingest.sample_file_stream(spark, f"{inbox}/*", "`k.id` string, v string")
+        ingest.append_new_files(stream, "k.id", target, rejected, str(tmp_path / marks)).awaitTermination()
+        return sorted((r[0], r[1]) for r in spark.read.parquet(target).select("`k.id`", "v").collect())
+
+    inbox.mkdir()
+    put(inbox / "d1", one__csv=head + "1,a\n2,b\n")
+    assert run("first") == [("1", "a"), ("2", "b")]
+    put(inbox / "d2", two__csv=head + "2,zz\n3,c\n")
+    assert run("second") == [("1", "a"), ("2", "b"), ("3", "c")]  # the first file's name is taken
+    assert run("first") == [("1", "a"), ("2", "b"), ("3", "c")]
+    assert [tuple(r) for r in spark.read.parquet(rejected).select("`k.id`", "v").collect()] == [("2", "zz")]
+
+
+def test_mixed_types_by_delimiter(spark, tmp_path):
+    folder = put(tmp_path / "x", a__txt="k,v,n\n01,1,1\n", b__txt="k;v;n\nb;word;2.5\n")
+    df = delimited.read_delimited(spark, folder, "txt")
+    assert dict(df.dtypes) == {"k": "string", "v": "string", "n": "double"}
+    assert rows(df.select("k", "v", "n")) == [("01", "1", 1.0), ("b", "word", 2.5)]
