@@ -465,7 +465,9 @@ WHERE name NOT IN (SELECT n.name FROM named n JOIN labels l ON n.doc_id = l.doc_
   FROM (SELECT unnest(['house', '00', '4']) AS word))""",
     "csv_roundtrip": "SELECT * FROM customer",
     "stored_dataset": "SELECT * FROM orders",
-    "feature_matrix_files": """SELECT CAST(vec_id AS VARCHAR) AS sample_id, 'f' || (place - 1) AS feature,
+    "matrix_key_violations": """SELECT 'documents' AS dataset, lpad(CAST(n_chars AS VARCHAR), 6, '0') AS sample_id
+FROM documents GROUP BY 2 HAVING count(*) > 1""",
+    "feature_matrix_files": """SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') AS sample_id, 'f' || (place - 1) AS feature,
   round(CAST(embedding[place] AS DOUBLE), 6) AS value
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings)""",
     "streamed_files": "SELECT * FROM customer",

@@ -515,10 +515,21 @@ def stored_dataset(spark, folder):
 def feature_matrix_files(spark, folder):
     vectors = table(spark, folder, "embeddings")
     width = vectors.select(F.max(F.size("embedding"))).first()[0]
-    wide = vectors.select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(width)))
+    sample = F.lpad(F.col("vec_id").cast("string"), 8, "0").alias("Sample, ID")
+    wide = vectors.select(sample, *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(width)))
     path = f"{shared_folder(spark)}/cohortlane/matrix-{uuid.uuid4().hex}"
     datasets.export_csv(wide, path)
-    return rounded(datasets.read_matrices(spark, path).select("sample_id", "feature", "value"), "value")
+    return rounded(datasets.read_matrices(spark, path, check=False).select("sample_id", "feature", "value"), "value")
+
+
+@query
+def matrix_key_violations(spark, folder):
+    """Documents as a matrix whose sample key is the number of characters."""
+    documents = table(spark, folder, "documents").select(F.lpad(F.col("n_chars").cast("string"), 6, "0").alias("sample"), F.col("doc_id").alias("f0"))
+    path = f"{shared_folder(spark)}/cohortlane/matrix-{uuid.uuid4().hex}"
+    datasets.export_csv(documents, path)
+    rows = datasets.matrix_rows(spark, path).withColumn("dataset", F.lit("documents"))
+    return datasets.matrix_key_violations(rows)
 
 
 @query

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlane.functions.names import syntactic_name
 from cohortlane.functions.text import file_base_name, file_extension
-from cohortlane.functions.values import named
+from cohortlane.functions.values import named, to_number
 from cohortlane.operators.constraints import check_key, key_violations
 from cohortlane.session import written
 from cohortlane.sources.delimited import SEPARATORS, first_lines
@@ -15,38 +15,51 @@ from cohortlane.sources.delimited import SEPARATORS, first_lines
 LONG_KEY = ["dataset", "sample_id", "feature"]
 
 
-def read_matrices(spark: SparkSession, paths: str | list[str], sep: str = ",", sample_column: str | None = None) -> DataFrame:
-    """Files with samples in rows and features in columns, in long form.
+def matrix_rows(spark: SparkSession, paths: str | list[str], sep: str = ",", sample_column: str | None = None) -> DataFrame:
+    """Rows of files with samples in rows and features in columns.
 
-    One scan reads all files, whatever features each of them has, since every row arrives as
-    one variant keyed by its own header. Result: ``dataset``, ``sample_id``, ``feature``,
-    ``value`` (null where not a number) and ``value_text``. The sample column is the first of
-    each file unless named.
+    Result: ``dataset``, ``sample_id``, ``features`` and ``cells``, the last two side by side.
+    Everything stays text, so ids are as written. Each file's header is read as csv; quoted
+    fields may hold separators, but no field may hold a line break. The sample column is the
+    first of each file unless named.
     """
-    # The locale is one in which a comma inside a number is not a grouping mark.
-    reader = spark.read.format("csv").option("header", True).option("sep", sep).option("locale", "de-CH")
-    rows = reader.option("singleVariantColumn", "row").load(paths).select(
-        F.col("_metadata.file_path").alias("path"), "row"
-    )
-    if sample_column is None:
-        heads = first_lines(spark, paths).select(
-            "path", F.regexp_replace(F.split("line", _literal(sep))[0], r'^"|"$', "").alias("sample_column")
-        )
-        rows = rows.join(written(heads, "heads"), "path")
-    else:
-        rows = rows.withColumn("sample_column", F.lit(sample_column))
-    sample = F.try_variant_get("row", F.concat(F.lit("$['"), F.col("sample_column"), F.lit("']")), "string")
-    keyed = rows.select(file_base_name(F.col("path")).alias("dataset"), sample.alias("sample_id"), "sample_column", "row")
-    cells = keyed.lateralJoin(spark.tvf.variant_explode(F.col("row").outer()))
-    text = F.try_variant_get("value", "$", "string")
-    return cells.filter("key <> sample_column").select(
-        "dataset", "sample_id", F.col("key").alias("feature"),
-        F.try_variant_get("value", "$", "double").alias("value"), F.when(text != "NA", text).alias("value_text"),
+    heads = written(first_lines(spark, paths), "heads")
+    marks = F.size(F.split("line", f"\\Q{sep}\\E"))
+    width = heads.agg(F.max(marks)).first()[0] or 1
+    options = {"sep": sep, "nullValue": "NA", "mode": "PERMISSIVE"}
+    names = [f"c{i}" for i in range(width)]
+    layout = ", ".join(f"{n} string" for n in names)
+
+    def fields(line: str) -> Column:
+        parsed = F.from_csv(line, F.lit(layout), options)
+        return F.array(*(parsed[n] for n in names))
+
+    known = heads.withColumn("names", F.filter(fields("line"), lambda n: n.isNotNull())).withColumnRenamed("line", "head")
+    place = F.lit(1) if sample_column is None else F.array_position("names", sample_column).cast("int")
+    known = known.withColumn("place", place)
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    rows = lines.join(known, "path").filter("line <> head AND line <> ''").withColumn("texts", F.slice(fields("line"), 1, F.size("names")))
+    others = F.filter(F.sequence(F.lit(1), F.size("names")), lambda i: i != F.col("place"))
+    return rows.select(
+        file_base_name(F.col("path")).alias("dataset"),
+        F.try_element_at("texts", "place").alias("sample_id"),
+        F.transform(others, lambda i: F.element_at("names", i)).alias("features"),
+        F.transform(others, lambda i: F.element_at("texts", i)).alias("cells"),
     )
 
 
-def _literal(sep: str) -> str:
-    return {"|": r"\|", ".": r"\."}.get(sep, sep)
+def read_matrices(spark: SparkSession, paths: str | list[str], sep: str = ",", sample_column: str | None = None, check: bool = False) -> DataFrame:
+    """``matrix_rows`` in long form: ``dataset``, ``sample_id``, ``feature``, ``value``, ``value_text``.
+
+    ``value`` is null where the text is not a number. With ``check``, a sample that a dataset
+    holds more than once, or without a key, raises before any cell is made.
+    """
+    wide = matrix_rows(spark, paths, sep, sample_column)
+    if check:
+        check_key(wide, "sample_id", "omics", ["dataset"])
+    pairs = F.arrays_zip(F.col("features").alias("feature"), F.col("cells").alias("value_text"))
+    cells = wide.select("dataset", "sample_id", F.inline(pairs).alias("feature", "value_text"))
+    return cells.select("dataset", "sample_id", "feature", to_number(F.col("value_text")).alias("value"), "value_text")
 
 
 def unpivot_features(df: DataFrame, sample: str, features: list[str], dataset: str) -> DataFrame:
@@ -65,9 +78,9 @@ def array_features(df: DataFrame, sample: str, values: str, dataset: str, prefix
     )
 
 
-def matrix_key_violations(long: DataFrame) -> DataFrame:
-    """Samples a dataset holds more than once, or without a key."""
-    return key_violations(long, "sample_id", ["dataset", "feature"]).select("dataset", "sample_id").distinct()
+def matrix_key_violations(rows: DataFrame) -> DataFrame:
+    """Samples a dataset holds more than once, or without a key, of matrices with one row per sample."""
+    return key_violations(rows, "sample_id", ["dataset"]).select("dataset", "sample_id")
 
 
 def stored_name(prefix: str, base: str) -> str:

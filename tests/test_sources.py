@@ -74,8 +74,21 @@ def test_matrices_of_different_features(spark, tmp_path):
     assert texts["s2", "Gene2"] == "3,5" and texts["s2", "Gene1"] is None
     named = datasets.read_matrices(spark, f"{folder}/rna.csv", sample_column="SampleID")
     assert named.count() == 4
-    assert datasets.matrix_key_violations(long).count() == 0
-    assert rows(datasets.matrix_key_violations(long.union(long.filter("sample_id = 'q1'")))) == [("prot", "q1")]
+    wide = datasets.matrix_rows(spark, folder)
+    assert datasets.matrix_key_violations(wide).count() == 0
+    assert rows(datasets.matrix_key_violations(wide.union(wide.filter("sample_id = 'q1'")))) == [("prot", "q1")]
+
+
+def test_matrix_ids_and_headers_stay_as_written(spark, tmp_path):
+    folder = put(tmp_path / "ids", a__csv='"Sample, ID",f 1,"o\'f"\n007,TRUE,1.50\n7,2,\n1.50,x,3\n')
+    long = {(r["sample_id"], r["feature"]): (r["value"], r["value_text"]) for r in datasets.read_matrices(spark, folder, check=True).collect()}
+    assert long == {
+        ("007", "f 1"): (None, "TRUE"), ("007", "o'f"): (1.5, "1.50"), ("7", "f 1"): (2.0, "2"), ("7", "o'f"): (None, None),
+        ("1.50", "f 1"): (None, "x"), ("1.50", "o'f"): (3.0, "3"),
+    }
+    put(tmp_path / "ids", b__csv="id,f\n1,2\n1,3\n")
+    with pytest.raises(KeyViolation):
+        datasets.read_matrices(spark, folder, check=True)
 
 
 def test_wide_and_array_features(spark):
