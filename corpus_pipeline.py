@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over the documents, each reading what the one before it wrote.
 
-Documents without a clear language go, then exact copies, then near copies (one document of each
+Documents without a language go, then exact copies, then near copies (one document of each
 group stays), and what is left is packed into training sequences. ``ORACLE_SQL`` is None: neither
 the trained language classifier nor the packing can be stated in SQL; tests compare the stages with
 brute force.
