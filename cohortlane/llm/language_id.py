@@ -174,10 +174,13 @@ def language_id(df: DataFrame, key: str = "doc_id", text: str = "text", label: s
 
 
 def drop_unidentified(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a clear language, with all their columns; all rows when nothing can be learned."""
+    """The rows of ``docs`` with a language, with all their columns; all rows when nothing can be learned.
+
+    Documents in several languages have one and stay, though they may be flagged as ambiguous.
+    """
     out = F.coalesce(fold(F.col(f"`{key}`"), 4) == 2, F.lit(False))
     model = CodeModel.learn(gram_counts(docs.filter(~out), text, label))
     if not model.languages:
         return docs
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("body"))
-    return identify(boxed, model, ["row"], "body").filter("NOT ambiguous").select("row.*")
+    return identify(boxed, model, ["row"], "body").filter(F.col("lang_pred") != UNKNOWN).select("row.*")
