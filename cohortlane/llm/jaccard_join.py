@@ -2,10 +2,12 @@
 
 1. Documents become sets of 64-bit shingle hashes. Equal sets fold to one representative.
 2. The order of shingles is global: rare ones by hash first, frequent ones last. Any order gives
-   the same links; this one keeps common passages out of the prefixes.
-3. Two sets that link share a shingle among the first ``n - need + 1`` of both. Prefixes are dealt by
-   shingle and streamed in order of set size; neighbours of compatible size are joined to candidate
-   groups. Nothing is emitted per pair.
+   the same links; this one keeps common passages out of the way.
+3. Candidates: two sets that link differ in few shingles, at most ``k`` for their size class. The
+   hash space is cut into more than ``k`` parts, so one part at least is the same in both. Parts
+   are dealt by their hash and streamed, and neighbours under one part are joined to candidate
+   groups. Nothing is emitted per pair. A part has several shingles, so sets that share but a
+   passage do not meet.
 4. Every candidate group's sets go, once, to tiles of bounded size. In a tile the ordered sets are
    stored in a path-compressed trie. Each set traverses it, sharing the overlap of common paths,
    and leaves a subtree when what remains of both sets can't reach the overlap needed. Sets that
@@ -16,6 +18,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,14 +81,20 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def often(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which shingles are frequent ones."""
+    if not len(frequent) or not len(shingles):
+        return np.zeros(len(shingles), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
+
+
 def ordered(shingles: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Rare shingles by hash, then frequent ones by how often they occur."""
-    if not len(frequent) or not len(shingles):
+    late = often(shingles, frequent)
+    if not late.any():
         return shingles
-    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-    often = frequent[at] == shingles
-    late = shingles[often]
-    return np.concatenate([shingles[~often], late[np.argsort(ranks[at[often]], kind="stable")]])
+    last = shingles[late]
+    return np.concatenate([shingles[~late], last[np.argsort(ranks[np.searchsorted(frequent, last)], kind="stable")]])
 
 
 def set_rows(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -115,51 +124,81 @@ def set_rows(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return plain.mapInArrow(run, schema)
 
 
-def prefix_rows(df: DataFrame, key: str, text: str, width: int, percent: int, order) -> DataFrame:
-    """``id``, ``n`` and ``prefix``, the packed first shingles in the global order."""
-    add = StructType([StructField("n", LongType()), StructField("prefix", BinaryType())])
+@lru_cache(maxsize=1)
+def size_bounds() -> list[int]:
+    """Where the size classes begin: each reaches about 1.4 times as far as it begins."""
+    bounds = [1]
+    while bounds[-1] < 1 << 40:
+        bounds.append(max(bounds[-1] + 1, bounds[-1] * 7 // 5))
+    return bounds
+
+
+def part_keys(rare: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Keys of which two linking sets share one at least; ``rare`` are the set's shingles without frequent ones.
+
+    Two linking sets of ``n`` shingles at most differ in ``2 n (100 - percent) / (100 + percent)``
+    or fewer. A set gives the keys of every class that a linking set of its size or larger can be
+    in. Empty parts are common, so there are ``spare`` parts more, and a set with no more empty
+    parts than that gives the others only: one of them is shared still.
+    """
+    bounds, found = size_bounds(), []
+    for c in range(bisect_right(bounds, n) - 1, bisect_right(bounds, n * 100 // percent)):
+        largest = bounds[c + 1] - 1
+        differ = 2 * largest * (100 - percent) // (100 + percent)
+        spare = 1 + (differ + 1) // 50
+        parts = differ + 1 + spare
+        of = ((rare >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        sums, which = np.add.reduceat(rare * MIX[0] ^ rare >> np.uint64(7), starts) if len(of) else np.zeros(0, np.uint64), of[starts]
+        if parts - len(which) > spare:
+            empty = np.setdiff1d(np.arange(parts), which)
+            sums, which = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([which, empty])
+        keys = sums + which.astype(np.uint64) * PLACES[0] + np.uint64(c) * PLACES[1]
+        keys = (keys ^ keys >> np.uint64(30)) * MIX[1]
+        found.append(keys ^ keys >> np.uint64(31))
+    return np.concatenate(found)
+
+
+def part_rows(df: DataFrame, key: str, text: str, width: int, percent: int, order) -> DataFrame:
+    """``id`` and ``keys``, the packed keys of the set's parts; sets without shingles have none."""
+    add = StructType([StructField("keys", BinaryType())])
 
     def factory():
         make = shingler(width)
-        frequent, ranks = order.value
+        frequent = order.value[0]
 
         def compute(texts: list) -> dict:
-            sets = [ordered(make.shingles(t), frequent, ranks) for t in texts]
-            return {"n": [len(s) for s in sets], "prefix": [s[: len(s) - needed(len(s), percent) + 1].tobytes() if len(s) else b"" for s in sets]}
+            sets = [make.shingles(t) for t in texts]
+            rare = [s[~often(s, frequent)] for s in sets]
+            return {"keys": [part_keys(r, len(s), percent).tobytes() if len(s) else None for s, r in zip(sets, rare)]}
 
         return compute
 
-    return per_text(df, [key], text, add, factory)
+    return per_text(df, [key], text, add, factory).filter("keys IS NOT NULL")
 
 
-def neighbour_edges(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Edges between sets that stand side by side, by size, under one shingle of their prefixes.
-
-    An edge joins compatible sizes only; all sets of one shingle whose sizes are compatible with
-    each other are joined by a chain of such edges.
-    """
+def neighbour_edges(parts: DataFrame) -> DataFrame:
+    """Edges between sets that stand side by side under one key: a chain through all that share it."""
     pair = StructType([StructField("a", LongType()), StructField("b", LongType())])
-    posting = StructType([StructField("shingle", LongType()), StructField("n", LongType()), StructField("id", LongType())])
+    posting = StructType([StructField("key", LongType()), StructField("id", LongType())])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
-            if packed:
-                times = [len(p) for p in packed]
-                n, ids = (np.repeat(batch.column(c).to_numpy(), times) for c in ("n", "id"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(packed)), pa.array(n), pa.array(ids)], names=["shingle", "n", "id"])
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
+            packed = [np.frombuffer(p, np.int64) for p in batch.column("keys").to_pylist()]
+            ids = np.repeat(batch.column("id").to_numpy(), [len(p) for p in packed])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(packed)), pa.array(ids)], names=["key", "id"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros((3, 0), np.int64)
+        last = np.zeros((2, 0), np.int64)
         for batch in batches:
-            rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in ("shingle", "n", "id")])], 1)
-            same = (rows[0, 1:] == rows[0, :-1]) & (rows[1, :-1] * 100 >= rows[1, 1:] * percent)
-            found = np.unique(np.stack([rows[2, :-1][same], rows[2, 1:][same]]), axis=1) if same.any() else np.zeros((2, 0), np.int64)
+            rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in ("key", "id")])], 1)
+            same = rows[0, 1:] == rows[0, :-1]
+            found = np.unique(np.stack([rows[1, :-1][same], rows[1, 1:][same]]), axis=1) if same.any() else np.zeros((2, 0), np.int64)
             last = rows[:, -1:]
             yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
-    postings = prefixes.mapInArrow(unpack, posting)
-    dealt = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "id")
+    postings = parts.select("id", "keys").mapInArrow(unpack, posting)
+    dealt = postings.repartition("key").sortWithinPartitions("key", "id")
     return dealt.mapInArrow(edges, pair).distinct()
 
 
@@ -307,16 +346,16 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     spark = df.sparkSession
     rows = written(set_rows(df, key, text, width), "sets")
     docs = rows.filter("sig IS NOT NULL")
-    often = rows.filter("sig IS NULL").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(frequent)
-    listed = np.asarray([(r.id, r.n) for r in often.collect()], np.int64).reshape(-1, 2)
+    counted = rows.filter("sig IS NULL").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(frequent)
+    listed = np.asarray([(r.id, r.n) for r in counted.collect()], np.int64).reshape(-1, 2)
     values = listed[:, 0].astype(np.int64).view(np.uint64)
     by_value = np.argsort(values)
     order = spark.sparkContext.broadcast((values[by_value], listed[by_value, 1]))
 
     reps = written(docs.filter("n > 0").groupBy("sig").agg(F.min("id").alias("rep")), "reps")
-    prefixes = prefix_rows(df, key, text, width, percent, order).withColumnRenamed(key, "id").filter("n > 0")
-    single = prefixes.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    groups = connected(neighbour_edges(single, percent))
+    parts = part_rows(df, key, text, width, percent, order).withColumnRenamed(key, "id")
+    single = parts.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
+    groups = connected(neighbour_edges(single))
     wanted = written(groups, "groups")
     chosen = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(wanted, "id")
     packed = StructType([StructField("n", LongType()), StructField("shingles", BinaryType())])
