@@ -55,9 +55,11 @@ def subject_group_flags(df: DataFrame, spec: StudySpec, group: str) -> DataFrame
     if several.isEmpty():
         return direct
     # Unknown times of a subject count as one time.
-    met = rows.join(several, rows["subject"].eqNullSafe(several["mixed"]), "left_semi").withColumns({"timed": F.col("time").isNotNull(), "time": F.coalesce("time", F.lit(0))})
     at = ["subject", "time", "timed"]
-    meetings = written(met.groupBy(*at, "Group").agg(*_flags_up(n)), "meetings")
+    timed = rows.withColumns({"timed": F.col("time").isNotNull(), "time": F.coalesce("time", F.lit(0))})
+    # Folded before the join, so that a subject's samples do not meet in one task.
+    folded = timed.groupBy(*at, "Group").agg(*_flags_up(n))
+    meetings = written(folded.join(several, folded["subject"].eqNullSafe(several["mixed"]), "left_semi"), "meetings")
     seen = written(meetings.groupBy(*at).agg(*_flags_up(n), F.count("*").alias("n_groups")), "seen")
     shared = attach(meetings.select(*at, "Group"), seen, at, "n_groups", [F.col("Group")]).drop("time", "timed")
     return direct.unionByName(shared).groupBy("subject", "Group").agg(*_flags_up(n))
@@ -110,8 +112,9 @@ def _shown(n: int):
 def contingency_by_joins(df: DataFrame, spec: StudySpec, group: str) -> DataFrame:
     """``contingency_with_missing`` without the last row, from one count per modality.
 
-    The counts have one row per group and are joined in full, then totals from the left. Kept
-    for parity; the single aggregation above does the same in one pass.
+    The samples are folded once to subject and group. The counts from that have one row per
+    group and are joined in full, then totals from the left. Kept for parity; the single
+    aggregation above does the same in one pass.
     """
     spec = spec.on(df)
     rows = df.select(
@@ -120,14 +123,16 @@ def contingency_by_joins(df: DataFrame, spec: StudySpec, group: str) -> DataFram
         *(is_available_exact(df, m).alias(f"on_{i}") for i, m in enumerate(spec.modalities)),
     )
 
+    pairs = written(rows.groupBy("subject", "Group").agg(*_flags_up(len(spec.modalities))), "pairs")
+
     def distinct_subjects(part: DataFrame, name: str) -> DataFrame:
-        return part.select("subject", "Group").distinct().groupBy("Group").agg(F.count("*").alias(name))
+        return part.groupBy("Group").agg(F.count("*").alias(name))
 
     table = None
     for i in range(len(spec.modalities)):
-        one = distinct_subjects(rows.filter(f"on_{i}"), f"c_{i}")
+        one = distinct_subjects(pairs.filter(f"on_{i}"), f"c_{i}")
         table = one if table is None else table.join(one, "Group", "full_outer")
-    table = table.join(distinct_subjects(rows, TOTAL), "Group", "left")
+    table = table.join(distinct_subjects(pairs, TOTAL), "Group", "left")
     named_counts = [F.coalesce(f"c_{i}", F.lit(0)).cast("int").alias(m) for i, m in enumerate(spec.modalities)]
     return table.select("Group", *named_counts, F.col(TOTAL).cast("int"))
 
