@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from cohortlane.llm.components import connected
-from cohortlane.llm.frames import per_text
 from cohortlane.session import written
 
 #: Odd multipliers that tell the places of a shingle's words apart, and a finalizer's.
@@ -39,6 +38,8 @@ MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 WORDS_HELD = 300_000
 FREQUENT = 1 << 16
 TILE_SHINGLES = 1_000_000
+NODES_HELD = 500_000
+MARKS = 1 << 24
 
 
 class Shingler:
@@ -97,9 +98,14 @@ def ordered(shingles: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np
     return np.concatenate([shingles[~late], last[np.argsort(ranks[np.searchsorted(frequent, last)], kind="stable")]])
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """128 bits of a set; none for the empty one."""
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else b""
+
+
 def set_rows(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``id``, ``n``, ``sig`` per document; and, with a null ``sig``, shingles (``id``) and how often (``n``) a batch holds them."""
-    schema = StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("sig", BinaryType())])
+    """``id``, ``n``, ``sig``, ``node`` per document; and, with a null ``sig``, shingles (``id``) and how often (``n``) a batch holds them."""
+    schema = StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("sig", BinaryType()), StructField("node", LongType())])
     plain = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,17 +114,19 @@ def set_rows(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
             for begin in range(0, len(whole), 2048):
                 batch = whole.slice(begin, 2048)
                 sets = [make.shingles(t) for t in batch.column("text").to_pylist()]
-                sigs = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets]
+                sigs = [signature(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], names=["id", "n", "sig"]
+                    [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(map(node_of, sigs), pa.int64())],
+                    names=schema.names,
                 )
                 if sets:
                     distinct = [s for s in dict(zip(sigs, sets)).values()]
                     values, counts = np.unique(np.concatenate(distinct), return_counts=True)
                     common = counts >= max(3, len(distinct) // 256)
+                    size = int(common.sum())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(values[common].view(np.int64)), pa.array(counts[common].astype(np.int64)), pa.nulls(int(common.sum()), pa.binary())],
-                        names=["id", "n", "sig"],
+                        [pa.array(values[common].view(np.int64)), pa.array(counts[common].astype(np.int64)), pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64())],
+                        names=schema.names,
                     )
 
     return plain.mapInArrow(run, schema)
@@ -159,49 +167,87 @@ def part_keys(rare: np.ndarray, n: int, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def part_rows(df: DataFrame, key: str, text: str, width: int, percent: int, order) -> DataFrame:
-    """``id`` and ``keys``, the packed keys of the set's parts; sets without shingles have none."""
-    add = StructType([StructField("keys", BinaryType())])
+def node_of(sig: bytes) -> int:
+    """A number for all equal sets; should two sets share one, both become candidates of its group."""
+    return int.from_bytes(sig[:8], "little", signed=True)
 
-    def factory():
-        make = shingler(width)
-        frequent = order.value[0]
 
-        def compute(texts: list) -> dict:
-            sets = [make.shingles(t) for t in texts]
-            rare = [s[~often(s, frequent)] for s in sets]
-            return {"keys": [part_keys(r, len(s), percent).tobytes() if len(s) else None for s, r in zip(sets, rare)]}
+def part_postings(df: DataFrame, text: str, width: int, percent: int, order) -> DataFrame:
+    """``key`` and ``node`` of every part of every set. Copies met by a task one after the other give their parts once."""
+    schema = StructType([StructField("key", LongType()), StructField("node", LongType())])
+    plain = df.select(F.col(f"`{text}`").cast("string").alias("text"))
 
-        return compute
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, frequent, seen = shingler(width), order.value[0], set()
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
+            keys, nodes = [], []
+            for text in batch.column("text").to_pylist():
+                found = make.shingles(text)
+                node = node_of(signature(found))
+                if not len(found) or node in seen:
+                    continue
+                if len(seen) >= NODES_HELD:
+                    seen.clear()
+                seen.add(node)
+                keys.append(part_keys(found[~often(found, frequent)], len(found), percent).view(np.int64))
+                nodes.append(np.full(len(keys[-1]), node))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
-    return per_text(df, [key], text, add, factory).filter("keys IS NOT NULL")
+    return plain.mapInArrow(run, schema)
 
 
-def neighbour_edges(parts: DataFrame) -> DataFrame:
+def neighbour_edges(postings: DataFrame) -> DataFrame:
     """Edges between sets that stand side by side under one key: a chain through all that share it."""
     pair = StructType([StructField("a", LongType()), StructField("b", LongType())])
-    posting = StructType([StructField("key", LongType()), StructField("id", LongType())])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
-            packed = [np.frombuffer(p, np.int64) for p in batch.column("keys").to_pylist()]
-            ids = np.repeat(batch.column("id").to_numpy(), [len(p) for p in packed])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(packed)), pa.array(ids)], names=["key", "id"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.zeros((2, 0), np.int64)
         for batch in batches:
-            rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in ("key", "id")])], 1)
-            same = rows[0, 1:] == rows[0, :-1]
-            found = np.unique(np.stack([rows[1, :-1][same], rows[1, 1:][same]]), axis=1) if same.any() else np.zeros((2, 0), np.int64)
+            rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in ("key", "node")])], 1)
+            linked = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] != rows[1, :-1])
+            found = np.unique(np.stack([rows[1, :-1][linked], rows[1, 1:][linked]]), axis=1) if linked.any() else np.zeros((2, 0), np.int64)
             last = rows[:, -1:]
             yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
-    postings = parts.select("id", "keys").mapInArrow(unpack, posting)
-    dealt = postings.repartition("key").sortWithinPartitions("key", "id")
+    dealt = postings.repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(edges, pair).distinct()
 
 
+def marked_ids(ids: DataFrame) -> np.ndarray:
+    """A bit per place that an id hashes to: ``MARKS`` bits at most, whatever the number of ids."""
+    place = F.pmod(F.xxhash64("id"), F.lit(MARKS)) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    found = np.zeros((MARKS // 32768, 4096), np.uint8)
+    for row in maps.toLocalIterator():
+        found[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
+    return np.unpackbits(found.ravel(), bitorder="little").astype(bool)
+
+
+def candidate_sets(df: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
+    """``id``, ``component``, ``n`` and the packed ``shingles`` of the wanted ids.
+
+    Texts are not shuffled: ids whose mark is not set are passed over where they lie, and what is
+    made of the others is joined, which drops those that a wanted id shares its mark with.
+    """
+    marks = df.sparkSession.sparkContext.broadcast(np.packbits(marked_ids(wanted)))
+    plain = df.select(
+        F.col(f"`{key}`").cast("long").alias("id"), F.pmod(F.xxhash64(F.col(f"`{key}`").cast("long")), F.lit(MARKS)).alias("place"), F.col(f"`{text}`").cast("string").alias("text")
+    )
+    schema = StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("shingles", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, set_bits = shingler(width), np.unpackbits(marks.value).astype(bool)
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
+            kept = batch.filter(pa.array(set_bits[batch.column("place").to_numpy()]))
+            sets = [make.shingles(t) for t in kept.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [kept.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=schema.names
+            )
+
+    return plain.mapInArrow(run, schema).join(wanted, "id").dropDuplicates(["id", "shingles"])
+
+
 class Trie:
     """Ordered sets by common beginnings, path-compressed, with the sizes of the sets below each node."""
 
@@ -352,24 +398,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     by_value = np.argsort(values)
     order = spark.sparkContext.broadcast((values[by_value], listed[by_value, 1]))
 
-    reps = written(docs.filter("n > 0").groupBy("sig").agg(F.min("id").alias("rep")), "reps")
-    parts = part_rows(df, key, text, width, percent, order).withColumnRenamed(key, "id")
-    single = parts.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    groups = connected(neighbour_edges(single))
-    wanted = written(groups, "groups")
-    chosen = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(wanted, "id")
-    packed = StructType([StructField("n", LongType()), StructField("shingles", BinaryType())])
-
-    def factory():
-        make = shingler(width)
-
-        def compute(texts: list) -> dict:
-            sets = [make.shingles(t) for t in texts]
-            return {"n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
-
-        return compute
-
-    sets = written(per_text(chosen, ["id", "component"], "text", packed, factory).dropDuplicates(["id", "shingles"]), "shingles")
+    reps = written(docs.filter("n > 0").groupBy("sig", "node").agg(F.min("id").alias("rep")), "reps")
+    groups = connected(neighbour_edges(part_postings(df, text, width, percent, order))).withColumnRenamed("id", "node")
+    wanted = written(reps.select(F.col("rep").alias("id"), "node").join(groups, "node").select("id", "component").distinct(), "wanted")
+    sets = written(candidate_sets(df, key, text, width, wanted), "shingles")
     loads = sets.groupBy("component").agg(F.sum("n").alias("load"))
     blocks = F.ceil(F.col("load") / tile).cast("int")
     cut = sets.join(loads.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -382,7 +414,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     if not large.isEmpty():
         links = links.unionByName(left_over(large, sets, connected(links), percent, order))
     joined = written(connected(links), "joined")
-    named = docs.join(reps, "sig", "left")
+    named = docs.select("id", "n", "sig").join(reps.select("sig", "rep"), "sig", "left")
     ends = named.join(joined.withColumnRenamed("id", "rep").withColumnRenamed("component", "reached"), "rep", "left")
     return ends.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("reached", "rep", "id").alias("component_id"))
 
