@@ -18,8 +18,9 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import re
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import regex
@@ -32,9 +33,9 @@ from cohortlane.llm.frames import per_text
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 CHUNK = regex.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: White space before a space: there the text is cut by CHUNK, elsewhere at every space.
-RUNS = tuple(f"{c} " for c in WHITE)
-ASCII_RUNS = tuple(run for run in RUNS if run.isascii())
-MAX_STATES = 300_000
+ASCII_RUNS = tuple(f"{c} " for c in WHITE if c.isascii())
+WIDE_RUN = re.compile("[" + "".join(c for c in WHITE if not c.isascii()) + "] ")
+MAX_STATES = 200_000
 MAX_CHUNKS = 250_000
 ROOT, NEVER = 0, 1 << 60
 NODE_BITS = 24
@@ -137,7 +138,7 @@ class Transducer:
         key = last << 32 | token
         found = self._follows.get(key)
         if found is None:
-            if len(self._follows) > 4 * self.max_states:
+            if len(self._follows) > 2 * self.max_states:
                 self._follows.clear()
             found = self._follows[key] = self._apart(last, token)
         return found
@@ -162,6 +163,17 @@ class Transducer:
         self.moves[state << 8 | byte] = move = number, ended
         return move
 
+    def _last(self, state: int, byte: int) -> int:
+        """The token that ends with the piece; the state after it is not needed and not made."""
+        move = self.moves.get(state << 8 | byte)
+        if move is not None:
+            return move[1]
+        for path in self.states[state]:
+            node = self.children[path & NODE_MASK].get(byte)
+            if node is not None and (token := self.ends[node]) >= 0 and self.follows((path >> NODE_BITS) - 1, token):
+                return token
+        raise ValueError("a byte is no token of these ranks")
+
     def _traced(self, ended: list[int], place: int) -> list[int]:
         """The tokens up to ``place``, from the token that ends at each place."""
         found, lengths = [], self.lengths
@@ -176,8 +188,20 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        state, ended, emitted, get = 0, [], [], self.moves.get
-        for byte in piece:
+        emitted: list[int] = []
+        state, ended = 0, []
+        most = len(piece) - 1
+        for begin in range(0, most, LONG):
+            if begin:
+                ended = self._emit(state, ended, emitted)
+            state = self._read(state, piece[begin : min(begin + LONG, most)], ended)
+        ended.append(self._last(state, piece[most]))
+        return (*emitted, *self._traced(ended, len(ended)))
+
+    def _read(self, state: int, portion: bytes, ended: list[int]) -> int:
+        """Read on from ``state``, add the token that ends at each place to ``ended``, return the state."""
+        get, add = self.moves.get, ended.append
+        for byte in portion:
             move = get(state << 8 | byte)
             if move is None:
                 if len(self.states) > self.max_states:
@@ -185,12 +209,10 @@ class Transducer:
                     get = self.moves.get
                 move = self._step(state, byte)
             state, token = move
-            ended.append(token)
-            if len(ended) == LONG:
-                state, ended = self._emit(state, ended, emitted)
-        return (*emitted, *self._traced(ended, len(ended)))
+            add(token)
+        return state
 
-    def _emit(self, state: int, ended: list[int], emitted: list[int]) -> tuple[int, list[int]]:
+    def _emit(self, state: int, ended: list[int], emitted: list[int]) -> list[int]:
         """Move the tokens that all hypotheses share from ``ended`` to ``emitted``."""
         paths = [self._traced(ended, len(ended) - self.depths[p & NODE_MASK]) for p in self.states[state]]
         shared = paths[0]
@@ -198,30 +220,32 @@ class Transducer:
             n = next((i for i, (a, b) in enumerate(zip(shared, path)) if a != b), min(len(shared), len(path)))
             shared = shared[:n]
         emitted += shared
-        return state, ended[sum(self.lengths[t] for t in shared) :]
+        return ended[sum(self.lengths[t] for t in shared) :]
 
 
 class Chunks(dict):
-    """Tokens by chunk; a chunk not held goes through the transducer.
+    """Tokens by chunk, packed as unsigned 32-bit numbers; a chunk not held goes through the transducer.
 
-    When full, the chunks held become the generation before, from which those met again are taken.
+    A chunk of several matches of the pattern is put together from theirs. When full, the chunks
+    held become the generation before, from which those met again are taken.
     """
 
     def __init__(self, transducer: Transducer, pattern: str, most: int):
         super().__init__()
         self.transducer, self.find, self.most = transducer, regex.compile(pattern).findall, most
-        self.before: dict[str, tuple[int, ...]] = {}
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        encode, found = self.transducer.encode, self.before.get(chunk)
-        if found is not None:
-            pass
-        elif chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-            found = encode(chunk.encode("ascii"))  # one match of the pattern
-        elif len(chunk) > 2 and chunk[-1] in ",." and chunk[-2].isalpha():
-            found = self[chunk[:-1]] + encode(chunk[-1].encode("ascii"))
-        else:
-            found = tuple(chain.from_iterable(encode(match.encode("utf-8")) for match in self.find(chunk)))
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.before.get(chunk)
+        if found is None:
+            if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+                pieces = [chunk]  # one match of the pattern
+            else:
+                pieces = self.find(chunk)
+            if len(pieces) > 1:
+                found = b"".join(map(self.__getitem__, pieces))
+            else:
+                found = array("I", self.transducer.encode(chunk.encode("utf-8"))).tobytes()
         if len(self) >= self.most:
             self.before = dict(self)
             self.clear()
@@ -241,15 +265,19 @@ class Encoder:
         self.transducer = Transducer(load_ranks(path))
         self.chunks = Chunks(self.transducer, pattern, max_chunks)
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
+        """The ids as unsigned 32-bit numbers, one after the other."""
         if not text:
-            return []
-        if any(pair in text for pair in (ASCII_RUNS if text.isascii() else RUNS)):
+            return b""
+        if any(pair in text for pair in ASCII_RUNS) or not text.isascii() and WIDE_RUN.search(text):
             words = CHUNK.findall(text)
         else:
             first, *rest = text.split(" ")
             words = [first, *[" " + word for word in rest]] if first else [" " + word for word in rest]
-        return list(chain.from_iterable(map(self.chunks.__getitem__, words)))
+        return b"".join(map(self.chunks.__getitem__, words))
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), np.uint32).tolist()
 
 
 def utf8_machine() -> list[list[int]]:

@@ -15,12 +15,13 @@ from cohortlane.session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+ROWS = 512
 
 
 def per_text(df: DataFrame, keep: Sequence[str], text: str, add: StructType, factory: Callable[[], Callable[[list], dict]]) -> DataFrame:
     """Columns computed from a text column, batch by batch.
 
-    ``factory`` is called once in every task and returns a function from the texts of a batch
+    ``factory`` is called once in every task and returns a function from ``ROWS`` texts at most
     (nulls included) to one list per column of ``add``. Columns of ``df`` not in ``keep`` are
     not read.
     """
@@ -31,7 +32,7 @@ def per_text(df: DataFrame, keep: Sequence[str], text: str, add: StructType, fac
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = factory()
         types = None
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
             types = types or arrow_types(add)
             found = compute(batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays(

@@ -44,24 +44,24 @@ def cut_pieces(df: DataFrame, ranks: str, pattern: str, specials: dict[str, int]
     marks = sorted(specials, key=len, reverse=True)
 
     def factory():
-        encode = encoder(ranks, pattern).encode
-
-        def ids_of(value: str | None, left: list[str]) -> list[int]:
-            if not left or not value:
-                return encode(value)
-            ids: list[int] = []
-            for i, part in enumerate(value.split(left[0])):
-                if i:
-                    ids.append(specials[left[0]])
-                ids += ids_of(part, left[1:])
-            return ids
+        packed = encoder(ranks, pattern).packed
+        codes = {mark: np.asarray([number], "<u4").tobytes() for mark, number in specials.items()}
+        last = np.asarray([end], "<u4").tobytes()
+
+        def ids_of(value: str | None, left: list[str]) -> bytes:
+            """The ids as little-endian 32-bit numbers."""
+            if not value or not left:
+                return packed(value)
+            if left[0] not in value:
+                return ids_of(value, left[1:])
+            return codes[left[0]].join(ids_of(part, left[1:]) for part in value.split(left[0]))
 
         def pieces_of(value: str | None) -> list[dict]:
-            ids = np.asarray([*ids_of(value, marks), end], "<u4")
-            out, start = [], 0
-            length = len(ids) % capacity or capacity
-            while start < len(ids):
-                crc = zlib.crc32(ids[start : start + length].tobytes())
+            ids = ids_of(value, marks) + last
+            total = len(ids) // 4
+            out, start, length = [], 0, total % capacity or capacity
+            while start < total:
+                crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
                 out.append({"piece": len(out), "start": start, "length": length, "ids_crc32": crc})
                 start, length = start + length, capacity
             return out
