@@ -105,9 +105,9 @@ class ContextTree:
         parents = [np.zeros(1, np.int64)]
         for d in range(1, len(levels)):
             parents.append(np.searchsorted(levels[d - 1].contexts, levels[d].contexts & ((1 << 8 * (d - 1)) - 1)))
-        rest = [level.counts.copy() for level in levels]
+        rest = [level.counts.astype(np.int64) for level in levels]
         for d in range(1, len(levels)):
-            np.subtract.at(rest[d - 1], parents[d], levels[d].counts)
+            np.subtract.at(rest[d - 1], parents[d], levels[d].counts.astype(np.int64))
         weights: list[np.ndarray] = [np.zeros(0)] * len(levels)
         below = None
         for d in reversed(range(len(levels))):
@@ -270,7 +270,7 @@ def learn(stats: DataFrame, depth: int, most: int) -> ContextTree:
             number = np.cumsum(held) - 1
             fit = held[rows]
             codes, n, rows, contexts = codes[fit], n[fit], number[rows[fit]], contexts[held]
-        counts = np.zeros((len(contexts), 256), np.float32)
+        counts = np.zeros((len(contexts), 256), np.int64)
         counts[rows, codes & 255] = n
         levels.append(Level(contexts, counts))
         if d and not len(contexts):

@@ -431,6 +431,20 @@ def test_tree_against_the_recursion():
     assert sum(10 ** float(tree.scores(row)[0]) for row in every) == pytest.approx(1, abs=1e-4)
 
 
+def test_tree_of_counts_beyond_single_precision(spark):
+    """What the children leave is exactly 0 above 2**24, so all scores are finite and near the shares counted."""
+    rng = np.random.default_rng(5)
+    grown = rng.integers(1 << 24, 1 << 33, (40, 256)) * (rng.random((40, 256)) < 0.3)
+    contexts = np.arange(40, dtype=np.int64) + 80
+    met = [(int(c) << 8 | b, int(grown[i, b])) for i, c in enumerate(contexts) for b in np.flatnonzero(grown[i]).tolist()]
+    stats = spark.createDataFrame([(context_tree.GRAM, code, n) for code, n in met], "kind short, code long, n long")
+    tree = context_tree.learn(stats, 1, 300)
+    logs = tree.logs.reshape(-1, 256)
+    assert np.isfinite(logs).all() and np.allclose((10.0**logs).sum(1), 1, atol=1e-3)
+    met = grown > 0
+    assert np.allclose(10.0 ** logs[1:][met], (grown / grown.sum(1, keepdims=True))[met], atol=1e-3)
+
+
 # 9
 
 
