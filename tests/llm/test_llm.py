@@ -438,11 +438,39 @@ def test_tree_of_counts_beyond_single_precision(spark):
     contexts = np.arange(40, dtype=np.int64) + 80
     met = [(int(c) << 8 | b, int(grown[i, b])) for i, c in enumerate(contexts) for b in np.flatnonzero(grown[i]).tolist()]
     stats = spark.createDataFrame([(context_tree.GRAM, code, n) for code, n in met], "kind short, code long, n long")
-    tree = context_tree.learn(stats, 1, 300)
-    logs = tree.logs.reshape(-1, 256)
-    assert np.isfinite(logs).all() and np.allclose((10.0**logs).sum(1), 1, atol=1e-3)
-    met = grown > 0
-    assert np.allclose(10.0 ** logs[1:][met], (grown / grown.sum(1, keepdims=True))[met], atol=1e-3)
+    logs = {r.code: r.log for r in context_tree.gram_logs(stats, 1).collect()}
+    assert len(logs) == len(met) and np.isfinite(list(logs.values())).all()
+    for code, n in met:
+        assert 10 ** logs[code] == pytest.approx(n / grown[(code >> 8) - 80].sum(), abs=1e-3)
+    levels = [context_tree.Level(np.zeros(1, np.int64), grown.sum(0, keepdims=True)), context_tree.Level(contexts, grown)]
+    tree = context_tree.ContextTree.mix(levels)
+    for code, _ in met:
+        assert tree.logs[(1 + (code >> 8) - 80) * 256 + (code & 255)] == pytest.approx(logs[code], abs=1e-3)
+
+
+@pytest.mark.parametrize("frequent_grams", [100, 1 << 20])
+def test_every_context_is_a_node(spark, frequent_grams):
+    """More than 12,000 contexts of one depth, against a tree that holds all of them; most grams are joined with the small table."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    body = {i: "".join(rng.choice(letters) for _ in range(500)) for i in range(60)}
+    counts = [defaultdict(lambda: np.zeros(256, np.int64)) for _ in range(4)]
+    for i, text in body.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            line = b"\n\n\n" + text.encode() + b"\n"
+            for at in range(3, len(line)):
+                for d in range(4):
+                    counts[d][sum(line[at - 1 - k] << 8 * k for k in range(d))][line[at]] += 1
+    assert len(counts[3]) > 12_000
+    levels = [context_tree.Level(np.asarray(sorted(c), np.int64), np.stack([c[k] for k in sorted(c)])) for c in counts]
+    tree = context_tree.ContextTree.mix(levels)
+    docs = spark.createDataFrame(list(body.items()), "doc_id long, text string").repartition(3)
+    size = {"frequent_grams": frequent_grams} if hasattr(context_tree, "FREQUENT_GRAMS") else {}
+    got = {r.doc_id: r for r in context_tree.context_tree_scores(docs, depth=3, **size).collect()}
+    assert any(r.held_out for r in got.values())
+    for i, text in body.items():
+        line = np.frombuffer(b"\n\n\n" + text.encode() + b"\n", np.uint8)
+        assert got[i].score == pytest.approx(float(tree.scores(line).sum()), rel=1e-4)
 
 
 # 9
