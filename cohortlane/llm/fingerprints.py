@@ -5,11 +5,12 @@ then a difference of two prefixes, so any two spans are compared in constant tim
 common extension of two places is found by binary search. The edited text is never hashed: its
 prefixes are those of its two parts, shifted.
 
-A fingerprint holds the length, the hash of the whole text and samples of the prefix hashes at
-multiples of a power of two from the front and from the back. Samples of two fingerprints with
-different steps meet at the larger one. The likeness of two fingerprints is the share of the longer
-text that their longest common prefix and suffix cover, both found by binary search on the samples,
-and of equal blocks between them.
+A fingerprint holds the length, the hash of the whole text, samples of the prefix hashes at
+multiples of a power of two from the front and from the back, and the hash and length of every block
+of the text. Blocks begin where the hash of the next ``WINDOW`` characters is one of ``BLOCK``, so
+their places move with the text and their number grows with it. The likeness of two fingerprints is
+the share of the longer text that common blocks cover, as multisets, or that their longest common
+prefix and suffix and equal aligned samples between them cover, whichever is more.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
 SAMPLES = 64
+#: Characters that decide whether a block begins, and one place in how many does.
+WINDOW = 8
+BLOCK = 32
 RANGE_BYTES = 32 << 20
 #: Stands for a null key, below all others.
 NO_KEY = -(1 << 63)
@@ -38,17 +42,19 @@ NO_KEY = -(1 << 63)
 class Powers:
     """Powers of the bases, grown by doubling up to the longest text met."""
 
-    def __init__(self) -> None:
+    def __init__(self, bases: tuple[int, int]) -> None:
+        self.bases = bases
         self.table = np.ones((2, 1), np.uint64)
 
     def upto(self, n: int) -> np.ndarray:
         while self.table.shape[1] <= n:
-            factor = [int(self.table[k, -1]) * BASES[k] % PRIMES[k] for k in (0, 1)]
+            factor = [int(self.table[k, -1]) * self.bases[k] % PRIMES[k] for k in (0, 1)]
             self.table = np.concatenate([self.table, np.stack([self.table[k] * np.uint64(factor[k]) % np.uint64(PRIMES[k]) for k in (0, 1)])], 1)
         return self.table
 
 
-POWERS = Powers()
+POWERS = Powers(BASES)
+INVERSES = Powers(tuple(pow(b, -1, p) for b, p in zip(BASES, PRIMES)))
 
 
 @dataclass
@@ -98,6 +104,26 @@ class Prefixes:
                 high = middle - 1
         return low
 
+    def spans(self, begins: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+        """Hashes modulo prime k of many spans as if each began at place 0."""
+        prime = np.uint64(PRIMES[k])
+        apart = (self.sums[k, ends] + prime - self.sums[k, begins]) % prime
+        return apart * INVERSES.upto(self.n)[k, begins] % prime
+
+    def blocks(self) -> np.ndarray:
+        """Hash and length of every block, in order; a block's hash takes in the window that ends it."""
+        if not self.n:
+            return np.zeros((0, 2), "<u4")
+        places = np.arange(max(0, self.n - WINDOW + 1))
+        windows = self.spans(places, places + WINDOW, 0)
+        chosen = (windows * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(BLOCK) == 0
+        chosen[1:] &= windows[1:] != windows[:-1]  # a run of one character begins a block once
+        begins = np.concatenate([[0], np.flatnonzero(chosen[1:]) + 1])
+        ends = np.append(begins[1:], self.n)
+        reach = np.minimum(ends + WINDOW, self.n)
+        mixed = self.spans(begins, reach, 0) << np.uint64(31) | self.spans(begins, reach, 1)
+        return np.stack([mixed * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32), (ends - begins).astype(np.uint64)], 1).astype("<u4")
+
     def fingerprint(self) -> str:
         step = 1
         while step * SAMPLES < self.n:
@@ -113,7 +139,8 @@ class Prefixes:
             back[k] = spans * np.uint64(pow(inverse[k], self.n, PRIMES[k])) % np.uint64(PRIMES[k])
         whole = self.sums[:, self.n]
         numbers = np.concatenate([whole, front.T.ravel(), back.T.ravel()]).astype("<u4")
-        return f"{self.n:x}-{step:x}-{base64.b64encode(numbers.tobytes()).decode('ascii')}"
+        coded = [base64.b64encode(part.tobytes()).decode("ascii") for part in (numbers, self.blocks())]
+        return f"{self.n:x}-{step:x}-{coded[0]}-{coded[1]}"
 
 
 @dataclass
@@ -123,13 +150,15 @@ class Fingerprint:
     whole: tuple[int, int]
     front: np.ndarray
     back: np.ndarray
+    blocks: np.ndarray
 
     @classmethod
     def read(cls, text: str) -> Fingerprint:
-        n, step, numbers = text.split("-", 2)
+        n, step, numbers, blocks = text.split("-", 3)
         values = np.frombuffer(base64.b64decode(numbers), "<u4")
         half = (len(values) - 2) // 2
-        return cls(int(n, 16), int(step, 16), (int(values[0]), int(values[1])), values[2 : 2 + half].reshape(-1, 2), values[2 + half :].reshape(-1, 2))
+        front, back = values[2 : 2 + half].reshape(-1, 2), values[2 + half :].reshape(-1, 2)
+        return cls(int(n, 16), int(step, 16), (int(values[0]), int(values[1])), front, back, np.frombuffer(base64.b64decode(blocks), "<u8"))
 
     def at(self, side: str, step: int) -> np.ndarray:
         skip = step // self.step
@@ -157,8 +186,15 @@ def equal_blocks(a: np.ndarray, b: np.ndarray, begin: int) -> int:
     return int((own[0] == own[1]).all(1).sum())
 
 
+def common_blocks(a: np.ndarray, b: np.ndarray) -> int:
+    """Characters of the blocks that both have, each as often as the one that has it less often."""
+    kinds, rows = np.unique(np.concatenate([a, b]), return_inverse=True)
+    times = [np.bincount(part, minlength=len(kinds)) for part in (rows[: len(a)], rows[len(a) :])]
+    return int((np.minimum(*times) * (kinds >> np.uint64(32)).astype(np.int64)).sum())
+
+
 def likeness(first: str, second: str) -> float:
-    """0 to 1: what share of the longer text is common to both, as far as the samples tell."""
+    """0 to 1: what share of the longer text is common to both, as far as blocks and samples tell."""
     if first == second:
         return 1.0
     a, b = Fingerprint.read(first), Fingerprint.read(second)
@@ -170,6 +206,7 @@ def likeness(first: str, second: str) -> float:
     prefix, suffix = shared_samples(*fronts), shared_samples(*backs)
     more = max(equal_blocks(*fronts, prefix), equal_blocks(*backs, suffix))
     covered = max((prefix + suffix) * step, (prefix + equal_blocks(*fronts, prefix)) * step, (suffix + more) * step if more else 0)
+    covered = max(covered, common_blocks(a.blocks, b.blocks))
     return min(1.0, covered / longer, min(a.n, b.n) / longer)
 
 

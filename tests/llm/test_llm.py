@@ -326,6 +326,22 @@ def test_likeness():
     assert fingerprints.likeness(mark(""), mark(text)) == 0
 
 
+def test_likeness_of_long_texts_edited_in_many_places():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(2000)]
+    mark = lambda found: fingerprints.Prefixes.of(" ".join(found)).fingerprint()
+    inserted = words[:40] + ["extra"] + words[40:1960] + ["other"] + words[1960:]
+    assert fingerprints.likeness(mark(words), mark(inserted)) > 0.97
+    for share, least in ((0.025, 0.6), (0.05, 0.4)):
+        edited = list(words)
+        for i in rng.sample(range(2000), int(2000 * share)):
+            edited[i] = "zzzzz"
+        assert fingerprints.likeness(mark(words), mark(edited)) > least
+    moved = words[1000:] + words[:1000]
+    assert fingerprints.likeness(mark(words), mark(moved)) > 0.97
+    assert fingerprints.likeness(mark(words), mark(["".join(reversed(w)) for w in words])) < 0.05
+
+
 # 7
 
 
