@@ -516,10 +516,11 @@ def feature_matrix_files(spark, folder):
     vectors = table(spark, folder, "embeddings")
     width = vectors.select(F.max(F.size("embedding"))).first()[0]
     sample = F.lpad(F.col("vec_id").cast("string"), 8, "0").alias("Sample, ID")
-    wide = vectors.select(sample, *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(width)))
-    path = f"{shared_folder(spark)}/cohortlane/matrix-{uuid.uuid4().hex}"
-    datasets.export_csv(wide, path)
-    return rounded(datasets.read_matrices(spark, path, check=False).select("sample_id", "feature", "value"), "value")
+    base = f"{shared_folder(spark)}/cohortlane/matrix-{uuid.uuid4().hex}"
+    halves = {f"{base}/first": range(width // 2), f"{base}/second": range(width // 2, width)}
+    for path, places in halves.items():
+        datasets.export_csv(vectors.select(sample, *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in places)), path)
+    return rounded(datasets.read_matrices(spark, list(halves)).select("sample_id", "feature", "value"), "value")
 
 
 @query

@@ -48,11 +48,11 @@ def matrix_rows(spark: SparkSession, paths: str | list[str], sep: str = ",", sam
     )
 
 
-def read_matrices(spark: SparkSession, paths: str | list[str], sep: str = ",", sample_column: str | None = None, check: bool = False) -> DataFrame:
+def read_matrices(spark: SparkSession, paths: str | list[str], sep: str = ",", sample_column: str | None = None, check: bool = True) -> DataFrame:
     """``matrix_rows`` in long form: ``dataset``, ``sample_id``, ``feature``, ``value``, ``value_text``.
 
-    ``value`` is null where the text is not a number. With ``check``, a sample that a dataset
-    holds more than once, or without a key, raises before any cell is made.
+    ``value`` is null where the text is not a number. A sample that a dataset holds more than once,
+    or without a key, raises before any cell is made, unless ``check`` is off.
     """
     wide = matrix_rows(spark, paths, sep, sample_column)
     if check:
@@ -107,6 +107,14 @@ def save_matrices(long: DataFrame, root: str, prefix: str = "omics", mode: str =
     return path
 
 
+def ingest_matrices(spark: SparkSession, paths: str | list[str], root: str, sep: str = ",", sample_column: str | None = None, prefix: str = "omics", mode: str = "append") -> str:
+    """Read matrix files, check each dataset's samples once per row, store the cells and return the path.
+
+    A failed check raises before anything is written.
+    """
+    return save_matrices(read_matrices(spark, paths, sep, sample_column), root, prefix, mode)
+
+
 def load_dataset(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A stored dataset; of a list, the first one."""
     return spark.read.parquet(paths if isinstance(paths, str) else paths[0])

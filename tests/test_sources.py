@@ -91,6 +91,20 @@ def test_matrix_ids_and_headers_stay_as_written(spark, tmp_path):
         datasets.read_matrices(spark, folder, check=True)
 
 
+def test_matrix_keys_are_checked_unless_told_not_to(spark, tmp_path):
+    twice = put(tmp_path / "twice", rna__csv="id,f\n1,2\n1,3\n", prot__csv="id,g\n1,2\n")
+    nulls = put(tmp_path / "nulls", rna__csv="id,f\n1,2\nNA,3\n")
+    for folder in (twice, nulls):
+        with pytest.raises(KeyViolation):
+            datasets.read_matrices(spark, folder)
+        with pytest.raises(KeyViolation):
+            datasets.ingest_matrices(spark, folder, str(tmp_path / "kept"))
+    assert datasets.read_matrices(spark, twice, check=False).count() == 3 and not (tmp_path / "kept").exists()
+    right = put(tmp_path / "right", rna__csv="id,f\n1,2\n", prot__csv="id,g\n1,5\n")
+    stored = datasets.load_dataset(spark, datasets.ingest_matrices(spark, right, str(tmp_path / "kept")))
+    assert rows(stored.select("dataset", "sample_id", "feature", "value")) == [("prot", "1", "g", 5.0), ("rna", "1", "f", 2.0)]
+
+
 def test_wide_and_array_features(spark):
     df = spark.createDataFrame([("s", 1, 2.5, [1.0, 2.0])], "id string, a int, b double, v array<float>")
     assert rows(datasets.unpivot_features(df, "id", ["a", "b"], "d")) == [("d", "s", "a", 1.0), ("d", "s", "b", 2.5)]
