@@ -439,7 +439,20 @@ def left_over(large: DataFrame, sets: DataFrame, linked: DataFrame, percent: int
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its component, with all their columns."""
-    found = jaccard_components(docs, key, text, width, percent)
-    stay = written(found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__stay")).distinct(), "stay")
-    return docs.join(stay, docs[key] == stay["__stay"], "left_semi")
+    """The rows of ``docs`` whose key is the smallest of its component, with all their columns.
+
+    Every row with a null key is a document of its own, compared like the others and after all keys
+    in order: it goes if a row with a key is in its component, and one row stays of a component of
+    null keys only.
+    """
+    own, node = F.col(f"`{key}`"), "__node"
+    if docs.filter(own.isNull()).isEmpty():
+        nodes = docs.withColumn(node, own)
+    else:
+        largest = docs.agg(F.max(own)).first()[0]
+        number = F.lit(-1 if largest is None else int(largest)).cast("long") + 1 + F.monotonically_increasing_id()
+        without = written(docs.filter(own.isNull()).withColumn(node, number), "nullkeys")  # pinned: the numbers are read twice
+        nodes = docs.filter(own.isNotNull()).withColumn(node, own.cast("long")).unionByName(without)
+    found = jaccard_components(nodes, node, text, width, percent)
+    stay = written(found.filter(F.col(node) == F.col("component_id")).select(F.col(node).alias("__stay")).distinct(), "stay")
+    return nodes.join(stay, nodes[node] == stay["__stay"], "left_semi").drop(node)

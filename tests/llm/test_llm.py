@@ -172,6 +172,19 @@ def test_jaccard_edges(docs, rows, empty):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if c == i}
 
 
+def test_one_of_each_with_null_keys(spark):
+    rng = random.Random(10)
+    long = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(4)]
+    kept = [(5, long[0], "key"), (None, long[1], "alone"), (None, None, "no text"), (None, None, "no text either"), (9, long[3], "other")]
+    gone = [(None, long[0] + " more", "near a key"), (None, long[2], "one of two"), (None, long[2] + " more", "one of two")]
+    df = spark.createDataFrame(kept + gone, "doc_id long, text string, name string").repartition(3)
+    found = jaccard_join.one_of_each(df)
+    assert found.columns == df.columns
+    assert sorted(r.name for r in found.collect()) == sorted([name for _, _, name in kept] + ["one of two"])
+    only = jaccard_join.one_of_each(df.filter("doc_id IS NULL"))
+    assert only.count() == 5 and only.filter("doc_id IS NOT NULL").count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7), (2000, 1001)]
     got = {r.id: r.component for r in components.connected(spark.createDataFrame(chain, "a long, b long").repartition(20)).collect()}
