@@ -2,7 +2,7 @@
 
 Occurrences (hash, document, position) are dealt to ranges of (hash, document), sorted by hash,
 document and position, and streamed: the positions of a hash in one document fold to one row that
-begins with the first occurrence. A hash that very many documents hold lies in several ranges, and
+begins with the first occurrence, which ``keep="first"`` lets stand. A hash that very many documents hold lies in several ranges, and
 only one partial count per range and hash goes on. What comes back to the documents is no text but
 one compressed bitmap each: a mask per 64 lines, kept only where a line goes.
 """
@@ -43,9 +43,14 @@ def shared_lines(held: DataFrame, min_docs: int) -> DataFrame:
     return held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), first).filter(F.col("n_docs") >= min_docs)
 
 
-def keep_bitmaps(held: DataFrame, dropped: DataFrame) -> DataFrame:
+def keep_bitmaps(held: DataFrame, dropped: DataFrame, keep: str) -> DataFrame:
     """``doc``, ``n_dropped`` and ``bitmap``: (word, mask of kept lines) where a line of the word goes."""
-    places = held.join(dropped.select("h1", "h2"), ["h1", "h2"], "left_semi").select("doc", F.explode("positions").alias("position"))
+    if keep == "first":
+        found = held.join(dropped.select("h1", "h2", "first"), ["h1", "h2"])
+        places = found.select("doc", "first", F.explode("positions").alias("position"))
+        places = places.filter(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("position") == F.col("first.position"))))
+    else:
+        places = held.join(dropped.select("h1", "h2"), ["h1", "h2"], "left_semi").select("doc", F.explode("positions").alias("position"))
     words = places.groupBy("doc", F.floor(F.col("position") / WORD).cast("int").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, position % {WORD})")).alias("gone")
     )
@@ -71,17 +76,20 @@ def stands(masks: Column, i: Column) -> Column:
     return F.call_function("shiftright", mask, (i % WORD).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
     """``key``, ``n_lines``, ``n_dropped``, ``kept_text`` of every document.
 
     A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Keys of
     ``min_chars`` code points or more that ``min_docs`` documents hold lose all their lines in every
-    document. Null and empty texts are one empty line, which stays, since it has no code points.
+    document; with ``keep="first"`` the first line of the smallest document key, null before all
+    others, stays. Null and empty texts are one empty line, which stays, since it has no code points.
     Rows with the same document key count as one document and lose the same places. An empty table
     gives no rows; other columns are not read.
     """
+    if keep not in ("none", "first"):
+        raise ValueError(f"keep must be none or first, not {keep}")
     held = occurrences(df, key, text, min_chars)
-    maps = keep_bitmaps(held, shared_lines(held, min_docs)).withColumnRenamed("doc", "__doc")
+    maps = keep_bitmaps(held, shared_lines(held, min_docs), keep).withColumnRenamed("doc", "__doc")
     docs = df.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("body"))
     lines = lines_of(F.col("body"))
     return docs.join(maps, docs["doc"].eqNullSafe(maps["__doc"]), "left").select(

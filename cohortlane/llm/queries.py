@@ -72,7 +72,7 @@ def op9_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = line_dedup(documents(spark, folder))
+    found = line_dedup(documents(spark, folder), keep="none")
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

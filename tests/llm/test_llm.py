@@ -563,6 +563,15 @@ def test_line_bitmaps_of_many_lines(spark):
     assert got[1].kept_text == "x"
 
 
+def test_line_dedup_that_keeps_the_first(spark):
+    held = [(7, "x\nShared\nown 7\nshared"), (3, "own 3\n shared \nSHARED\ny"), (9, "shared"), (None, "other\ny"), (4, "y")]
+    df = spark.createDataFrame(held, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_dropped, r.kept_text) for r in line_dedup.line_dedup(df, min_docs=3, keep="first").collect()}
+    assert got == {7: (2, "x\nown 7"), 3: (2, "own 3\n shared "), 9: (1, ""), None: (0, "other\ny"), 4: (1, "")}
+    with pytest.raises(ValueError):
+        line_dedup.line_dedup(df, keep="last")
+
+
 # the pipeline
 
 
