@@ -63,21 +63,27 @@ def hung_lower(edges: DataFrame, larger_only: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def with_roots(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``id`` and ``component``, the smallest id reachable, of every node that has an edge to another.
 
     Edges ``a``, ``b`` may repeat, lead back and form long chains. They are folded within tasks
-    first; then larger and smaller star steps alternate until nothing moves, a number of rounds
-    that grows with the logarithm of the number of nodes. Each round is written to the shared folder.
+    first. If no more than one portion is left, one more fold ends it; else larger and smaller star
+    steps alternate until nothing moves, a number of rounds that grows with the logarithm of the
+    number of nodes. Each round is written to the shared folder.
     """
     straight = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    stars = written(folded(straight).distinct(), "stars")
-    state = None
+    stars, state = written(folded(straight).distinct(), "stars"), None
+    if stars.count() <= PORTION:  # what any task folds at a time
+        stars = written(folded(stars.repartition(1)), "stars")
+        return with_roots(stars)
     while True:
         after = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if after == state or not after[0]:
-            return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
-                stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-            )
+            return with_roots(stars)
         state = after
         stars = written(hung_lower(written(hung_lower(stars, True), "larger"), False), "stars")

@@ -12,8 +12,10 @@
    stored in a path-compressed trie. Each set traverses it, sharing the overlap of common paths,
    and leaves a subtree when what remains of both sets can't reach the overlap needed. Sets that
    are connected already are not compared again.
-5. A group too large for one tile is cut into blocks; blocks are joined with themselves and the next,
-   and what the largest component then leaves out is joined with every block.
+5. A group too large for a few tiles is first split by the parts of a second hash over all shingles:
+   sets that link share one of those too, so what does not meet there needs no comparison.
+6. What stays too large for one tile (near copies, as a rule) is cut into blocks; blocks are joined with
+   themselves and the next, and what the largest component then leaves out is joined with every block.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from cohortlane.functions.times import own_prefix
 from cohortlane.llm.components import connected
 from cohortlane.session import written
 
@@ -146,14 +149,16 @@ def part_keys(rare: np.ndarray, n: int, percent: int) -> np.ndarray:
 
     Two linking sets of ``n`` shingles at most differ in ``2 n (100 - percent) / (100 + percent)``
     or fewer. A set gives the keys of every class that a linking set of its size or larger can be
-    in. Empty parts are common, so there are ``spare`` parts more, and a set with no more empty
-    parts than that gives the others only: one of them is shared still.
+    in. A part has a few shingles, so some are empty: about a tenth in the smallest sets of a class,
+    more where frequent shingles are gone. There are ``spare`` parts more than sets can differ in, and
+    a set with no more empty parts than that gives the others only: one of them is shared still. Sets
+    with more empty parts give these too, which are shared by many, so ``spare`` is ample.
     """
     bounds, found = size_bounds(), []
     for c in range(bisect_right(bounds, n) - 1, bisect_right(bounds, n * 100 // percent)):
         largest = bounds[c + 1] - 1
         differ = 2 * largest * (100 - percent) // (100 + percent)
-        spare = 1 + (differ + 1) // 50
+        spare = 3 + (differ + 1) // 6
         parts = differ + 1 + spare
         of = ((rare >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
@@ -211,7 +216,25 @@ def neighbour_edges(postings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
     dealt = postings.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(edges, pair).distinct()
+    return dealt.mapInArrow(edges, pair)
+
+
+def finer_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` of groups split by the parts of another hash of all shingles; sets that meet no other are left out."""
+    schema = StructType([StructField("key", LongType()), StructField("node", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
+            keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, component, packed in zip(*(batch.column(c).to_pylist() for c in ("id", "component", "shingles"))):
+                found = np.frombuffer(packed, np.uint64) * MIX[1]
+                found = np.sort(found ^ found >> np.uint64(29))
+                keys.append(part_keys(found, len(found), percent).view(np.int64) ^ np.int64(component))
+                nodes.append(np.full(len(keys[-1]), i))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+    edges = neighbour_edges(sets.select("id", "component", "shingles").mapInArrow(run, schema))
+    return sets.drop("component").join(connected(edges), "id").select(*sets.columns)
 
 
 def marked_ids(ids: DataFrame) -> np.ndarray:
@@ -378,17 +401,45 @@ def tile_links(tiles: DataFrame, percent: int, order) -> DataFrame:
     return tiles.select("tile", "id", "old", "known", "shingles").repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(run, pair)
 
 
+def keyed_nodes(docs: DataFrame, key: str) -> tuple[DataFrame, str, int | None]:
+    """``docs`` with a node of the graph per row: its key or, for null keys, a number above all keys.
+
+    Also the name of that column, which no other has, and the largest key, or None without null keys.
+    """
+    own, node = F.col(f"`{key}`"), own_prefix(docs) + "node"
+    if docs.filter(own.isNull()).isEmpty():
+        return docs.withColumn(node, own.cast("long")), node, None
+    largest = docs.agg(F.max(own.cast("long"))).first()[0]
+    largest = -1 if largest is None else int(largest)
+    number = F.lit(largest).cast("long") + 1 + F.monotonically_increasing_id()
+    without = written(docs.filter(own.isNull()).withColumn(node, number), "nullkeys")  # pinned: the numbers are read several times
+    return docs.filter(own.isNotNull()).withColumn(node, own.cast("long")).unionByName(without), node, largest
+
+
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90, frequent: int = FREQUENT, tile: int = TILE_SHINGLES) -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
 
     A-Z are lower-cased and words are what ASCII white space separates. A text of fewer than
     ``width`` words is one shingle; null, empty and blank texts have none and link with nothing.
     Two sets link when their intersection is ``percent`` of their union or more. Equal sets link,
-    rows with equal keys are one node of the graph, keys must not be null. An empty table gives no
-    rows; other columns are not read. ``frequent`` shingles at most are put last in the global order,
-    which changes the work and not the result, and is all that is broadcast. ``tile`` bounds the
-    shingles that one task holds.
+    rows with equal keys are one node of the graph. Every row with a null key is a node of its own,
+    compared like the others; its component is null if no key is reachable. Keys are whole numbers.
+    An empty table gives no rows; other columns are not read. ``frequent`` shingles at most are put
+    last in the global order, which changes the work and not the result, and is all that is
+    broadcast. ``tile`` bounds the shingles that one task holds.
     """
+    plain = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("body"))
+    nodes, node, largest = keyed_nodes(plain, "key")
+    found = node_components(nodes, node, "body", width, percent, frequent, tile)
+
+    def told(name: str):
+        return F.col(name) if largest is None else F.when(F.col(name) <= largest, F.col(name))
+
+    return found.select(told("node").alias(key), "n_shingles", told("component").alias("component_id"))
+
+
+def node_components(df: DataFrame, key: str, text: str, width: int, percent: int, frequent: int = FREQUENT, tile: int = TILE_SHINGLES) -> DataFrame:
+    """``node``, ``n_shingles`` and ``component``, the smallest node reachable, of rows whose ``key`` is never null."""
     spark = df.sparkSession
     rows = written(set_rows(df, key, text, width), "sets")
     docs = rows.filter("sig IS NOT NULL")
@@ -402,6 +453,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     groups = connected(neighbour_edges(part_postings(df, text, width, percent, order))).withColumnRenamed("id", "node")
     wanted = written(reps.select(F.col("rep").alias("id"), "node").join(groups, "node").select("id", "component").distinct(), "wanted")
     sets = written(candidate_sets(df, key, text, width, wanted), "shingles")
+    heavy = written(sets.groupBy("component").agg(F.sum("n").alias("load")).filter(F.col("load") > 2 * tile).select("component"), "heavy")
+    if not heavy.isEmpty():
+        split = finer_groups(sets.join(heavy, "component", "left_semi"), percent)
+        sets = written(sets.join(heavy, "component", "left_anti").select(*sets.columns).unionByName(split), "split")
     loads = sets.groupBy("component").agg(F.sum("n").alias("load"))
     blocks = F.ceil(F.col("load") / tile).cast("int")
     cut = sets.join(loads.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -416,7 +471,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     joined = written(connected(links), "joined")
     named = docs.select("id", "n", "sig").join(reps.select("sig", "rep"), "sig", "left")
     ends = named.join(joined.withColumnRenamed("id", "rep").withColumnRenamed("component", "reached"), "rep", "left")
-    return ends.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("reached", "rep", "id").alias("component_id"))
+    return ends.select(F.col("id").alias("node"), F.col("n").alias("n_shingles"), F.coalesce("reached", "rep", "id").alias("component"))
 
 
 def left_over(large: DataFrame, sets: DataFrame, linked: DataFrame, percent: int, order) -> DataFrame:
@@ -443,16 +498,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     Every row with a null key is a document of its own, compared like the others and after all keys
     in order: it goes if a row with a key is in its component, and one row stays of a component of
-    null keys only.
+    null keys only. Columns of ``docs`` may have any names.
     """
-    own, node = F.col(f"`{key}`"), "__node"
-    if docs.filter(own.isNull()).isEmpty():
-        nodes = docs.withColumn(node, own)
-    else:
-        largest = docs.agg(F.max(own)).first()[0]
-        number = F.lit(-1 if largest is None else int(largest)).cast("long") + 1 + F.monotonically_increasing_id()
-        without = written(docs.filter(own.isNull()).withColumn(node, number), "nullkeys")  # pinned: the numbers are read twice
-        nodes = docs.filter(own.isNotNull()).withColumn(node, own.cast("long")).unionByName(without)
-    found = jaccard_components(nodes, node, text, width, percent)
-    stay = written(found.filter(F.col(node) == F.col("component_id")).select(F.col(node).alias("__stay")).distinct(), "stay")
-    return nodes.join(stay, nodes[node] == stay["__stay"], "left_semi").drop(node)
+    nodes, node, _ = keyed_nodes(docs, key)
+    found = node_components(nodes, node, text, width, percent)
+    stay = written(found.filter("node = component").select("node").distinct(), "stay")
+    return nodes.join(stay, nodes[node] == stay["node"], "left_semi").drop(node)
