@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlane.functions.times import own_prefix
 from cohortlane.llm.frames import ascii_lower
 from cohortlane.session import written
 
@@ -65,10 +66,19 @@ def colliding(plain: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Of rows alike in key and text, one stays."""
-    groups = exact_groups(docs, key, text, keep)
-    stay = groups.filter("kept").select(F.col(key).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    """The rows of ``docs`` that stay, with all their columns, whose names are free.
+
+    Of rows alike in key and text, one stays. Key and text hash are one tag, so the rows are
+    shuffled once, by it, both for the join and for picking one of its rows.
+    """
+    own = own_prefix(docs)
+    tag = own + "tag"
+
+    def tagged(key_column: Column, sha: Column) -> Column:
+        return F.sha2(F.concat_ws("/", sha, key_column.cast("string")), 256).alias(tag)
+
+    groups = exact_groups(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("body")), "key", "body", keep)
+    stay = groups.filter("kept").select(tagged(F.col("key"), F.col("text_sha256"))).distinct()
     body = ascii_lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    hashed = docs.withColumns({"__sha": F.sha2(body, 256), "__id": F.col(f"`{key}`")})
-    same = hashed["__id"].eqNullSafe(stay["__id"]) & (hashed["__sha"] == stay["__sha"])
-    return hashed.join(stay, same, "left_semi").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    marked = docs.withColumn(tag, tagged(F.col(f"`{key}`"), F.sha2(body, 256)))
+    return marked.join(stay, tag, "left_semi").dropDuplicates([tag]).select(*(F.col(f"`{c}`") for c in docs.columns))
