@@ -8,9 +8,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 
 # Words that may not stand alone as a name.
-RESERVED_WORDS = frozenset(
-    "if else repeat while function for next break TRUE FALSE NULL Inf NaN NA "
-    "NA_integer_ NA_real_ NA_complex_ NA_character_ in".split()
+RESERVED_WORDS = (
+    "if", "else", "repeat", "while", "function", "for", "next", "break", "TRUE", "FALSE", "NULL", "Inf", "NaN", "NA",
+    "NA_integer_", "NA_real_", "NA_complex_", "NA_character_", "in",
 )
 
 
@@ -40,3 +40,12 @@ def column_names(names: Iterable[str]) -> dict[str, str]:
 
 def with_clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*column_names(df.columns))
+
+
+def resolved(columns: Iterable[str], name: str) -> str | None:
+    """The column called ``name``, or else the first whose cleaned form is the same, dots and underscores alike."""
+    columns = list(columns)
+    if name in columns:
+        return name
+    wanted = syntactic_name(name).replace(".", "_")
+    return next((c for c in columns if syntactic_name(c).replace(".", "_") == wanted), None)

@@ -34,17 +34,13 @@ def own_prefix(df: DataFrame) -> str:
     return prefix
 
 
-def with_date_text(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """Add ``out``: a date text as timestamp, null when no form fits.
+def with_date_parts(df: DataFrame, text: Column, own: str) -> DataFrame:
+    """Add the number texts of a date text: ``size`` and ``p0`` to ``p5`` under the prefix ``own``, and ``month`` where it is named.
 
-    Forms in this order: month/day/year hour:minute, month/day/year hour:minute:second,
-    year-month-day, month/day/year, day/month/year, hour:minute. Separators are free, months
-    may be named, a leading year has four digits, and a lone clock time falls on day one of
-    year zero. The steps are columns of their own, so that each is worked out once per row
-    and the generated methods stay small enough for the JVM to compile.
+    The steps are columns of their own, so that each is worked out once per row and the generated
+    methods stay small enough for the JVM to compile.
     """
     months = F.create_map(*(F.lit(v) for i, m in enumerate(MONTHS, 1) for v in ((m, i) if m == "may" else (m, i, m[:3], i))))
-    own = own_prefix(df)
     trimmed = F.trim(text)
     named_month = trimmed.rlike("[A-Za-z]")
     swap = r"^(\d{1,2})[\s\-./,]*([A-Za-z]{3,9})[\s\-./,]*(\d{4}|\d{2})$"
@@ -59,11 +55,40 @@ def with_date_text(df: DataFrame, text: Column, out: str) -> DataFrame:
     form = r"^(\d{1,2}:\d{1,2}|\d+([^0-9A-Za-z]+\d+){2}|\d+([^0-9A-Za-z]+\d+){4,5})$"
     steps = steps.withColumn(own + "parts", F.when(F.col(own + "text").rlike(form), F.split(own + "text", "[^0-9]+")))
     steps = steps.withColumns({own + "size": F.size(own + "parts"), **{f"{own}p{i}": F.get(own + "parts", F.lit(i)) for i in range(6)}})
+    return steps.drop(own + "text", own + "parts")
+
+
+def date_order_fits(own: str) -> dict[str, Column]:
+    """Whether the parts of a row are a date in each order; true in both where day and month can change places."""
+    a, b, c = (F.col(f"{own}p{i}") for i in range(3))
+    free = (F.col(own + "size") == 3) & F.col(own + "month").isNull() & (F.length(a) <= 2) & (F.length(b) <= 2) & F.length(c).isin(2, 4)
+
+    def within(part: Column, most: int) -> Column:
+        return part.try_cast("int").between(1, most)
+
+    fits = {"mdy": within(a, 12) & within(b, 31), "dmy": within(b, 12) & within(a, 31)}
+    return {order: F.coalesce(free & fit, F.lit(False)) for order, fit in fits.items()}
+
+
+def with_date_text(df: DataFrame, text: Column, out: str, date_order: str = "mdy") -> DataFrame:
+    """Add ``out``: a date text as timestamp, null when no form fits.
+
+    Forms in this order: month/day/year hour:minute, month/day/year hour:minute:second,
+    year-month-day, month/day/year, day/month/year, hour:minute; with ``date_order="dmy"``
+    day/month/year comes before month/day/year. Separators are free, months may be named, a leading
+    year has four digits, and a lone clock time falls on day one of year zero.
+    """
+    own = own_prefix(df)
+    steps = with_date_parts(df, text, own)
     a, b, c, d, e, f = (F.col(f"{own}p{i}") for i in range(6))
     clock_only = F.col(own + "size") == 2
     leading_year = (F.col(own + "size") == 3) & (F.length(a) == 4)
-    # Only a first number above 12 makes month/day fail where day/month can still fit.
-    day_first = (F.col(own + "size") == 3) & (F.length(a) == 2) & (a > "12")
+    if date_order == "dmy":
+        # Only a second number above 12 makes day/month fail where month/day can still fit.
+        day_first = (F.col(own + "size") == 3) & F.col(own + "month").isNull() & ~((F.length(b) == 2) & (b > "12"))
+    else:
+        # Only a first number above 12 makes month/day fail where day/month can still fit.
+        day_first = (F.col(own + "size") == 3) & (F.length(a) == 2) & (a > "12")
     steps = steps.withColumns({
         own + "form": F.when(leading_year, "ymd").when(day_first, "dmy").when(clock_only, "clock").otherwise("mdy"),
         own + "year": F.when(F.length(c) == 2, F.concat(F.when(c < "69", "20").otherwise("19"), c)).when(F.length(c) == 4, c),
@@ -79,7 +104,7 @@ def with_date_text(df: DataFrame, text: Column, out: str) -> DataFrame:
         ),
     )
     steps = steps.withColumn(out, moment.try_cast("timestamp_ntz"))
-    return steps.drop(own + "text", own + "month", own + "parts", own + "size", own + "form", own + "year", *(f"{own}p{i}" for i in range(6)))
+    return steps.drop(own + "month", own + "size", own + "form", own + "year", *(f"{own}p{i}" for i in range(6)))
 
 
 def typed_time_kind(kind: T.DataType) -> str | None:
@@ -91,8 +116,11 @@ def typed_time_kind(kind: T.DataType) -> str | None:
     return None
 
 
-def with_time_value(df: DataFrame, name: str, time_kind: str, out: str = TIME) -> DataFrame:
-    """Add the time as a double for numeric times, as microseconds in a long for dates."""
+def with_time_value(df: DataFrame, name: str, time_kind: str, date_order: str | None = None, out: str = TIME) -> DataFrame:
+    """Add the time as a double for numeric times, as microseconds in a long for dates.
+
+    ``date_order`` says how date texts are read whose day and month can change places; None is ``mdy``.
+    """
     kind, value = type_of(df, name), column(df, name)
     if time_kind == "numeric":
         if isinstance(kind, T.StringType):
@@ -109,7 +137,7 @@ def with_time_value(df: DataFrame, name: str, time_kind: str, out: str = TIME) -
     if isinstance(kind, T.TimestampNTZType):
         return df.withColumn(out, micros(value))
     moment = own_prefix(df) + "moment"
-    parsed = with_date_text(df, value.cast("string"), moment)
+    parsed = with_date_text(df, value.cast("string"), moment, date_order or "mdy")
     return parsed.withColumn(out, micros(F.col(moment))).drop(moment)
 
 

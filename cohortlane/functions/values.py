@@ -11,6 +11,9 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # Labels that count as missing, in lower case.
 MISSING_WORDS = ("none", "unknown", "missing", "na")
 
+# Fixed value: what a label loses at its end.
+LABEL_TAIL = r",\d+(\)?)$"
+
 
 def type_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
@@ -22,10 +25,11 @@ def named(name: str) -> Column:
 
 def column(df: DataFrame, name: str) -> Column:
     """The column called exactly ``name``, dots and all, with NaN read as missing."""
-    found = named(name)
-    if isinstance(type_of(df, name), (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(found), found)
-    return found
+    return without_nan(type_of(df, name), named(name))
+
+
+def without_nan(kind: T.DataType, value: Column) -> Column:
+    return F.when(~F.isnan(value), value) if isinstance(kind, (T.DoubleType, T.FloatType)) else value
 
 
 def number_text(number: Column) -> Column:
@@ -41,7 +45,13 @@ def number_text(number: Column) -> Column:
 
 def as_text(df: DataFrame, name: str) -> Column:
     """A value as text; doubles without a trailing ``.0``, booleans in capitals."""
-    kind, value = type_of(df, name), column(df, name)
+    return as_text_of(df, name, named(name))
+
+
+def as_text_of(df: DataFrame, name: str, value: Column) -> Column:
+    """``as_text`` of a value that stands elsewhere and has the type of ``name``."""
+    kind = type_of(df, name)
+    value = without_nan(kind, value)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return number_text(value.cast("double"))
     if isinstance(kind, T.BooleanType):
@@ -74,7 +84,7 @@ def missing_label(text: Column) -> Column:
 
 def legacy_label(label: Column) -> Column:
     """Drop a trailing ``,digits`` of a label, keeping a closing round bracket."""
-    return F.regexp_replace(label, r",\d+(\)?)$", "$1")
+    return F.regexp_replace(label, LABEL_TAIL, "$1")
 
 
 def percent_text(part: Column, whole: Column) -> Column:

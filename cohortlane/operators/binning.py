@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlane.functions.values import as_text, column, legacy_label, type_of
+from cohortlane.functions.values import as_text, column, type_of, named
 from cohortlane.operators.ranking import dense_order, in_order
 
 # Limits of the binning and palette rules.
 MANY_VALUES = 15
+# Fixed value: how a level that is a number looks.
+NUMBER_LEVEL = r"^-?[0-9,.]+$"
 QUALITATIVE_LEVELS = 12
 LABEL_DIGITS = 4
 LABEL_DIGITS_MOST = 12
@@ -50,17 +52,16 @@ def quartile_cuts(df: DataFrame, name: str, approximate: bool = False) -> Quarti
     """Exact linear-interpolation quartiles over all rows, duplicates dropped.
 
     The values fold to counts, the distinct values are sorted across the cluster, and only
-    the slices that hold a wanted position are looked into. ``approximate`` takes a sketch
-    instead, for the distinct count as well.
+    the slices that hold a wanted position are looked into. ``approximate`` takes the cut points
+    from a sketch; the distinct count stays exact up to one more than ``MANY_VALUES``, where it ends.
     """
     if not isinstance(type_of(df, name), T.NumericType):
         raise ValueError(f"{name} is not numeric")
     if approximate:
         value = column(df, name).cast("double")
-        row = df.agg(
-            F.approx_count_distinct(value).alias("n"), F.percentile_approx(value, list(QUARTILES), 100_000).alias("cuts")
-        ).first()
-        return QuartileCuts(row["n"], tuple(sorted(set(row["cuts"] or ()))))
+        row = df.agg(F.percentile_approx(value, list(QUARTILES), 100_000).alias("cuts")).first()
+        few = df.select(value.alias("value")).filter("value IS NOT NULL").distinct().limit(MANY_VALUES + 1).count()
+        return QuartileCuts(few, tuple(sorted(set(row["cuts"] or ()))))
     placed = in_order(_value_counts(df, name), F.col("value"))
     # One row per sorted partition.
     slices = placed.groupBy("_slice").agg(F.count("*").alias("n_distinct"), F.sum("held").alias("n")).orderBy("_slice").collect()
@@ -95,6 +96,37 @@ def _values_at(placed: DataFrame, held: dict[int, int], wanted: list[int]) -> di
     return {row["spot"]: row["value"] for row in hits.collect()}
 
 
+#: Size of a sketch; see ``rank_error``.
+SKETCH_SIZE = 2_000
+
+
+def rank_error(size: int = SKETCH_SIZE) -> float:
+    """How far, as a share of all values, a cut from a sketch may lie from its place, 99 times in 100.
+
+    The published bound of the sketch for one rank, the same however many sketches were merged.
+    """
+    return 2.296 / size**0.9723
+
+
+def value_sketches(df: DataFrame, name: str, by: list[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """``by``, ``n`` and a mergeable quantile sketch of the non-null values of each group, a few kilobytes whatever its rows."""
+    value = column(df, name).cast("double")
+    rows = df.select(*(named(c) for c in by), value.alias("value")).filter("value IS NOT NULL")
+    return rows.groupBy(*(named(c) for c in by)).agg(F.count("*").alias("n"), F.kll_sketch_agg_double("value", F.lit(size)).alias("sketch"))
+
+
+def merged_cuts(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``by``, ``n``, ``cut_no`` and ``cut`` of sketches merged over groups, days or files.
+
+    The first and the last cut are the exact ends; the others lie within ``rank_error`` of their places.
+    """
+    merged = sketches.groupBy(*(named(c) for c in by or ())).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch")).filter("n > 0")
+    ranks = F.array(*(F.lit(p) for p in QUARTILES))
+    cuts = F.posexplode(F.kll_sketch_get_quantile_double("sketch", ranks))
+    told = merged.select(*(named(c) for c in by or ()), "n", cuts.alias("place", "cut"))
+    return told.select(*(named(c) for c in by or ()), "n", (F.col("place") + 1).alias("cut_no"), "cut")
+
+
 def quartile_cuts_frame(df: DataFrame, name: str) -> DataFrame:
     """The cut points as rows: ``cut_no``, ``cut`` and the distinct count."""
     found = quartile_cuts(df, name)
@@ -126,10 +158,6 @@ def quartile_bins(df: DataFrame, name: str, cuts: QuartileCuts | None = None, ma
     return df.withColumns({f"{name}_bin": number, f"{name}_quartile": label})
 
 
-def with_legacy_labels(df: DataFrame, label: str) -> DataFrame:
-    return df.withColumn("legacy_label", legacy_label(F.col(label)))
-
-
 def covariate_levels(df: DataFrame, name: str) -> DataFrame:
     """The distinct labels of a column with their order and the kind of scale they call for.
 
@@ -139,7 +167,7 @@ def covariate_levels(df: DataFrame, name: str) -> DataFrame:
     levels = df.select(as_text(df, name).alias("level")).filter("level IS NOT NULL").distinct()
     ordered = dense_order(levels, [F.col("level")], "level_index")
     facts = ordered.agg(
-        F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("level").rlike(r"^-?[0-9,.]+$")), F.lit(True)).alias("numbers")
+        F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("level").rlike(NUMBER_LEVEL)), F.lit(True)).alias("numbers")
     )
     kind = (
         F.when(F.col("numbers") & (F.col("n") > MANY_VALUES), "continuous")

@@ -9,6 +9,7 @@ from cohortlane.functions.flags import is_available, is_available_exact
 from cohortlane.functions.times import TIME, with_time_value
 from cohortlane.functions.values import as_text, column, missing_label, named
 from cohortlane.operators.attach import attach
+from cohortlane.operators.grid import grid_join
 from cohortlane.operators.timing import settle_time_kind
 from cohortlane.session import written
 from cohortlane.spec import StudySpec
@@ -44,7 +45,7 @@ def subject_group_flags(df: DataFrame, spec: StudySpec, group: str) -> DataFrame
     """
     spec = settle_time_kind(df, spec.on(df))
     n = len(spec.modalities)
-    rows = with_time_value(df, spec.time, spec.time_kind).select(
+    rows = with_time_value(df, spec.time, spec.time_kind, spec.date_order).select(
         column(df, spec.subject).alias("subject"),
         as_text(df, group).alias("Group"),
         F.col(TIME).alias("time"),
@@ -140,9 +141,10 @@ def contingency_by_joins(df: DataFrame, spec: StudySpec, group: str) -> DataFram
 def long_with_groups(long: DataFrame, group_rows: DataFrame) -> DataFrame:
     """Attach every group a subject has at a time to its available cells.
 
-    Nulls match nulls. A group column that ``long`` already has gives way to the right side.
+    Nulls match nulls. A group column that ``long`` already has gives way to the right side. A
+    subject and time with many cells and many groups is cut on both sides.
     """
-    right = group_rows.select(F.col("subject").alias("_s"), F.col("time").alias("_t"), F.col("Group").alias("_g")).distinct()
-    same = long["subject"].eqNullSafe(F.col("_s")) & long["time"].eqNullSafe(F.col("_t"))
-    kept = [named(c) for c in long.columns if c != "Group"]
-    return long.join(right, same, "left").select(*kept, F.col("_g").alias("Group"))
+    right = group_rows.select("subject", "time", F.col("Group")).distinct()
+    left = long.select(*(named(c) for c in long.columns if c != "Group"))
+    joined = grid_join(left, right, ["subject", "time"], [named(c) for c in left.columns], [F.col("Group")])
+    return joined.select(*(named(c) for c in left.columns), "Group")

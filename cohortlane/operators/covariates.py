@@ -56,7 +56,7 @@ def eligible_covariates(df: DataFrame, spec: StudySpec) -> DataFrame:
 def first_value(df: DataFrame, spec: StudySpec, covariate: str) -> DataFrame:
     """The first non-null value per subject by time, then sample key; null if there is none."""
     spec = settle_time_kind(df, spec.on(df))
-    rows = with_time_value(df, spec.time, spec.time_kind).select(
+    rows = with_time_value(df, spec.time, spec.time_kind, spec.date_order).select(
         column(df, spec.subject).alias("subject"),
         F.struct(F.col(TIME).alias("time"), column(df, spec.sample).alias("sample")).alias("at"),
         as_text(df, covariate).alias("value"),
@@ -86,7 +86,7 @@ def subject_pairs(df: DataFrame, spec: StudySpec, primary: str, secondary: str)
     """
     spec = settle_time_kind(df, spec.on(df))
     value = as_text(df, secondary)
-    rows = with_time_value(df, spec.time, spec.time_kind).select(
+    rows = with_time_value(df, spec.time, spec.time_kind, spec.date_order).select(
         column(df, spec.subject).alias("subject"),
         none_label(as_text(df, primary)).alias("primary"),
         F.when(

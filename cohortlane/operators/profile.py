@@ -32,7 +32,7 @@ def subject_profile(
     """
     by, firsts = by or {}, firsts or {}
     timed = spec.time_kind is not None
-    rows = with_time_value(df, spec.time, spec.time_kind) if timed else df.withColumn(TIME, F.lit(None).cast("double"))
+    rows = with_time_value(df, spec.time, spec.time_kind, spec.date_order) if timed else df.withColumn(TIME, F.lit(None).cast("double"))
     rows = rows.select(
         column(df, spec.subject).alias("subject"),
         named(spec.sample).alias("sample"),

@@ -59,7 +59,7 @@ def long_availability(df: DataFrame, spec: StudySpec, covariates: Sequence[str]
     and ``available``, one row per available cell.
     """
     spec = settle_time_kind(df, spec.on(df))
-    rows = with_time_value(df, spec.time, spec.time_kind).select(
+    rows = with_time_value(df, spec.time, spec.time_kind, spec.date_order).select(
         as_text(df, spec.sample).alias("sample_id"),
         column(df, spec.subject).alias("subject"),
         named(spec.time).cast("string").alias("time_raw"),
@@ -86,6 +86,6 @@ def availability_wide(df: DataFrame, spec: StudySpec, group: str) -> DataFrame:
     return cells.groupBy("subject", "group").pivot("modality", list(spec.modalities)).agg(F.sort_array(F.collect_list("available")))
 
 
-def wide_to_indicators(wide: DataFrame, modalities: Sequence[str]) -> DataFrame:
-    """List cells to 0/1."""
-    return wide.withColumns({m: cell_available(named(m)) for m in modalities})
+def wide_to_indicators(wide: DataFrame, modalities: Sequence[str], prefix: str = "") -> DataFrame:
+    """List cells to 0/1; with a ``prefix`` beside the lists, which stay."""
+    return wide.withColumns({prefix + m: cell_available(named(m)) for m in modalities})

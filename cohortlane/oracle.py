@@ -37,7 +37,7 @@ flagged AS (
   FROM orders o LEFT JOIN has ON o_orderkey = l_orderkey
 ),
 study AS (
-  SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, CAST(o_custkey AS VARCHAR) AS subject, f.*,
+  SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, CAST(o_custkey AS VARCHAR) AS subject, CAST(o_orderdate AS VARCHAR) AS time_raw, f.*,
     (epoch_us(o_orderdate) - min(epoch_us(o_orderdate)) OVER (PARTITION BY o_custkey)) / 86400000000.0 AS time,
     CASE WHEN has_a THEN 'Yes' ELSE 'No' END AS "ret_A",
     CASE WHEN has_n THEN 'Yes' ELSE 'No' END AS "ret_N",
@@ -47,7 +47,26 @@ study AS (
   FROM flagged f LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
 )"""
 ORDER_CELLS = ORDERS + f""",
-cells AS ({cells("study", "sample_id, o_orderkey, subject, time, segment, o_orderpriority", ORDER_FLAGS)})"""
+cells AS ({cells("study", "sample_id, o_orderkey, subject, time_raw, time, segment, o_orderpriority", ORDER_FLAGS)})"""
+
+NULL_SUBJECTS = """
+has AS (
+  SELECT l_orderkey, bool_or(l_returnflag = 'A') AS has_a, bool_or(l_returnflag = 'N') AS has_n, bool_or(l_returnflag = 'R') AS has_r
+  FROM lineitem GROUP BY l_orderkey
+),
+known AS (
+  SELECT o.*, CASE WHEN o_custkey % 13 <> 0 THEN o_custkey END AS who, c_mktsegment, coalesce(has_a, false) AS has_a,
+    coalesce(has_n, false) AS has_n, coalesce(has_r, false) AS has_r
+  FROM orders o LEFT JOIN has ON o_orderkey = l_orderkey LEFT JOIN customer ON o_custkey = c_custkey
+),
+study AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, CAST(who AS VARCHAR) AS subject, c_mktsegment,
+    (epoch_us(o_orderdate) - min(epoch_us(o_orderdate)) OVER (PARTITION BY who)) / 86400000000.0 AS time,
+    CASE WHEN has_a THEN 'Yes' ELSE 'No' END AS "ret_A", CASE WHEN has_n THEN 'Yes' ELSE 'No' END AS "ret_N",
+    CASE WHEN has_r THEN 'Yes' ELSE 'No' END AS "ret_R"
+  FROM known
+),
+cells AS (""" + cells("study", "sample_id, subject, time, c_mktsegment", ORDER_FLAGS) + ")"
 
 EVENTS = """
 daily AS (
@@ -163,6 +182,26 @@ SELECT * FROM counts
 UNION ALL SELECT 'Total', {sums("counts", modalities)}, CAST(sum({TOTAL}) AS INTEGER) FROM counts"""
 
 
+def live_distinct(group: str, modalities) -> str:
+    """The table where an unknown subject is a subject: it counts once beside the others."""
+    counts = ", ".join(
+        f"CAST(count(DISTINCT subject) FILTER (WHERE modality = '{m}') + max(CAST(subject IS NULL AND modality = '{m}' AS INTEGER)) AS INTEGER) AS \"{m}\""
+        for m in modalities
+    )
+    return f""",
+groups AS (SELECT DISTINCT subject, time, {group} AS grp FROM cells),
+joined AS (
+  SELECT c.subject, c.modality, g.grp FROM cells c LEFT JOIN groups g
+  ON c.subject IS NOT DISTINCT FROM g.subject AND c.time IS NOT DISTINCT FROM g.time
+),
+counts AS (
+  SELECT CAST(grp AS VARCHAR) AS "Group", {counts}, CAST(count(DISTINCT subject) + max(CAST(subject IS NULL AS INTEGER)) AS INTEGER) AS {TOTAL}
+  FROM joined GROUP BY grp
+)
+SELECT * FROM counts
+UNION ALL SELECT 'Total', {sums("counts", modalities)}, CAST(sum({TOTAL}) AS INTEGER) FROM counts"""
+
+
 def variant(study: str, group: str, tests: dict[str, str], total: bool = True) -> str:
     counts = ", ".join(f"CAST(count(DISTINCT subject) FILTER (WHERE {t}) AS INTEGER) AS \"{m}\"" for m, t in tests.items())
     shown = " OR ".join(f'"{m}" > 0' for m in tests)
@@ -309,7 +348,7 @@ MARKS = {",": "','", "tab": "chr(9)", ";": "';'", " ": "' '"}
 COUNTED = ", ".join(f"{occurrences('line', mark)} AS n{i}" for i, mark in enumerate(MARKS.values()))
 
 ORACLE: dict[str, str] = {
-    "long_availability": f"WITH {ORDER_CELLS} SELECT sample_id, subject, round(time, 6) AS time, modality, available FROM cells",
+    "long_availability": f"WITH {ORDER_CELLS} SELECT sample_id, subject, time_raw, round(time, 6) AS time, modality, available FROM cells",
     "availability_mixed_flags": f"WITH {mixed_cells(ANY_CASE)} SELECT sample_id, subject, modality, available FROM cells",
     "availability_case_sensitive": f"WITH {mixed_cells(EXACT)} SELECT sample_id, subject, modality, available FROM cells",
     "availability_wide": f"WITH {mixed_cells(ANY_CASE)} SELECT subject, o_orderpriority AS \"group\", " + ", ".join(
@@ -332,15 +371,23 @@ ORACLE: dict[str, str] = {
 SELECT (SELECT count(DISTINCT subject) FROM cells) AS subjects_with_data, (SELECT count(DISTINCT subject) FROM study) AS subjects""",
     "subject_rank_by_points_orders": f"WITH {ORDER_CELLS} {BY_POINTS}",
     "subject_rank_by_points_events": f"WITH {EVENT_CELLS} {BY_POINTS}",
-    "days_since_start_typed": f"WITH {ORDERS} SELECT sample_id, subject, round(time, 6) AS time FROM study",
+    "days_since_start_typed": f"WITH {ORDERS} SELECT sample_id, subject, time_raw, round(time, 6) AS time FROM study",
     "days_since_start_null_subjects": """WITH study AS (
   SELECT o_orderkey, o_orderdate, CASE WHEN o_custkey % 13 <> 0 THEN o_custkey END AS subject FROM orders
 )
-SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, CAST(subject AS VARCHAR) AS subject,
+SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, CAST(subject AS VARCHAR) AS subject, CAST(o_orderdate AS VARCHAR) AS time_raw,
   round((epoch_us(o_orderdate) - min(epoch_us(o_orderdate)) OVER (PARTITION BY subject)) / 86400000000.0, 6) AS time FROM study""",
     "days_since_start_text": f"""WITH {TEXT_TIMES}
 SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, CAST(o_custkey AS VARCHAR) AS subject, visit AS time_raw,
   round((epoch_us(moment) - min(epoch_us(moment)) OVER (PARTITION BY o_custkey)) / 86400000000.0, 6) AS time FROM parsed""",
+    "days_since_start_trained": """WITH visits AS (
+  SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 11 = 0 THEN 'not seen' WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%Y')
+    ELSE strftime(o_orderdate, '%-d.%-m.%y') END AS visit,
+    CASE WHEN o_orderkey % 11 <> 0 THEN epoch_us(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) END AS moment
+  FROM orders
+)
+SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, CAST(o_custkey AS VARCHAR) AS subject, visit AS time_raw,
+  round((moment - min(moment) OVER (PARTITION BY o_custkey)) / 86400000000.0, 6) AS time FROM visits""",
     "days_since_start_numeric": f"WITH {NUMBER_TIMES} SELECT sample_id, subject, visit AS time_raw, TRY_CAST(visit AS DOUBLE) AS time FROM visits",
     "time_kind_facts": f"""WITH {TEXT_TIMES}, numbers AS (WITH {NUMBER_TIMES} SELECT * FROM visits), shares AS (
   SELECT 'text' AS column_name, bool_and(TRY_CAST(visit AS DOUBLE) IS NOT NULL) AS all_numeric, avg(CAST(moment IS NOT NULL AS INTEGER)) AS ratio FROM parsed
@@ -352,11 +399,31 @@ SELECT column_name, all_numeric, round(CAST(ratio AS DOUBLE), 6) AS parsed_ratio
     "contingency_live": f"WITH {ORDER_CELLS} {live('segment', ORDER_FLAGS)}",
     "contingency_live_changing_groups": f"WITH {ORDER_CELLS} {live('o_orderpriority', ORDER_FLAGS)}",
     "contingency_live_labels": f"WITH {LABEL_CELLS} {live('lang', ('quality', 'toxic'))}",
+    "contingency_live_null_subjects": f"WITH {NULL_SUBJECTS} {live_distinct('c_mktsegment', ORDER_FLAGS)}",
+    "timeline_points_null_subjects": f"""WITH {NULL_SUBJECTS}, ranks AS (
+  SELECT subject, row_number() OVER (ORDER BY count(*) DESC, subject NULLS FIRST) AS subject_rank FROM cells GROUP BY subject
+)
+SELECT sample_id, c.subject, round(time, 6) AS time, 'None' AS color_group, 'None' AS point_group, subject_rank, modality, available,
+  concat_ws(' ', c.subject, '<br> o_orderdate :', {number_text("time")}, '<br> Omics Type:', modality) AS tooltip
+FROM cells c JOIN ranks r ON c.subject IS NOT DISTINCT FROM r.subject""",
+    "cleaned_study": f"""WITH {ORDER_CELLS}, counted AS (WITH {live('segment', ORDER_FLAGS).lstrip().lstrip(',')})
+SELECT "Group", "ret_A", "ret_N", "ret_R" AS "X2_ret", {TOTAL} FROM counted""",
+    "samples_without_key": f'WITH {ORDERS} SELECT o_custkey, o_orderdate, o_orderstatus, o_orderpriority, "ret_A", "ret_N", "ret_R" FROM study',
     "contingency_variant": f"WITH {ORDERS} {variant('study', 'segment', ORDER_TESTS)}",
     "contingency_variant_mixed_flags": f"WITH {MIXED} {variant('mixed', 'o_orderpriority', MIXED_TESTS)}",
     "contingency_variant_joins": f"WITH {ORDERS} {variant('study', 'segment', ORDER_TESTS, total=False)}",
     "long_group_join": f"""WITH {ORDER_CELLS}, groups AS (SELECT DISTINCT subject, time, o_orderpriority FROM cells)
-SELECT sample_id, c.subject, round(c.time, 6) AS time, modality, available, g.o_orderpriority AS "Group"
+SELECT sample_id, c.subject, c.time_raw, round(c.time, 6) AS time, modality, available, g.o_orderpriority AS "Group"
+FROM cells c LEFT JOIN groups g ON c.subject = g.subject AND c.time IS NOT DISTINCT FROM g.time""",
+    "long_group_join_skewed": """WITH placed AS (
+  SELECT o_orderkey AS sample_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS subject,
+    CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE CAST(year(o_orderdate) AS INTEGER) END AS time, o_orderpriority || '/' || o_orderstatus AS grp
+  FROM orders
+), groups AS (SELECT DISTINCT subject, time, grp FROM placed)
+SELECT p.sample_id, p.subject, p.time, g.grp AS "Group" FROM placed p LEFT JOIN groups g
+  ON p.subject IS NOT DISTINCT FROM g.subject AND p.time IS NOT DISTINCT FROM g.time""",
+    "group_collision": f"""WITH {ORDER_CELLS}, groups AS (SELECT DISTINCT subject, time, o_orderpriority FROM cells)
+SELECT sample_id, c.subject, c.time_raw, round(c.time, 6) AS time, modality, available, g.o_orderpriority AS "Group"
 FROM cells c LEFT JOIN groups g ON c.subject = g.subject AND c.time IS NOT DISTINCT FROM g.time""",
     "eligible_covariates": f"WITH {ORDERS} " + eligible(
         {c: c for c in ("o_orderpriority", "segment", "c_mktsegment", "n_name", "c_acctbal")} | {"unit": "'order'"}
@@ -383,6 +450,9 @@ SELECT subject, "primary" AS secondary, subject_rank FROM ranked""",
 SELECT CAST(cut_no AS INTEGER) AS cut_no, round(cut, 6) AS cut, (SELECT count(DISTINCT c_acctbal) FROM customer) AS n_distinct FROM cuts""",
     "quartile_cuts_with_ties": f"""WITH {cuts('lineitem', 'l_quantity')}
 SELECT CAST(cut_no AS INTEGER) AS cut_no, round(cut, 6) AS cut, (SELECT count(DISTINCT l_quantity) FROM lineitem) AS n_distinct FROM cuts""",
+    "quartile_cuts_merged": """SELECT CAST(cut_no AS INTEGER) AS cut_no, count(c_acctbal) AS n,
+  CASE cut_no WHEN 1 THEN round(min(c_acctbal), 6) WHEN 5 THEN round(max(c_acctbal), 6) END AS "end", true AS within_error
+FROM customer, range(1, 6) t(cut_no) GROUP BY cut_no""",
     "quartile_bins": f"""WITH {cuts('customer', 'c_acctbal')} {BINS}
 SELECT c_custkey, c_acctbal, bin AS c_acctbal_bin, label AS c_acctbal_quartile
 FROM customer LEFT JOIN bins ON {IN_BIN.format('c_acctbal')}""",
@@ -408,10 +478,11 @@ FROM ranges r JOIN dims d ON r.subject = d.subject WHERE EXISTS (SELECT 1 FROM c
 SELECT subject, color_group, subject_rank, modality, round(strip_x, 6) AS strip_x, round(strip_width, 6) AS strip_width FROM dims, place""",
     "timeline_anchored": f"""WITH {TIMELINE}, points AS ({TIMELINE_POINTS})
 SELECT sample_id, subject, time, color_group, point_group, subject_rank, modality, available,
-  CAST(NULL AS DOUBLE) AS min_pts, CAST(NULL AS DOUBLE) AS max_pts FROM points
+  CAST(NULL AS DOUBLE) AS min_pts, CAST(NULL AS DOUBLE) AS max_pts, tooltip FROM points
 UNION ALL
-SELECT NULL, d.subject, round(strip_x - 2 * strip_width, 6), color_group, point_group, subject_rank, modality, 'Anchor', NULL, NULL
-FROM dims d, place WHERE EXISTS (SELECT 1 FROM cells c WHERE c.subject = d.subject)""",
+SELECT NULL, d.subject, round(anchor_x, 6), color_group, point_group, subject_rank, modality, 'Anchor', NULL, NULL,
+  d.subject || ' <br> o_orderdate : ' || {number_text("anchor_x")} || ' <br> Omics Type: ' || modality || ' <br> segment : ' || coalesce(color_group, 'NA')
+FROM dims d, (SELECT *, CAST(strip_x - strip_width * 2 AS DOUBLE) AS anchor_x FROM place) WHERE EXISTS (SELECT 1 FROM cells c WHERE c.subject = d.subject)""",
     "timeline_facet": f"WITH {TIMELINE} SELECT * FROM ({TIMELINE_POINTS}) WHERE modality = 'ret_N'",
     "timeline_axis_labels": f"WITH {TIMELINE} SELECT subject, color_group, subject_rank FROM dims",
     "timeline_modality_levels": f"""WITH {ORDER_CELLS}
@@ -447,6 +518,18 @@ SELECT min_time, max_time, round((max_time - min_time) * 0.1, 6) AS padding, rou
 counted AS (SELECT doc_id, line, {COUNTED} FROM lines), topped AS (SELECT *, greatest(n0, n1, n2, n3) AS top FROM counted)
 SELECT doc_id, CASE top WHEN n0 THEN ',' WHEN n1 THEN chr(9) WHEN n2 THEN ';' ELSE ' ' END AS delimiter,
   CASE WHEN n1 > 0 THEN chr(9) WHEN n0 > 0 THEN ',' ELSE '' END AS simple_delimiter FROM topped""",
+    "folder_delimiters": f"""WITH firsts AS (SELECT lang || '-' || source AS name, arg_min(text, doc_id) AS text FROM documents GROUP BY 1),
+lines AS (SELECT name, regexp_extract(text, '^[^\\r\\n]*') AS line FROM firsts),
+counted AS (SELECT name, line, {COUNTED} FROM lines), topped AS (SELECT *, greatest(n0, n1, n2, n3) AS top FROM counted)
+SELECT name, line, CASE top WHEN n0 THEN ',' WHEN n1 THEN chr(9) WHEN n2 THEN ';' ELSE ' ' END AS delimiter FROM topped""",
+    "file_preview": """WITH placed AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS row_no FROM customer)
+SELECT c_mktsegment AS segment, CAST(row_no AS INTEGER) AS row_no, 'c_custkey|c_name|c_nationkey|c_acctbal|c_mktsegment' AS names,
+  c_custkey || '|' || c_name || '|' || c_nationkey || '|' || CAST(c_acctbal AS VARCHAR) || '|' || c_mktsegment AS cells
+FROM placed WHERE row_no <= 5""",
+    "mixed_folder_read": """SELECT CASE WHEN c_custkey % 3 = 2 THEN 'K' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') ELSE CAST(c_custkey AS VARCHAR) END AS c_custkey, c_name,
+  CASE c_custkey % 3 WHEN 0 THEN c_acctbal WHEN 1 THEN floor(c_acctbal) END AS c_acctbal,
+  CASE WHEN c_custkey % 3 < 2 THEN c_mktsegment END AS c_mktsegment FROM customer""",
+    "names_from_files": """SELECT p_name AS name FROM part UNION ALL SELECT p_type FROM part WHERE p_size > 25""",
     "name_list_parse": """SELECT p_partkey, name FROM (
   SELECT p_partkey, unnest(list_append(string_split(p_name, ' '), p_type)) AS name FROM part
 ) WHERE name <> ''""",
@@ -456,12 +539,20 @@ SELECT doc_id, CASE top WHEN n0 THEN ',' WHEN n1 THEN chr(9) WHEN n2 THEN ';' EL
     "feature_matrix_long": """SELECT 'embeddings' AS dataset, CAST(vec_id AS VARCHAR) AS sample_id, 'f' || (place - 1) AS feature,
   round(CAST(embedding[place] AS DOUBLE), 6) AS value
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings)""",
+    "feature_matrix_unnamed": """SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') AS sample_id, ['f0', 'NA', 'V4', 'f3'][place] AS feature,
+  round(CAST(embedding[place] AS DOUBLE), 6) AS value FROM (SELECT vec_id, embedding, unnest([1, 2, 3, 4]) AS place FROM embeddings)""",
+    "feature_matrix_blocks": """SELECT 'embeddings' AS dataset, CAST(vec_id AS VARCHAR) AS sample_id, 'f' || (place - 1) AS feature,
+  round(CAST(embedding[place] AS DOUBLE), 6) AS value FROM (SELECT vec_id, embedding, unnest([1, 8, 32]) AS place FROM embeddings)""",
     "new_files_only": """WITH named AS (SELECT doc_id, lang || '-' || source AS name FROM documents)
 SELECT name, min(name || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.txt') AS path FROM named
 WHERE name NOT IN (SELECT n.name FROM named n JOIN labels l ON n.doc_id = l.doc_id WHERE toxic = 1) GROUP BY name""",
     "table_search": """SELECT * FROM customer WHERE (
   SELECT bool_and(contains(lower(concat_ws(' ', c_custkey, c_name, c_nationkey,
     regexp_replace(CAST(c_acctbal AS VARCHAR), '\\.0$', ''), c_mktsegment)), word))
+  FROM (SELECT unnest(['house', '00', '4']) AS word))""",
+    "table_search_indexed": """SELECT * FROM customer WHERE (
+  SELECT bool_and(contains(lower(concat_ws(' ', c_custkey, c_name, c_nationkey,
+    regexp_replace(CAST(c_acctbal AS VARCHAR), '\\.0$', ''), c_mktsegment)), word))
   FROM (SELECT unnest(['house', '00', '4']) AS word))""",
     "csv_roundtrip": "SELECT * FROM customer",
     "stored_dataset": "SELECT * FROM orders",
@@ -471,7 +562,11 @@ FROM documents GROUP BY 2 HAVING count(*) > 1""",
   round(CAST(embedding[place] AS DOUBLE), 6) AS value
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings)""",
     "streamed_files": "SELECT * FROM customer",
+    "streamed_files_two_runs": "SELECT * FROM customer",
+    "streamed_files_refused": """SELECT * FROM customer WHERE c_custkey % 10 = 0
+UNION ALL SELECT customer.* FROM customer, range(2) WHERE c_custkey % 2 = 1 AND c_custkey % 7 = 3
+UNION ALL SELECT NULL, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 11 = 0""",
     "running_ranges_events": """SELECT CAST(user_id AS VARCHAR) AS subject, event_type AS modality, count(*) AS n_samples,
-  min(epoch_us(ts)) AS min_time, max(epoch_us(ts)) AS max_time FROM events
-WHERE event_type IN ('click', 'error', 'purchase', 'signup', 'view') GROUP BY 1, 2""",
-}
+  min(epoch_us(ts)) AS min_time, max(epoch_us(ts)) AS max_time FROM events GROUP BY 1, 2""",
+    "running_ranges_batches": """SELECT CAST(user_id AS VARCHAR) AS subject, event_type AS modality, count(*) AS n_samples,
+  min(epoch_us(ts)) AS min_time, max(epoch_us(ts)) AS max_time FROM events GROUP BY 1, 2""",}

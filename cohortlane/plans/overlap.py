@@ -19,6 +19,15 @@ from cohortlane.session import written
 from cohortlane.spec import StudySpec
 
 
+# Words of the texts of points and ranges.
+SUBJECT_TOLD = "Subject ID:"
+MODALITY_TOLD = "Omics Type:"
+TIME_TOLD = "Timepoint:"
+FLAG_TOLD = "Available:"
+RANGE_TOLD = "Time Range:"
+RANGE_TO = "to"
+
+
 class Overlap:
     """Overlap of the modalities of a study over time."""
 
@@ -52,7 +61,7 @@ class Overlap:
 
     def points(self) -> DataFrame:
         df, spec = self.df, self.spec
-        rows = with_time_value(df, spec.time, spec.time_kind).select(
+        rows = with_time_value(df, spec.time, spec.time_kind, spec.date_order).select(
             column(df, spec.subject).alias("subject"),
             as_text(df, spec.sample).alias("sample_id"),
             F.col(TIME).alias("value"),
@@ -68,15 +77,15 @@ class Overlap:
         }
         cells = self._in_lanes(unpivot_texts(joined, spec, kept))
         return cells.withColumn("tooltip", F.concat_ws(
-            " ", F.lit("Subject ID:"), "subject", F.lit("\n"), F.lit("Omics Type:"), "modality", F.lit("\n"),
-            F.lit("Timepoint:"), self._told(F.col("time")), F.lit("\n"), F.lit("Available:"), "available",
+            " ", F.lit(SUBJECT_TOLD), "subject", F.lit("\n"), F.lit(MODALITY_TOLD), "modality", F.lit("\n"),
+            F.lit(TIME_TOLD), self._told(F.col("time")), F.lit("\n"), F.lit(FLAG_TOLD), "available",
         ))
 
     def segments(self) -> DataFrame:
         ranges = per_modality(self.subjects, self.spec, ["subject_rank"]).drop("n_samples", "n_untimed")
         return self._in_lanes(ranges).withColumn("tooltip", F.concat_ws(
-            " ", F.lit("Subject ID:"), "subject", F.lit("\n"), F.lit("Omics Type:"), "modality", F.lit("\n"),
-            F.lit("Time Range:"), self._told(F.col("min_pts")), F.lit("to"), self._told(F.col("max_pts")),
+            " ", F.lit(SUBJECT_TOLD), "subject", F.lit("\n"), F.lit(MODALITY_TOLD), "modality", F.lit("\n"),
+            F.lit(RANGE_TOLD), self._told(F.col("min_pts")), F.lit(RANGE_TO), self._told(F.col("max_pts")),
         ))
 
     def limits(self) -> DataFrame:

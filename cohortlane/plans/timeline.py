@@ -22,6 +22,11 @@ from cohortlane.session import written
 from cohortlane.spec import StudySpec
 
 
+# Words of a point's text.
+BREAK = "<br>"
+MODALITY_TOLD = "Omics Type:"
+
+
 class Timeline:
     """Timeline of a study, coloured by a primary and a secondary covariate.
 
@@ -97,10 +102,9 @@ class Timeline:
         def told(value):
             return F.coalesce(value, F.lit("NA"))
 
-        parts = [subject, F.lit("<br>"), F.lit(self.spec.time), F.lit(":"), told(number_text(time)), F.lit("<br>"),
-                 F.lit("Omics Type:"), modality]
+        parts = [subject, F.lit(BREAK), F.lit(self.spec.time), F.lit(":"), told(number_text(time)), F.lit(BREAK), F.lit(MODALITY_TOLD), modality]
         if self.primary is not None:
-            parts += [F.lit("<br>"), F.lit(self.primary), F.lit(":"), told(color)]
+            parts += [F.lit(BREAK), F.lit(self.primary), F.lit(":"), told(color)]
         return F.concat_ws(" ", *parts)
 
     def points(self, modality: str | None = None) -> DataFrame:
@@ -108,7 +112,7 @@ class Timeline:
         df, spec = self.df, self.spec
         if modality is not None:
             spec = replace(spec, modalities=tuple(m for m in spec.modalities if m == modality))
-        rows = with_time_value(df, spec.time, spec.time_kind).select(
+        rows = with_time_value(df, spec.time, spec.time_kind, spec.date_order).select(
             column(df, spec.subject).alias("subject"),
             as_text(df, spec.sample).alias("sample_id"),
             F.col(TIME).alias("value"),

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local applications that name none.
+LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cores: int | str | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     cores = cores or os.cpu_count() or 4
@@ -35,13 +39,26 @@ def shared_folder(spark: SparkSession) -> str:
     A temporary folder is made only for a local master; on a cluster a
     machine-local folder would not be visible to the other executors.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlane-"))
-    return spark.sparkContext.getCheckpointDir()
+    if context.applicationId not in LOCAL_FOLDERS:
+        LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="cohortlane-")
+    return LOCAL_FOLDERS[context.applicationId]
+
+
+def table_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
+    return f"{shared_folder(spark)}/cohortlane/{spark.sparkContext.applicationId}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; frames that read them are void afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -52,6 +69,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     table only when that size is under ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cohortlane/{label}-{uuid.uuid4().hex}"
+    path = f"{table_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,50 +2,64 @@
 
 from __future__ import annotations
 
+import csv
+import json
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlane.functions.names import syntactic_name
 from cohortlane.functions.text import file_base_name, file_extension
 from cohortlane.functions.values import named, to_number
-from cohortlane.operators.constraints import check_key, key_violations
-from cohortlane.session import written
-from cohortlane.sources.delimited import SEPARATORS, first_lines
+from cohortlane.operators.constraints import KeyViolation, check_key, key_violations
+from cohortlane.sources.delimited import SEPARATORS, layouts
 
 LONG_KEY = ["dataset", "sample_id", "feature"]
+#: Blocks of features that a stored dataset has; the number is part of what is stored.
+BLOCKS = 64
+
+
+def header_names(header: str, sep: str) -> list[str]:
+    """The fields of a header line, as many as it has; an empty one is named by its place, ``V1`` for the first."""
+    fields = next(csv.reader([header], delimiter=sep), [])
+    return [name.strip() or f"V{place}" for place, name in enumerate(fields, 1)]
 
 
 def matrix_rows(spark: SparkSession, paths: str | list[str], sep: str = ",", sample_column: str | None = None) -> DataFrame:
     """Rows of files with samples in rows and features in columns.
 
-    Result: ``dataset``, ``sample_id``, ``features`` and ``cells``, the last two side by side.
-    Everything stays text, so ids are as written. Each file's header is read as csv; quoted
-    fields may hold separators, but no field may hold a line break. The sample column is the
-    first of each file unless named.
+    Result: ``dataset``, ``sample_id``, ``features`` and ``cells``, the last two side by side. Files
+    with the same header are read together, each header's names lying beside its own cells by place.
+    Names are as written, ``NA`` among them; empty ones go by place, and a name that one header has
+    twice raises. The header is the first line of each file, so a row that repeats it is a row.
+    Everything stays text, so ids are as written; cells that are empty or ``NA`` are null, and so are
+    those that a short row lacks. Quoted fields may hold separators, but no field may hold a line
+    break. The sample column is the first of each file unless named; a file without that name has no
+    sample ids. The headers pass the driver, as the file list does.
     """
-    heads = written(first_lines(spark, paths), "heads")
-    marks = F.size(F.split("line", f"\\Q{sep}\\E"))
-    width = heads.agg(F.max(marks)).first()[0] or 1
-    options = {"sep": sep, "nullValue": "NA", "mode": "PERMISSIVE"}
-    names = [f"c{i}" for i in range(width)]
-    layout = ", ".join(f"{n} string" for n in names)
-
-    def fields(line: str) -> Column:
-        parsed = F.from_csv(line, F.lit(layout), options)
-        return F.array(*(parsed[n] for n in names))
-
-    known = heads.withColumn("names", F.filter(fields("line"), lambda n: n.isNotNull())).withColumnRenamed("line", "head")
-    place = F.lit(1) if sample_column is None else F.array_position("names", sample_column).cast("int")
-    known = known.withColumn("place", place)
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
-    rows = lines.join(known, "path").filter("line <> head AND line <> ''").withColumn("texts", F.slice(fields("line"), 1, F.size("names")))
-    others = F.filter(F.sequence(F.lit(1), F.size("names")), lambda i: i != F.col("place"))
-    return rows.select(
-        file_base_name(F.col("path")).alias("dataset"),
-        F.try_element_at("texts", "place").alias("sample_id"),
-        F.transform(others, lambda i: F.element_at("names", i)).alias("features"),
-        F.transform(others, lambda i: F.element_at("texts", i)).alias("cells"),
-    )
+    parts = []
+    for kind in layouts(spark, paths, sep):
+        names = header_names(kind.header, sep)
+        place = 0 if sample_column is None else names.index(sample_column) if sample_column in names else None
+        others = [i for i in range(len(names)) if i != place]
+        features = [names[i] for i in others]
+        repeated = [name for name, n in Counter(features).items() if n > 1]
+        if repeated:
+            raise KeyViolation(f"feature names that stand twice in a header: {', '.join(repeated[:5])}")
+        columns = [f"c{i}" for i in range(len(names))]
+        reader = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", True).option("enforceSchema", True)
+        reader = reader.option("sep", sep).option("nullValue", "NA").option("maxColumns", len(names) + 1)
+        parts.append(reader.csv(list(kind.paths)).select(
+            file_base_name(F.col("_metadata.file_path")).alias("dataset"),
+            (F.lit(None).cast("string") if place is None else F.col(columns[place])).alias("sample_id"),
+            F.from_json(F.lit(json.dumps(features)), "array<string>").alias("features"),
+            F.array(*(F.col(columns[i]) for i in others)).cast("array<string>").alias("cells"),
+        ))
+    if not parts:
+        return spark.createDataFrame([], "dataset string, sample_id string, features array<string>, cells array<string>")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_matrices(spark: SparkSession, paths: str | list[str], sep: str = ",", sample_column: str | None = None, check: bool = True) -> DataFrame:
@@ -96,17 +110,31 @@ def save_dataset(df: DataFrame, root: str, prefix: str, base: str, key: str | No
     return path
 
 
+def feature_block(feature: Column) -> Column:
+    """The block of a dataset that holds a feature: one of ``BLOCKS``, from its name alone."""
+    return F.pmod(F.xxhash64(feature), F.lit(BLOCKS)).cast("int")
+
+
 def save_matrices(long: DataFrame, root: str, prefix: str = "omics", mode: str = "append") -> str:
-    """Write long matrices partitioned by dataset, so that reading one prunes the others.
+    """Write long matrices by dataset and block of features, so that reading one feature opens one block.
 
-    Ranges of dataset and sample spread a large dataset over many tasks and keep the small
-    ones together, so that no task writes a file for every dataset.
+    Ranges of dataset, block, feature and sample spread a large dataset over many tasks and keep the
+    small ones together, so that no task writes a file for every dataset. Within a file the cells lie
+    by feature, so row groups of other features are passed over as well.
     """
     path = f"{root.rstrip('/')}/{syntactic_name(prefix)}"
-    long.repartitionByRange("dataset", "sample_id").write.mode(mode).partitionBy("dataset").parquet(path)
+    order = ["dataset", "block", "feature", "sample_id"]
+    placed = long.withColumn("block", feature_block(F.col("feature")))
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("dataset", "block").parquet(path)
     return path
 
 
+def load_feature(spark: SparkSession, path: str, feature: str, dataset: str | None = None) -> DataFrame:
+    """The cells of one feature of stored matrices, of one dataset or of all; other blocks are not opened."""
+    cells = spark.read.parquet(path).filter((F.col("block") == feature_block(F.lit(feature))) & (F.col("feature") == feature))
+    return (cells if dataset is None else cells.filter(F.col("dataset") == dataset)).drop("block")
+
+
 def ingest_matrices(spark: SparkSession, paths: str | list[str], root: str, sep: str = ",", sample_column: str | None = None, prefix: str = "omics", mode: str = "append") -> str:
     """Read matrix files, check each dataset's samples once per row, store the cells and return the path.
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
-from cohortlane.functions.names import syntactic_name
+from cohortlane.functions.names import resolved
+from cohortlane.functions.values import named
 
 
 @dataclass(frozen=True)
@@ -15,7 +16,9 @@ class StudySpec:
     """Which columns hold the sample key, the subject, the time and the modality flags.
 
     ``time_kind`` is ``"numeric"`` or ``"date"``; left at ``None`` it is taken from the
-    column type, and for text columns from one pass over that column.
+    column type, and for text columns from one pass over that column. The same pass learns the
+    ``date_order`` of date texts, ``"mdy"`` or ``"dmy"``: the one that fits more of the column.
+    With a given kind the order is ``"mdy"`` unless it is given too.
     """
 
     sample: str
@@ -23,11 +26,14 @@ class StudySpec:
     time: str
     modalities: tuple[str, ...]
     time_kind: str | None = None
+    date_order: str | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "modalities", tuple(dict.fromkeys(self.modalities)))
         if self.time_kind not in (None, "numeric", "date"):
             raise ValueError(f"time_kind must be 'numeric' or 'date', not {self.time_kind!r}")
+        if self.date_order not in (None, "mdy", "dmy"):
+            raise ValueError(f"date_order must be 'mdy' or 'dmy', not {self.date_order!r}")
 
     @classmethod
     def from_positions(cls, df: DataFrame, modalities: Iterable[str], time_kind: str | None = None) -> StudySpec:
@@ -40,18 +46,26 @@ class StudySpec:
     def on(self, df: DataFrame) -> StudySpec:
         """Check the roles against ``df`` and keep the modalities it has.
 
-        A modality may be asked for by its column name or by the cleaned form of it.
+        Columns may be asked for by their names or by the cleaned form of them. A table of fewer
+        than two columns is no sample table.
         """
-        missing = [c for c in (self.sample, self.subject, self.time) if c not in df.columns]
+        if len(df.columns) < 2:
+            raise ValueError("a sample table needs at least a subject and a time column")
+        roles = {role: resolved(df.columns, name) for role, name in (("sample", self.sample), ("subject", self.subject), ("time", self.time))}
+        missing = [getattr(self, role) for role, column in roles.items() if column is None]
         if missing:
             raise ValueError(f"role columns not in the sample table: {', '.join(missing)}")
-        cleaned = {syntactic_name(c): c for c in reversed(df.columns)}
         found = []
         for name in self.modalities:
-            column = name if name in df.columns else cleaned.get(name)
+            column = resolved(df.columns, name)
             if column is not None and column not in found:
                 found.append(column)
-        return replace(self, modalities=tuple(found))
+        return replace(self, modalities=tuple(found), **roles)
+
+    def without_key(self, df: DataFrame) -> DataFrame:
+        """The table without its sample key, so that subject and time come first."""
+        kept = [c for c in df.columns if c not in (self.sample, self.subject, self.time)]
+        return df.select(*(named(c) for c in (self.subject, self.time, *kept)))
 
     def candidate_covariates(self, df: DataFrame) -> list[str]:
         """Columns without a role."""

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cohortlane.functions.values import named
 from cohortlane.operators.constraints import key_violations
+from cohortlane.streaming.keys import KeyIndex
 
 
 def sample_file_stream(spark: SparkSession, folder: str, schema: T.StructType | str, sep: str = ",") -> DataFrame:
@@ -25,13 +26,15 @@ def append_new_files(stream: DataFrame, key: str, target: str, rejected: str, ch
 
     A file is skipped when its name was taken already, and of equal names in one batch the
     smallest path is kept. Rows are refused when their key is null, repeated in the batch or
-    stored already. What is stored decides, not the checkpoint: with a fresh checkpoint the
+    stored already, which an index beside the target, ``<target>_index``, tells without reading all
+    that is stored; a target without one gets it first. What is stored decides, not the checkpoint: with a fresh checkpoint the
     target is appended to. Every batch of a checkpoint has a folder of its own, so a batch that
     is run again after a failure replaces what it wrote itself and nothing else. Taken names
     stand in a small table beside the target, ``<target>_files``.
     """
     schema = stream.schema
     names = f"{target.rstrip('/')}_files"
+    place = f"{target.rstrip('/')}_index"
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -43,8 +46,10 @@ def append_new_files(stream: DataFrame, key: str, target: str, rejected: str, ch
         rows = batch.join(kept, ["file_name", "file_path"], "left_semi")
         repeated = key_violations(rows, key).select(named(key).alias("refused_key"))
         asked = rows.select(named(key).alias("refused_key")).filter("refused_key IS NOT NULL").distinct()
-        known = _stored(spark, target, schema, run, batch_id).select(named(key).alias("refused_key"))
-        refused_keys = repeated.unionByName(known.join(asked, "refused_key", "left_semi")).filter("refused_key IS NOT NULL").distinct()
+        index = KeyIndex(spark, place)
+        if not index.exists():
+            index.add(_stored(spark, target, schema, run, batch_id).select(named(key).alias("key")), "before", 0)
+        refused_keys = repeated.unionByName(index.known(asked, run, batch_id)).filter("refused_key IS NOT NULL").distinct()
         # Rows without a key need no join; together they would all meet in one task.
         marked = rows.filter(named(key).isNotNull()).select(F.struct("*").alias("row"), named(key).alias("row_key"))
         marked = marked.join(refused_keys, F.col("row_key") == F.col("refused_key"), "left")
@@ -53,6 +58,7 @@ def append_new_files(stream: DataFrame, key: str, target: str, rejected: str, ch
         try:
             for wanted, folder in (("NOT refused", target), ("refused", rejected)):
                 told.filter(wanted).select("row.*").write.mode("overwrite").parquet(f"{folder}/{own}")
+            index.add(told.filter("NOT refused").select(F.col("row").getField(key).alias("key")), run, batch_id)
             kept.select("file_name").write.mode("overwrite").parquet(f"{names}/{own}")
         finally:
             told.unpersist()

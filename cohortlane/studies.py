@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlane.spec import StudySpec
 
 RETURN_FLAGS = ("A", "N", "R")
+# The types of the test tables, for the SQL; the studies take those that occur.
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -41,15 +42,21 @@ def orders_study(spark: SparkSession, folder: str, customer: bool = False, natio
     return df, StudySpec("o_orderkey", "o_custkey", "o_orderdate", tuple(f"ret_{f}" for f in RETURN_FLAGS))
 
 
+def event_types(events: DataFrame) -> tuple[str, ...]:
+    """The types that occur, by name; each is to be a column."""
+    return tuple(row["event_type"] for row in events.select("event_type").filter("event_type IS NOT NULL").distinct().orderBy("event_type").collect())
+
+
 def events_study(spark: SparkSession, folder: str) -> tuple[DataFrame, StudySpec]:
     """One sample per user and day since the first one, a boolean per event type."""
     events = table(spark, folder, "events")
+    types = event_types(events)
     first = events.agg(F.to_date(F.min("ts"))).scalar()
     daily = events.groupBy("user_id", F.datediff(F.to_date("ts"), first).alias("day")).agg(
-        *(F.max(F.col("event_type") == e).alias(e) for e in EVENT_TYPES)
+        *(F.max(F.col("event_type") == e).alias(e) for e in types)
     )
     df = daily.withColumn("sample", F.concat_ws("-", "user_id", "day"))
-    return df, StudySpec("sample", "user_id", "day", EVENT_TYPES)
+    return df, StudySpec("sample", "user_id", "day", types)
 
 
 def labels_study(spark: SparkSession, folder: str) -> tuple[DataFrame, StudySpec]:
