@@ -13,24 +13,79 @@ task holds a group, and the plan's few thousand intervals are all that is broadc
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from cohortlane.llm.bpe import encoder
-from cohortlane.llm.frames import per_text, ranked_within
+from cohortlane.llm.bpe import WHITE, encoder, load_ranks
+from cohortlane.llm.frames import ROWS, ranked_within
 from cohortlane.session import written
 
 CAPACITY = 1024
 GROUPS = 512
 SMALL = 256
+#: Characters that go through the library at once.
+PORTION = 100_000
+BORDER = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
+
+
+class Ids:
+    """Token ids of whole texts by the library, special strings in the text included.
+
+    A long text goes through it in portions cut where white space follows another character, which
+    no match of the pattern spans. A run without such a place that is longer than a portion goes
+    through the transducer, whose time and memory do not depend on a run's length.
+    """
+
+    def __init__(self, ranks: str, pattern: str, specials: dict[str, int]):
+        self.library = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens=specials)
+        self.specials, self.slow = specials, (ranks, pattern)
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")").split if specials else lambda text: [text]
+
+    def of(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
+        if len(text) <= PORTION:
+            return self.library.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        found = []
+        for part in self.split(text):
+            if part in self.specials:
+                found.append(np.asarray([self.specials[part]], np.uint32))
+                continue
+            for portion in portions(part):
+                if len(portion) <= PORTION:
+                    found.append(self.library.encode_to_numpy(portion, allowed_special=set(), disallowed_special=()))
+                else:
+                    found.append(np.frombuffer(encoder(*self.slow).packed(portion), np.uint32))
+        return np.concatenate(found)
+
+
+def portions(text: str) -> Iterator[str]:
+    """Parts of a text of at most ``PORTION`` characters where it can be cut, longer ones where not."""
+    begin = 0
+    for place in (m.start() for m in BORDER.finditer(text)):
+        if place - begin >= PORTION // 2:
+            yield text[begin:place]
+            begin = place
+    if begin < len(text):
+        yield text[begin:]
+
+
+@lru_cache(maxsize=2)
+def library_ids(ranks: str, pattern: str, specials: tuple[tuple[str, int], ...]) -> Ids:
+    """One per Python worker, used by all its tasks."""
+    return Ids(ranks, pattern, dict(specials))
 
 
 def cut_pieces(df: DataFrame, ranks: str, pattern: str, specials: dict[str, int], end: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,36 +94,24 @@ def cut_pieces(df: DataFrame, ranks: str, pattern: str, specials: dict[str, int]
     A document is its ids, special strings in the text included, and the id ``end``. Longer ones
     are cut so that all pieces but the first are full. Null and empty texts are the id ``end`` alone.
     """
-    found = StructType([StructField(n, LongType()) for n in ("piece", "start", "length", "ids_crc32")])
-    add = StructType([StructField("pieces", ArrayType(found))])
-    marks = sorted(specials, key=len, reverse=True)
-
-    def factory():
-        packed = encoder(ranks, pattern).packed
-        codes = {mark: np.asarray([number], "<u4").tobytes() for mark, number in specials.items()}
-        last = np.asarray([end], "<u4").tobytes()
-
-        def ids_of(value: str | None, left: list[str]) -> bytes:
-            """The ids as little-endian 32-bit numbers."""
-            if not value or not left:
-                return packed(value)
-            if left[0] not in value:
-                return ids_of(value, left[1:])
-            return codes[left[0]].join(ids_of(part, left[1:]) for part in value.split(left[0]))
-
-        def pieces_of(value: str | None) -> list[dict]:
-            ids = ids_of(value, marks) + last
-            total = len(ids) // 4
-            out, start, length = [], 0, total % capacity or capacity
-            while start < total:
-                crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                out.append({"piece": len(out), "start": start, "length": length, "ids_crc32": crc})
-                start, length = start + length, capacity
-            return out
-
-        return lambda texts: {"pieces": [pieces_of(t) for t in texts]}
-
-    return per_text(df, [key], text, add, factory).select(F.col(f"`{key}`"), F.inline("pieces"))
+    schema = StructType([df.schema[key], *(StructField(n, LongType()) for n in ("piece", "start", "length", "ids_crc32"))])
+    plain = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("__text"))
+    told = tuple(sorted(specials.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = library_ids(ranks, pattern, told).of
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
+            rows, cuts = [], []
+            for row, value in enumerate(batch.column("__text").to_pylist()):
+                ids = np.append(ids_of(value), np.uint32(end)).astype("<u4")
+                length = len(ids) % capacity or capacity
+                starts = [0, *range(length, len(ids), capacity)]
+                rows += [row] * len(starts)
+                cuts += [(n, a, b - a, zlib.crc32(ids[a:b].tobytes())) for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)]))]
+            columns = np.asarray(cuts, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), *(pa.array(columns[:, i]) for i in range(4))], names=schema.names)
+
+    return plain.mapInArrow(run, schema)
 
 
 def linear_groups(counts: dict[int, int], groups: int) -> list[list[int]]:
@@ -234,4 +277,5 @@ def pack_documents(df: DataFrame, ranks: str, pattern: str, specials: dict[str,
     Equal keys and equal texts are packed row by row; see ``cut_pieces`` and ``pack`` for nulls,
     empty texts and tables.
     """
-    return pack(cut_pieces(df, ranks, pattern, specials, end, key=key, text=text))
+    # Written, so that a task has one Python worker at a time: packing begins with a numbering of its own.
+    return pack(written(cut_pieces(df, ranks, pattern, specials, end, key=key, text=text), "pieces"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
@@ -43,12 +44,18 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(documents(spark, folder), keep="max")
 
 
-#: The special token that the vocabulary file declares and finds in texts.
-SPECIALS = {"<|endoftext|>": 50256}
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that a vocabulary file declares beside its merges and finds in texts as they are."""
+    with open(path, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
+#: Of the file whose ids are packed.
+SPECIALS = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """The ids of byte_bpe_50k.json: its vocabulary is that of the rank file, with one special token."""
+    """The ids of byte_bpe_50k.json: its vocabulary is that of the rank file, with its added tokens."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIALS)
 
 
