@@ -28,6 +28,11 @@ UNKNOWN = "und"
 SMOOTH = 0.5
 #: How much nearer the nearest codeword must be, as a share of the distance to the second.
 AMBIGUOUS = 0.02
+#: How many times farther than any training text of its size a text may be from its codeword.
+BEYOND = 1.25
+#: Size classes: texts by the number of bits of their number of n-grams. Up to class ``SHORT`` none is rejected.
+SIZES = 48
+SHORT = 7
 
 
 @lru_cache(maxsize=1)
@@ -83,6 +88,7 @@ class CodeModel:
     weights: np.ndarray
     importance: np.ndarray
     scale: np.ndarray
+    evidence: np.ndarray
 
     @classmethod
     def learn(cls, counts: dict[str, np.ndarray]) -> CodeModel:
@@ -98,14 +104,16 @@ class CodeModel:
         scale = np.maximum(np.abs(margins).mean(0), 1e-9) if languages else np.ones(code.shape[1])
         importance = np.maximum(margins, 1e-9)
         importance /= np.maximum(importance.sum(1, keepdims=True), 1e-9)
-        return cls(languages, code, weights.astype(np.float32), importance, scale)
+        evidence = shares @ weights / scale if languages else np.zeros((0, code.shape[1]))
+        return cls(languages, code, weights.astype(np.float32), importance, scale, evidence)
 
-    def decode(self, counts: np.ndarray | None) -> tuple[str, float, bool]:
-        """Language, score and whether another one is about as near."""
+    def decode(self, counts: np.ndarray | None) -> tuple[str, float, bool, float, int]:
+        """Language, score, whether another one is about as near, the distance to its codeword and the size class of the text."""
         if counts is None or not self.languages:
-            return UNKNOWN, 0.0, True
+            return UNKNOWN, 0.0, True, 0.0, 0
+        size = int(counts.sum()).bit_length()
         if len(self.languages) == 1:
-            return self.languages[0], 1.0, False
+            return self.languages[0], 1.0, False, 0.0, size
         at = np.flatnonzero(counts)
         bits = counts[at] @ self.weights[at] / counts.sum() / self.scale
         losses = np.exp(-np.clip(self.code * bits, -20, 20))
@@ -113,7 +121,7 @@ class CodeModel:
         order = np.argsort(distances, kind="stable")
         nearest, second = distances[order[0]], distances[order[1]]
         near = np.exp(-4 * (distances - nearest) / max(nearest, 1e-9))
-        return self.languages[order[0]], float(1 / near.sum()), bool(second - nearest <= AMBIGUOUS * second)
+        return self.languages[order[0]], float(1 / near.sum()), bool(second - nearest <= AMBIGUOUS * second), float(nearest), size
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -144,8 +152,11 @@ def gram_counts(df: DataFrame, text: str, label: str) -> dict[str, np.ndarray]:
 
 
 def identify(df: DataFrame, model: CodeModel, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep``, ``lang_pred``, ``score``, ``ambiguous`` of every row; only the text is looked at."""
-    add = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())])
+    """``keep``, ``lang_pred``, ``score``, ``ambiguous``, ``distance``, ``size`` of every row; only the text is looked at."""
+    add = StructType([
+        StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType()),
+        StructField("distance", DoubleType()), StructField("size", IntegerType()),
+    ])
 
     def factory():
         grams = Grams()
@@ -173,14 +184,53 @@ def language_id(df: DataFrame, key: str = "doc_id", text: str = "text", label: s
     return identify(df, model, [key], text).select(F.col(f"`{key}`"), out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def mixed_distance(model: CodeModel) -> float:
+    """How far from the nearest codeword an even mixture of two languages can be."""
+    found = [0.0]
+    for i, one in enumerate(model.evidence):
+        for other in model.evidence[i + 1 :]:
+            losses = np.exp(-np.clip(model.code * (one + other) / 2, -20, 20))
+            found.append(float((model.importance * losses).sum(1).min()))
+    return max(found)
+
+
+def reaches(df: DataFrame, model: CodeModel, text: str, label: str) -> dict[str, np.ndarray]:
+    """Per language and size class the largest distance to its codeword among all training texts of that size or larger that decode to it.
+
+    A class beyond the largest text of a language has the reach of that one.
+    """
+    told = df.filter(F.col(f"`{label}`").isNotNull()).select(F.lit(0).alias("one"), F.col(f"`{text}`").alias("body"))
+    found = {name: np.zeros(SIZES) for name in model.languages}
+    seen_texts = identify(told, model, ["one"], "body").filter(F.col("lang_pred") != UNKNOWN)
+    for row in seen_texts.groupBy("lang_pred", "size").agg(F.max("distance").alias("reach")).collect():
+        found[row.lang_pred][min(row.size, SIZES - 1)] = row.reach
+    for name, seen in found.items():
+        largest = int(np.flatnonzero(seen).max(initial=0))
+        seen[largest:] = seen[largest]
+        found[name] = np.maximum.accumulate(seen[::-1])[::-1]
+    return found
+
+
 def drop_unidentified(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a language, with all their columns; all rows when nothing can be learned.
+    """The rows of ``docs`` in one of the languages learned, with all their columns; all rows when nothing can be learned.
 
-    Documents in several languages have one and stay, though they may be flagged as ambiguous.
+    A text goes when it has no letter, or when even the nearest codeword is farther away, by more than
+    ``BEYOND`` times, than from any training text of its size or larger that decodes to that language,
+    and farther than from an even mixture of two languages: text in no language learned. Documents in
+    two of them stay, and so do texts of fewer than ``2 ** SHORT`` n-grams, which tell too little.
+    Columns of ``docs`` may have any names.
     """
     out = F.coalesce(fold(F.col(f"`{key}`"), 4) == 2, F.lit(False))
-    model = CodeModel.learn(gram_counts(docs.filter(~out), text, label))
+    taught = docs.filter(~out)
+    model = CodeModel.learn(gram_counts(taught, text, label))
     if not model.languages:
         return docs
+    limits = reaches(taught, model, text, label)
+    least = mixed_distance(model)
+    limit = F.coalesce(*(
+        F.when(F.col("lang_pred") == name, F.get(F.array(*map(F.lit, np.maximum(BEYOND * reach, least).tolist())), F.least("size", F.lit(SIZES - 1))))
+        for name, reach in limits.items()
+    ))
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("body"))
-    return identify(boxed, model, ["row"], "body").filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    stays = (F.col("lang_pred") != UNKNOWN) & ((F.col("size") <= SHORT) | (F.col("distance") <= limit))
+    return identify(boxed, model, ["row"], "body").filter(stays).select("row.*")

@@ -575,17 +575,26 @@ def test_line_dedup_that_keeps_the_first(spark):
 # the pipeline
 
 
-def test_pipeline(spark, folder):
+def test_pipeline(spark, folder, tmp_path):
     import corpus_pipeline
+    from tests.llm.plain_language import plain_kept
 
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "packing"]
     source = spark.read.parquet(f"{folder}/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in source.collect()]
+    greek = "\n".join(" ".join("αβγδε"[(i * k) % 5] * (1 + k % 4) for k in range(40)) for i in range(1, 9))
+    odd = [(10**6, greek, None, "x", len(greek)), (10**6 + 1, "0123 --", "en", "x", 7)]
+    source = source.unionByName(spark.createDataFrame(odd, source.schema))
+    docs = f"{tmp_path}/documents.parquet"
+    source.write.parquet(docs)
+    found = spark.read.parquet(docs).collect()
+    spoken = plain_kept([(r.doc_id, r.text, r.lang) for r in found])
+    assert not spoken & {10**6, 10**6 + 1} and len(spoken) == len(found) - 2
+    rows = [(r.doc_id, r.text) for r in found if r.doc_id in spoken]
     copies = {}
     for i, text in sorted(rows):
         copies.setdefault(folded(text), (i, text))
     near = brute_components(sorted(copies.values()), 5, 80)
     want = {i for i, (_, c) in near.items() if c == i}
-    packed = corpus_pipeline.run(spark, folder).collect()
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == want
     assert_packed(packed)
