@@ -17,35 +17,42 @@ EDGE = StructType([StructField("a", LongType()), StructField("b", LongType())])
 PORTION = 500_000
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Edges as stars: each node with the smallest one it reaches among them."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = places[: len(a)], places[len(a) :]
+    least = np.arange(len(nodes))
+    while True:  # hooking and pointer jumping; sorted nodes, so the smallest place is the smallest node
+        low = np.minimum(least[left], least[right])
+        before = least.copy()
+        np.minimum.at(least, least[left], low)
+        np.minimum.at(least, least[right], low)
+        least = least[least]
+        if (least == before).all() and (least[left] == least[right]).all():
+            break
+    away = least != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[away]), pa.array(nodes[least[away]])], names=["a", "b"])
+
+
+def folded_portions(portions: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Stars of a task's edges, which come as arrays of two rows, ``PORTION`` of them at a time."""
+    held: list[np.ndarray] = []
+    size = 0
+    for edges in portions:
+        held.append(edges)
+        size += edges.shape[1]
+        if size >= PORTION:
+            yield stars(*np.concatenate(held, 1))
+            held, size = [], 0
+    if size:
+        yield stars(*np.concatenate(held, 1))
+
+
 def folded(edges: DataFrame) -> DataFrame:
-    """The edges of every portion of a task as stars: each node with the smallest one it reaches there."""
-
-    def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
-        left, right = places[: len(a)], places[len(a) :]
-        least = np.arange(len(nodes))
-        while True:  # hooking and pointer jumping; sorted nodes, so the smallest place is the smallest node
-            low = np.minimum(least[left], least[right])
-            before = least.copy()
-            np.minimum.at(least, least[left], low)
-            np.minimum.at(least, least[right], low)
-            least = least[least]
-            if (least == before).all() and (least[left] == least[right]).all():
-                break
-        away = least != np.arange(len(nodes))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[away]), pa.array(nodes[least[away]])], names=["a", "b"])
+    """The edges of every portion of a task as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()]))
-            size += len(batch)
-            if size >= PORTION:
-                yield stars(*np.concatenate(held, 1))
-                held, size = [], 0
-        if size:
-            yield stars(*np.concatenate(held, 1))
+        yield from folded_portions(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()]) for batch in batches)
 
     return edges.select("a", "b").mapInArrow(run, EDGE)
 
@@ -63,27 +70,27 @@ def hung_lower(edges: DataFrame, larger_only: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
-def with_roots(stars: DataFrame) -> DataFrame:
-    roots = stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+def with_roots(hung: DataFrame) -> DataFrame:
+    roots = hung.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return hung.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, fold: bool = True) -> DataFrame:
     """``id`` and ``component``, the smallest id reachable, of every node that has an edge to another.
 
     Edges ``a``, ``b`` may repeat, lead back and form long chains. They are folded within tasks
     first. If no more than one portion is left, one more fold ends it; else larger and smaller star
     steps alternate until nothing moves, a number of rounds that grows with the logarithm of the
-    number of nodes. Each round is written to the shared folder.
+    number of nodes. Each round is written to the shared folder. Without ``fold`` the edges are the
+    stars of ``folded_portions`` already.
     """
-    straight = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    stars, state = written(folded(straight).distinct(), "stars"), None
-    if stars.count() <= PORTION:  # what any task folds at a time
-        stars = written(folded(stars.repartition(1)), "stars")
-        return with_roots(stars)
+    straight = folded(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")) if fold else edges
+    hung, state = written(straight.distinct(), "stars"), None
+    if hung.count() <= PORTION:  # what any task folds at a time
+        return with_roots(written(folded(hung.repartition(1)), "stars"))
     while True:
-        after = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        after = hung.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if after == state or not after[0]:
-            return with_roots(stars)
+            return with_roots(hung)
         state = after
-        stars = written(hung_lower(written(hung_lower(stars, True), "larger"), False), "stars")
+        hung = written(hung_lower(written(hung_lower(hung, True), "larger"), False), "stars")

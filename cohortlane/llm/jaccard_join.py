@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from cohortlane.functions.times import own_prefix
-from cohortlane.llm.components import connected
+from cohortlane.llm.components import EDGE, connected, folded_portions
 from cohortlane.session import written
 
 #: Odd multipliers that tell the places of a shingle's words apart, and a finalizer's.
@@ -43,6 +43,10 @@ FREQUENT = 1 << 16
 TILE_SHINGLES = 1_000_000
 NODES_HELD = 500_000
 MARKS = 1 << 24
+#: Shingles of a window in which frequent ones are counted, and how many sets of it hold them.
+WINDOW_SHINGLES, SEVERAL = 1_000_000, 3
+#: Frequent is what so many sets hold, and one in so many documents. Near copies by the dozen are not.
+LEAST_OFTEN, ONE_IN = 16, 2_000
 
 
 class Shingler:
@@ -107,65 +111,80 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def set_rows(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``id``, ``n``, ``sig``, ``node`` per document; and, with a null ``sig``, shingles (``id``) and how often (``n``) a batch holds them."""
+    """``id``, ``n``, ``sig``, ``node`` per document; and, with a null ``sig``, shingles (``id``) and how many distinct sets (``n``) of a window of a task hold them, if several do."""
     schema = StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("sig", BinaryType()), StructField("node", LongType())])
     plain = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = shingler(width)
+        make, window, held = shingler(width), {}, 0
+
+        def often_met() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(list(window.values())), return_counts=True)
+            several = counts >= SEVERAL
+            size = int(several.sum())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(values[several].view(np.int64)), pa.array(counts[several].astype(np.int64)), pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64())],
+                names=schema.names,
+            )
+
         for whole in batches:
-            for begin in range(0, len(whole), 2048):
-                batch = whole.slice(begin, 2048)
+            for begin in range(0, len(whole), 512):
+                batch = whole.slice(begin, 512)
                 sets = [make.shingles(t) for t in batch.column("text").to_pylist()]
                 sigs = [signature(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(map(node_of, sigs), pa.int64())],
                     names=schema.names,
                 )
-                if sets:
-                    distinct = [s for s in dict(zip(sigs, sets)).values()]
-                    values, counts = np.unique(np.concatenate(distinct), return_counts=True)
-                    common = counts >= max(3, len(distinct) // 256)
-                    size = int(common.sum())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(values[common].view(np.int64)), pa.array(counts[common].astype(np.int64)), pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64())],
-                        names=schema.names,
-                    )
+                for sig, found in zip(sigs, sets):
+                    if sig not in window:
+                        window[sig] = found
+                        held += len(found)
+                if held >= WINDOW_SHINGLES:
+                    yield often_met()
+                    window, held = {}, 0
+        if window:
+            yield often_met()
 
     return plain.mapInArrow(run, schema)
 
 
-@lru_cache(maxsize=1)
-def size_bounds() -> list[int]:
-    """Where the size classes begin: each reaches about 1.4 times as far as it begins."""
+@lru_cache(maxsize=4)
+def size_bounds(part: int, whole: int) -> list[int]:
+    """Where the size classes begin: each reaches about ``part / whole`` times as far as it begins."""
     bounds = [1]
     while bounds[-1] < 1 << 40:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * 7 // 5))
+        bounds.append(max(bounds[-1] + 1, bounds[-1] * part // whole))
     return bounds
 
 
-def part_keys(rare: np.ndarray, n: int, percent: int) -> np.ndarray:
+def part_keys(rare: np.ndarray, n: int, percent: int, strong: bool = False) -> np.ndarray:
     """Keys of which two linking sets share one at least; ``rare`` are the set's shingles without frequent ones.
 
     Two linking sets of ``n`` shingles at most differ in ``2 n (100 - percent) / (100 + percent)``
     or fewer. A set gives the keys of every class that a linking set of its size or larger can be
-    in. A part has a few shingles, so some are empty: about a tenth in the smallest sets of a class,
-    more where frequent shingles are gone. There are ``spare`` parts more than sets can differ in, and
-    a set with no more empty parts than that gives the others only: one of them is shared still. Sets
-    with more empty parts give these too, which are shared by many, so ``spare`` is ample.
+    in. A part has a few shingles, so some are weak: empty, or of one shingle if ``strong`` parts are
+    asked for, which may be that of a passage. There are ``spare`` parts more than sets can differ in,
+    and a set with no more weak parts than that gives the others only: one of them is shared still.
+    Sets with more weak parts give all, which are shared by many, so ``spare`` is ample: weak parts
+    are about a tenth in the smallest sets of a class, more where frequent shingles are gone, and a
+    fifth of a class of strong parts, whose classes are narrow.
     """
-    bounds, found = size_bounds(), []
+    bounds, found = size_bounds(*((21, 20) if strong else (7, 5))), []
     for c in range(bisect_right(bounds, n) - 1, bisect_right(bounds, n * 100 // percent)):
         largest = bounds[c + 1] - 1
         differ = 2 * largest * (100 - percent) // (100 + percent)
-        spare = 3 + (differ + 1) // 6
+        spare = 3 + ((differ + 1) * 3 // 7 if strong else (differ + 1) // 6)
         parts = differ + 1 + spare
         of = ((rare >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
         sums, which = np.add.reduceat(rare * MIX[0] ^ rare >> np.uint64(7), starts) if len(of) else np.zeros(0, np.uint64), of[starts]
-        if parts - len(which) > spare:
+        firm = np.diff(starts, append=len(of)) > 1 if strong else np.ones(len(starts), bool)
+        if parts - int(firm.sum()) > spare:
             empty = np.setdiff1d(np.arange(parts), which)
             sums, which = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([which, empty])
+        else:
+            sums, which = sums[firm], which[firm]
         keys = sums + which.astype(np.uint64) * PLACES[0] + np.uint64(c) * PLACES[1]
         keys = (keys ^ keys >> np.uint64(30)) * MIX[1]
         found.append(keys ^ keys >> np.uint64(31))
@@ -203,24 +222,22 @@ def part_postings(df: DataFrame, text: str, width: int, percent: int, order) ->
 
 
 def neighbour_edges(postings: DataFrame) -> DataFrame:
-    """Edges between sets that stand side by side under one key: a chain through all that share it."""
-    pair = StructType([StructField("a", LongType()), StructField("b", LongType())])
+    """Edges between sets that stand side by side under one key, a chain through all that share it, folded to stars."""
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         last = np.zeros((2, 0), np.int64)
         for batch in batches:
             rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in ("key", "node")])], 1)
             linked = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] != rows[1, :-1])
-            found = np.unique(np.stack([rows[1, :-1][linked], rows[1, 1:][linked]]), axis=1) if linked.any() else np.zeros((2, 0), np.int64)
+            yield np.stack([rows[1, 1:][linked], rows[1, :-1][linked]])
             last = rows[:, -1:]
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
     dealt = postings.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(edges, pair)
+    return dealt.mapInArrow(lambda batches: folded_portions(chains(batches)), EDGE)
 
 
 def finer_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """``sets`` of groups split by the parts of another hash of all shingles; sets that meet no other are left out."""
+    """``sets`` of groups split by the strong parts of another hash of all shingles; sets that meet no other are left out."""
     schema = StructType([StructField("key", LongType()), StructField("node", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,12 +246,12 @@ def finer_groups(sets: DataFrame, percent: int) -> DataFrame:
             for i, component, packed in zip(*(batch.column(c).to_pylist() for c in ("id", "component", "shingles"))):
                 found = np.frombuffer(packed, np.uint64) * MIX[1]
                 found = np.sort(found ^ found >> np.uint64(29))
-                keys.append(part_keys(found, len(found), percent).view(np.int64) ^ np.int64(component))
+                keys.append(part_keys(found, len(found), percent, strong=True).view(np.int64) ^ np.int64(component))
                 nodes.append(np.full(len(keys[-1]), i))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
     edges = neighbour_edges(sets.select("id", "component", "shingles").mapInArrow(run, schema))
-    return sets.drop("component").join(connected(edges), "id").select(*sets.columns)
+    return sets.drop("component").join(connected(edges, fold=False), "id").select(*sets.columns)
 
 
 def marked_ids(ids: DataFrame) -> np.ndarray:
@@ -443,14 +460,15 @@ def node_components(df: DataFrame, key: str, text: str, width: int, percent: int
     spark = df.sparkSession
     rows = written(set_rows(df, key, text, width), "sets")
     docs = rows.filter("sig IS NOT NULL")
-    counted = rows.filter("sig IS NULL").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(frequent)
+    least = max(LEAST_OFTEN, docs.count() // ONE_IN)
+    counted = rows.filter("sig IS NULL").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "id").limit(frequent)
     listed = np.asarray([(r.id, r.n) for r in counted.collect()], np.int64).reshape(-1, 2)
     values = listed[:, 0].astype(np.int64).view(np.uint64)
     by_value = np.argsort(values)
     order = spark.sparkContext.broadcast((values[by_value], listed[by_value, 1]))
 
     reps = written(docs.filter("n > 0").groupBy("sig", "node").agg(F.min("id").alias("rep")), "reps")
-    groups = connected(neighbour_edges(part_postings(df, text, width, percent, order))).withColumnRenamed("id", "node")
+    groups = connected(neighbour_edges(part_postings(df, text, width, percent, order)), fold=False).withColumnRenamed("id", "node")
     wanted = written(reps.select(F.col("rep").alias("id"), "node").join(groups, "node").select("id", "component").distinct(), "wanted")
     sets = written(candidate_sets(df, key, text, width, wanted), "shingles")
     heavy = written(sets.groupBy("component").agg(F.sum("n").alias("load")).filter(F.col("load") > 2 * tile).select("component"), "heavy")
