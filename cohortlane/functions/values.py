@@ -39,7 +39,7 @@ def number_text(number: Column) -> Column:
     return (
         F.when(number.isNull(), F.lit(None).cast("string"))
         .when(whole, number.cast("bigint").cast("string"))
-        .otherwise(F.regexp_replace(digits, r"(\.\d*?)0+(?=$|e)", "$1"))
+        .otherwise(F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+(?=$|e)", "$1"), r"\.(?=$|e)", ""))
     )
 
 

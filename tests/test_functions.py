@@ -70,6 +70,11 @@ def test_number_text(spark):
     assert values(df, number_text(F.col("x"))) == ["0", "-3", "1.5", "0.3", "1.25e-07", None]
 
 
+def test_number_text_ends_in_no_point(spark):
+    df = spark.createDataFrame([(v,) for v in (2.9999999999999996, 1e15, 2.5e20, 1e-7, -0.0, 4516.950000000001)], "x double")
+    assert values(df, number_text(F.col("x"))) == ["3", "1e+15", "2.5e+20", "1e-07", "0", "4516.95"]
+
+
 def test_to_number_wants_the_whole_text(spark):
     df = spark.createDataFrame([(v,) for v in ("5", " 5.5 ", "-.5", "1e3", "5d", "abc", "", "0x1A", None)], "t string")
     assert values(df, to_number(F.col("t"))) == [5.0, 5.5, -0.5, 1000.0, None, None, None, None, None]
