@@ -12,8 +12,10 @@
    stored in a path-compressed trie. Each set traverses it, sharing the overlap of common paths,
    and leaves a subtree when what remains of both sets can't reach the overlap needed. Sets that
    are connected already are not compared again.
-5. A group too large for a few tiles is first split by the parts of a second hash over all shingles:
-   sets that link share one of those too, so what does not meet there needs no comparison.
+5. A group too large for a few tiles is first split. One of very many sets is split by the parts of a
+   second hash over all shingles: sets that link share one of those too, so what does not meet there
+   needs no comparison. What is still too large is split by sketches, a byte per bucket of the hash
+   space that counts a set's shingles there: counts of linking sets differ no more than the sets do.
 6. What stays too large for one tile (near copies, as a rule) is cut into blocks; blocks are joined with
    themselves and the next, and what the largest component then leaves out is joined with every block.
 """
@@ -45,6 +47,8 @@ NODES_HELD = 500_000
 MARKS = 1 << 24
 #: Shingles of a window in which frequent ones are counted, and how many sets of it hold them.
 WINDOW_SHINGLES, SEVERAL = 1_000_000, 3
+#: Buckets of a sketch, those looked at first, sketches of a block, and the sets of a group that sketches alone split.
+BUCKETS, FIRST_BUCKETS, SKETCHES_HELD, SKETCHED = 1024, 256, 4_096, 1 << 16
 #: Frequent is what so many sets hold, and one in so many documents. Near copies by the dozen are not.
 LEAST_OFTEN, ONE_IN = 16, 2_000
 
@@ -254,6 +258,93 @@ def finer_groups(sets: DataFrame, percent: int) -> DataFrame:
     return sets.drop("component").join(connected(edges, fold=False), "id").select(*sets.columns)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles lie in each bucket of the hash space, 255 at most."""
+    return np.minimum(np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+
+
+def sketch_links(sketches: np.ndarray, sizes: np.ndarray, sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what all pairs connect whose sketches allow a link; rows come by size.
+
+    Sets that link differ in ``(100 - percent) / (100 + percent)`` of their sizes' sum at most, and
+    the counts of their buckets, clipped or not, in no more. With ``sides`` only rows of different
+    sides are compared. Rows that are connected already are not.
+    """
+    root, found = np.arange(len(sizes)), []
+    begins = np.searchsorted(sizes * 100, sizes * percent)
+    for i, begin in enumerate(begins.tolist()):
+        asked = root[begin:i] != root[i]
+        if sides is not None:
+            asked &= sides[begin:i] != sides[i]
+        others = begin + np.flatnonzero(asked)
+        own, least = sketches[i], 0
+        for upto in (FIRST_BUCKETS, BUCKETS):
+            if not len(others):
+                break
+            counts = sketches[others, least:upto]
+            part = (np.maximum(counts, own[least:upto]) - np.minimum(counts, own[least:upto])).sum(1, dtype=np.int64)
+            apart = part if not least else apart + part
+            near = apart * (100 + percent) <= (sizes[others] + sizes[i]) * (100 - percent)
+            others, apart, least = others[near], apart[near], upto
+        for at in np.unique(root[others], return_index=True)[1].tolist():
+            j = int(others[at])
+            found.append((i, j))
+            root[root == root[j]] = root[i]
+    return found
+
+
+def sketched_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` of groups split by what their sketches allow; sets that meet no other are left out.
+
+    Sketches are dealt in blocks, every block with itself and every other of its group.
+    """
+    schema = StructType([StructField("id", LongType()), StructField("component", LongType()), StructField("n", LongType()), StructField("sketch", BinaryType())])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(np.frombuffer(packed.as_buffer(), np.uint64)).tobytes() for packed in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "component", "n")), pa.array(made, pa.binary())], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            ids = np.asarray([r[3] for r in held], np.int64)
+            sides = None if held[0][1] == held[0][2] else np.asarray([r[4] for r in held])
+            rows = np.frombuffer(b"".join(r[6] for r in held), np.uint8).reshape(-1, BUCKETS)
+            links = np.asarray(sketch_links(rows, np.asarray([r[5] for r in held], np.int64), sides, percent), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(ids[links[:, 0]]), pa.array(ids[links[:, 1]])], names=EDGE.names)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("component", "low", "high", "id", "block", "n", "sketch"))):
+                if held and held[0][:3] != row[:3]:
+                    yield flush()
+                    held = []
+                held.append(row)
+        if held:
+            yield flush()
+
+    made = written(sets.select("id", "component", "n", "shingles").mapInArrow(sketched, schema), "sketches")
+    blocks = written(made.groupBy("component").agg(F.ceil(F.count("*") / SKETCHES_HELD).cast("int").alias("blocks")), "blocks")
+    placed = made.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    at = ["component", "low", "high"]
+    pairs = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "block", "n", "sketch")
+    edges = pairs.repartition(*at).sortWithinPartitions(*at, "n", "id").mapInArrow(run, EDGE)
+    return sets.drop("component").join(connected(edges), "id").select(*sets.columns)
+
+
+def split_groups(sets: DataFrame, percent: int, tile: int, sketched: int = SKETCHED) -> DataFrame:
+    """``sets`` with the groups of more than two tiles split, those of more than ``sketched`` sets by finer parts first."""
+    for least, split in ((sketched, finer_groups), (0, sketched_groups)):
+        sizes = sets.groupBy("component").agg(F.sum("n").alias("load"), F.count("*").alias("held"))
+        heavy = written(sizes.filter((F.col("load") > 2 * tile) & (F.col("held") > least)).select("component"), "heavy")
+        if not heavy.isEmpty():
+            parts = split(sets.join(heavy, "component", "left_semi").select(*sets.columns), percent)
+            sets = written(sets.join(heavy, "component", "left_anti").select(*sets.columns).unionByName(parts), "split")
+    return sets
+
+
 def marked_ids(ids: DataFrame) -> np.ndarray:
     """A bit per place that an id hashes to: ``MARKS`` bits at most, whatever the number of ids."""
     place = F.pmod(F.xxhash64("id"), F.lit(MARKS)) + 1
@@ -471,13 +562,12 @@ def node_components(df: DataFrame, key: str, text: str, width: int, percent: int
     groups = connected(neighbour_edges(part_postings(df, text, width, percent, order)), fold=False).withColumnRenamed("id", "node")
     wanted = written(reps.select(F.col("rep").alias("id"), "node").join(groups, "node").select("id", "component").distinct(), "wanted")
     sets = written(candidate_sets(df, key, text, width, wanted), "shingles")
-    heavy = written(sets.groupBy("component").agg(F.sum("n").alias("load")).filter(F.col("load") > 2 * tile).select("component"), "heavy")
-    if not heavy.isEmpty():
-        split = finer_groups(sets.join(heavy, "component", "left_semi"), percent)
-        sets = written(sets.join(heavy, "component", "left_anti").select(*sets.columns).unionByName(split), "split")
-    loads = sets.groupBy("component").agg(F.sum("n").alias("load"))
-    blocks = F.ceil(F.col("load") / tile).cast("int")
-    cut = sets.join(loads.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sets = split_groups(sets, percent, tile)
+    # Only groups of several blocks are listed, so the shingles of the others are not shuffled for it.
+    loads = sets.groupBy("component").agg(F.sum("n").alias("load")).filter(F.col("load") > tile)
+    several = written(loads.select("component", F.ceil(F.col("load") / tile).cast("int").alias("several")), "loads")
+    cut = sets.join(several, "component", "left").withColumn("blocks", F.coalesce("several", F.lit(1))).drop("several")
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     near = F.when(F.col("blocks") > 1, F.array(F.col("block"), F.pmod(F.col("block") + 1, F.col("blocks")).cast("int"))).otherwise(F.array(F.col("block")))
     first = cut.select("id", "shingles", "component", F.explode(F.array_distinct(near)).alias("block"))
     tiles = first.select(F.struct("component", "block").alias("at"), "id", "shingles")

@@ -92,6 +92,29 @@ def test_finer_groups_lose_no_link(spark, percent):
     assert len(set(found.values())) >= 15  # one group became about as many as there are components
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sets_with_common_passages_part(spark, monkeypatch, percent):
+    monkeypatch.setattr(jaccard_join, "SKETCHES_HELD", 30)  # several blocks
+    rng = np.random.default_rng(percent)
+
+    def fresh(n: int) -> np.ndarray:
+        return rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
+
+    passages, rows = fresh(600).reshape(20, 30), []
+    for i in range(80):
+        chosen = passages[rng.permutation(20)[:14]].ravel()
+        base = np.unique(np.concatenate([chosen, fresh(int(rng.integers(900, 1100)))]))
+        rows.append((2 * i, base))
+        if i % 4 == 0:  # the most that still links, by exchanging
+            size = len(base)
+            drop = next(d for d in range(size, -1, -1) if 100 * (size - d) >= percent * (size + d))
+            rows.append((2 * i + 1, np.unique(np.concatenate([base[drop:], fresh(drop)]))))
+    df = spark.createDataFrame([(i, 7, len(s), s.tobytes()) for i, s in rows], "id long, component long, n long, shingles binary")
+    load = sum(len(s) for _, s in rows)
+    found = {r.id: r.component for r in jaccard_join.split_groups(df, percent, load // 3).collect()}
+    assert found == {i // 8 * 8 + k: i // 8 * 8 for i, _ in rows if i % 2 for k in (0, 1)}
+
+
 @pytest.mark.parametrize("strong", [False, True])
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linking_sets_share_a_key(percent, strong):
