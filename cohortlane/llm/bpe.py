@@ -329,6 +329,8 @@ class Decoder:
         self.whole = np.zeros(max(tokens, default=0) + 1, bool)
         for token in tokens:
             self.whole[token] = self._span(0, token)[0] == 0
+        #: Ids as people write them, made once.
+        self.decimal = {token: str(token) for token in tokens}
         self.reset()
 
     def reset(self) -> None:
@@ -456,6 +458,7 @@ def bpe_round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id",
 
     def factory():
         encode, machine = encoder(path, pattern).encode, decoder(path)
+        decimal = machine.decimal.__getitem__
 
         def compute(texts: list) -> dict:
             found: dict[str, list] = {name: [] for name in add.names}
@@ -467,7 +470,7 @@ def bpe_round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id",
                     back.update(machine.feed(ids[i : i + portion]).encode("utf-8"))
                 machine.finish()
                 found["n_tokens"].append(len(ids))
-                found["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                found["ids_sha256"].append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
                 found["decoded_sha256"].append(back.hexdigest())
                 found["same"].append(back.digest() == hashlib.sha256((value or "").encode("utf-8")).digest())
             return found

@@ -81,6 +81,11 @@ def test_bpe_round_trip(docs, rows, empty):
     assert bpe.bpe_round_trip(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_decoder_keeps_the_decimal_ids():
+    machine = bpe.decoder(RANKS)
+    assert machine.decimal == {rank: str(rank) for rank in machine.tokens}
+
+
 def test_bpe_frames(docs, rows):
     encoded = bpe.bpe_encode(docs, RANKS, public_tokenizers.PATTERN, ["doc_id"])
     back = by_id(bpe.bpe_decode(encoded, RANKS, ["doc_id"]))
