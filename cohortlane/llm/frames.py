@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from cohortlane.session import written
@@ -23,10 +23,12 @@ def per_text(df: DataFrame, keep: Sequence[str], text: str, add: StructType, fac
 
     ``factory`` is called once in every task and returns a function from ``ROWS`` texts at most
     (nulls included) to one list per column of ``add``. Columns of ``df`` not in ``keep`` are
-    not read.
+    not read. A text column that is itself kept goes to the workers once.
     """
     keep = list(keep)
-    plain = df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    once = text in keep and df.select(F.col(f"`{text}`")).schema[0].dataType == StringType()
+    body = text if once else "__text"
+    plain = df.select(*[F.col(f"`{k}`") for k in keep], *([] if once else [F.col(f"`{text}`").cast("string").alias(body)]))
     schema = StructType([plain.schema[k] for k in keep] + list(add))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +36,7 @@ def per_text(df: DataFrame, keep: Sequence[str], text: str, add: StructType, fac
         types = None
         for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
             types = types or arrow_types(add)
-            found = compute(batch.column("__text").to_pylist())
+            found = compute(batch.column(body).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in keep] + [pa.array(found[f.name], types[f.name]) for f in add], names=[*keep, *add.names]
             )

@@ -231,6 +231,8 @@ def drop_unidentified(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.when(F.col("lang_pred") == name, F.get(F.array(*map(F.lit, np.maximum(BEYOND * reach, least).tolist())), F.least("size", F.lit(SIZES - 1))))
         for name, reach in limits.items()
     ))
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("body"))
+    others = [c for c in docs.columns if c != text]  # boxed, so that their names are free; the text goes beside them, once
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{text}`").alias("body"))
     stays = (F.col("lang_pred") != UNKNOWN) & ((F.col("size") <= SHORT) | (F.col("distance") <= limit))
-    return identify(boxed, model, ["row"], "body").filter(stays).select("row.*")
+    kept = identify(boxed, model, ["row", "body"], "body").filter(stays)
+    return kept.select(*[F.col("body" if c == text else f"row.`{c}`").alias(c) for c in docs.columns])

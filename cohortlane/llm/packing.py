@@ -29,7 +29,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from cohortlane.llm.bpe import WHITE, encoder, load_ranks
-from cohortlane.llm.frames import ROWS, ranked_within
+from cohortlane.llm.frames import ROWS, arrow_types, ranked_within
 from cohortlane.session import written
 
 CAPACITY = 1024
@@ -231,9 +231,15 @@ def histogram(df: DataFrame, column: str) -> dict[int, int]:
 
 
 def placed(df: DataFrame, on: str, plan: Iterable[tuple], fields: str) -> DataFrame:
-    """Join intervals of ranks within ``on`` to rows with their ``rank``."""
-    spark = df.sparkSession
-    intervals = spark.createDataFrame(list(plan), f"__on long, __from long, __to long, {fields}")
+    """Join intervals of ranks within ``on`` to rows with their ``rank``.
+
+    The plan is handed over as an Arrow table: from a list, Spark would make the rows by Python
+    workers of another kind, which then stay in the executors' memory.
+    """
+    schema = StructType.fromDDL(f"__on long, __from long, __to long, {fields}")
+    types, rows = arrow_types(schema), list(plan)
+    columns = [pa.array([row[i] for row in rows], types[name]) for i, name in enumerate(schema.names)]
+    intervals = df.sparkSession.createDataFrame(pa.table(columns, names=schema.names), schema)
     inside = (F.col(on) == F.col("__on")) & (F.col("rank") >= F.col("__from")) & (F.col("rank") < F.col("__to"))
     return df.join(F.broadcast(intervals), inside)
 
