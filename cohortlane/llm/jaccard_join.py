@@ -296,7 +296,8 @@ def sketch_links(sketches: np.ndarray, sizes: np.ndarray, sides: np.ndarray | No
 def sketched_groups(sets: DataFrame, percent: int) -> DataFrame:
     """``sets`` of groups split by what their sketches allow; sets that meet no other are left out.
 
-    Sketches are dealt in blocks, every block with itself and every other of its group.
+    Sketches are dealt in blocks, every block with itself and every other of its group. Links are
+    folded where they are found, so a task has one Python worker.
     """
     schema = StructType([StructField("id", LongType()), StructField("component", LongType()), StructField("n", LongType()), StructField("sketch", BinaryType())])
 
@@ -305,15 +306,15 @@ def sketched_groups(sets: DataFrame, percent: int) -> DataFrame:
             made = [sketch(np.frombuffer(packed.as_buffer(), np.uint64)).tobytes() for packed in batch.column("shingles")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "component", "n")), pa.array(made, pa.binary())], names=schema.names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> np.ndarray:
             ids = np.asarray([r[3] for r in held], np.int64)
             sides = None if held[0][1] == held[0][2] else np.asarray([r[4] for r in held])
             rows = np.frombuffer(b"".join(r[6] for r in held), np.uint8).reshape(-1, BUCKETS)
             links = np.asarray(sketch_links(rows, np.asarray([r[5] for r in held], np.int64), sides, percent), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(ids[links[:, 0]]), pa.array(ids[links[:, 1]])], names=EDGE.names)
+            return ids[links.T]
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("component", "low", "high", "id", "block", "n", "sketch"))):
@@ -330,8 +331,8 @@ def sketched_groups(sets: DataFrame, percent: int) -> DataFrame:
     dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     at = ["component", "low", "high"]
     pairs = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "block", "n", "sketch")
-    edges = pairs.repartition(*at).sortWithinPartitions(*at, "n", "id").mapInArrow(run, EDGE)
-    return sets.drop("component").join(connected(edges), "id").select(*sets.columns)
+    edges = pairs.repartition(*at).sortWithinPartitions(*at, "n", "id").mapInArrow(lambda batches: folded_portions(links_of(batches)), EDGE)
+    return sets.drop("component").join(connected(edges, fold=False), "id").select(*sets.columns)
 
 
 def split_groups(sets: DataFrame, percent: int, tile: int, sketched: int = SKETCHED) -> DataFrame:

@@ -3,10 +3,11 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlane.llm import language_id, packing
+from cohortlane.llm import jaccard_join, language_id, packing
 
 
 def below_python(df):
@@ -42,3 +43,17 @@ def test_plans_of_packing_need_no_python_workers(spark, plan):
     assert "ExistingRDD" not in joined._jdf.queryExecution().executedPlan().toString()
     assert dict(joined.dtypes)["__first"] == "bigint" and dict(joined.dtypes)["__slot"] == "int"
     assert sorted((r["rank"], r["__first"], r["__slot"]) for r in joined.collect()) == ([(0, 7, 0), (1, 7, 0)] if plan else [])
+
+
+def test_sketch_links_fold_in_the_worker_that_finds_them(spark, monkeypatch):
+    seen, real = [], jaccard_join.connected
+    monkeypatch.setattr(jaccard_join, "connected", lambda edges, fold=True: seen.append((edges, fold)) or real(edges, fold))
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(3)]
+    sets = [(10 * k + c, 7, 300, bytearray(np.sort(np.concatenate([b[c:], b[:c] + np.uint64(1)])).tobytes())) for k, b in enumerate(base) for c in range(4)]
+    sets.append((99, 7, 300, bytearray(np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)).tobytes())))
+    df = spark.createDataFrame(sets, "id long, component long, n long, shingles binary").repartition(3)
+    found = {r.id: r.component for r in jaccard_join.sketched_groups(df, 80).collect()}
+    assert found == {10 * k + c: 10 * k for k in range(3) for c in range(4)}
+    ((edges, fold),) = seen
+    assert not fold and edges._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
