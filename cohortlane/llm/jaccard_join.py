@@ -4,18 +4,19 @@
 2. The order of shingles is global: rare ones by hash first, frequent ones last. Any order gives
    the same links; this one keeps common passages out of the way.
 3. Candidates: two sets that link differ in few shingles, at most ``k`` for their size class. The
-   hash space is cut into more than ``k`` parts, so one part at least is the same in both. Parts
-   are dealt by their hash and streamed, and neighbours under one part are joined to candidate
-   groups. Nothing is emitted per pair. A part has several shingles, so sets that share but a
-   passage do not meet.
+   hash space is cut into more than ``k`` parts, so several parts are the same in both, a number
+   known for each set. Parts are dealt by their hash in packed pieces. A set that shares too few of
+   its parts with any others links to none and is left out; those that stay and stand side by side
+   under one part are joined to candidate groups. Nothing is emitted per pair. A part has several
+   shingles, so sets that share but a passage hardly meet.
 4. Every candidate group's sets go, once, to tiles of bounded size. In a tile the ordered sets are
    stored in a path-compressed trie. Each set traverses it, sharing the overlap of common paths,
    and leaves a subtree when what remains of both sets can't reach the overlap needed. Sets that
    are connected already are not compared again.
-5. A group too large for a few tiles is first split. One of very many sets is split by the parts of a
-   second hash over all shingles: sets that link share one of those too, so what does not meet there
-   needs no comparison. What is still too large is split by sketches, a byte per bucket of the hash
-   space that counts a set's shingles there: counts of linking sets differ no more than the sets do.
+5. A large group is first split. One of very many sets is split by the parts of a second hash over
+   all shingles: sets that link share one of those too, so what does not meet there needs no
+   comparison. What is still large is split by sketches, a byte per bucket of the hash space that
+   counts a set's shingles there: counts of linking sets differ no more than the sets do.
 6. What stays too large for one tile (near copies, as a rule) is cut into blocks; blocks are joined with
    themselves and the next, and what the largest component then leaves out is joined with every block.
 """
@@ -31,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from cohortlane.functions.times import own_prefix
 from cohortlane.llm.components import EDGE, connected, folded_portions
@@ -40,6 +41,7 @@ from cohortlane.session import written
 #: Odd multipliers that tell the places of a shingle's words apart, and a finalizer's.
 PLACES = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+WHOLE = (1 << 64) - 1
 WORDS_HELD = 300_000
 FREQUENT = 1 << 16
 TILE_SHINGLES = 1_000_000
@@ -49,8 +51,16 @@ MARKS = 1 << 24
 WINDOW_SHINGLES, SEVERAL = 1_000_000, 3
 #: Buckets of a sketch, those looked at first, sketches of a block, and the sets of a group that sketches alone split.
 BUCKETS, FIRST_BUCKETS, SKETCHES_HELD, SKETCHED = 1024, 256, 4_096, 1 << 16
+#: Groups of a tile's part or of sets up to these are compared as they are.
+LIGHT, FEW_SETS = 16, 512
 #: Frequent is what so many sets hold, and one in so many documents. Near copies by the dozen are not.
 LEAST_OFTEN, ONE_IN = 16, 2_000
+#: Keys that a task packs at a time and that are dealt to one shard, about; and the most bits that mark entries.
+PACKED_KEYS, SHARD_KEYS, ENTRY_BITS = 1_000_000, 1_000_000, 27
+#: Packed keys of parts and the entries that have them; or, with ``nodes``, what set an entry is of and how many parts it shares at least if it links.
+POSTED = StructType([StructField("shard", IntegerType()), *(StructField(c, BinaryType()) for c in ("low", "high", "entries", "nodes", "least"))])
+#: Entries by the keys that several have, with a bit where a key begins; or entries with ``nodes``, as posted.
+SHARED = StructType([StructField(c, BinaryType()) for c in ("entries", "begins", "nodes", "least")])
 
 
 class Shingler:
@@ -162,37 +172,46 @@ def size_bounds(part: int, whole: int) -> list[int]:
     return bounds
 
 
-def part_keys(rare: np.ndarray, n: int, percent: int, strong: bool = False) -> np.ndarray:
-    """Keys of which two linking sets share one at least; ``rare`` are the set's shingles without frequent ones.
+def part_classes(rare: np.ndarray, n: int, percent: int, strong: bool = False) -> list[tuple[int, np.ndarray, int]]:
+    """Size classes with the set's keys there and how many of them it shares, at least, with any set that links.
 
-    Two linking sets of ``n`` shingles at most differ in ``2 n (100 - percent) / (100 + percent)``
-    or fewer. A set gives the keys of every class that a linking set of its size or larger can be
-    in. A part has a few shingles, so some are weak: empty, or of one shingle if ``strong`` parts are
+    ``rare`` are the set's shingles without frequent ones. Two linking sets of ``n`` shingles at most
+    differ in ``2 n (100 - percent) / (100 + percent)`` or fewer. A set gives the keys of every class
+    that a linking set of its size or larger can be in, so both give those of the larger one's class.
+    A part has a few shingles, so some are weak: empty, or of one shingle if ``strong`` parts are
     asked for, which may be that of a passage. There are ``spare`` parts more than sets can differ in,
-    and a set with no more weak parts than that gives the others only: one of them is shared still.
-    Sets with more weak parts give all, which are shared by many, so ``spare`` is ample: weak parts
-    are about a tenth in the smallest sets of a class, more where frequent shingles are gone, and a
-    fifth of a class of strong parts, whose classes are narrow.
+    so more than ``spare`` are equal. A set with no more weak parts than that gives the others only,
+    of which as many are shared as are left when all its weak parts are among the equal ones.
+    Sets with more weak parts give all, which are shared by many, and may share but one with a set
+    that gives the firm ones only, so ``spare`` is ample: weak parts are about a tenth in the smallest
+    sets of a class, more where frequent shingles are gone, and a fifth of a class of strong parts,
+    whose classes are narrow.
     """
     bounds, found = size_bounds(*((21, 20) if strong else (7, 5))), []
     for c in range(bisect_right(bounds, n) - 1, bisect_right(bounds, n * 100 // percent)):
         largest = bounds[c + 1] - 1
         differ = 2 * largest * (100 - percent) // (100 + percent)
-        spare = 3 + ((differ + 1) * 3 // 7 if strong else (differ + 1) // 6)
+        spare = 3 + ((differ + 1) * 3 // 7 if strong else (differ + 1) // 4)
         parts = differ + 1 + spare
         of = ((rare >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
         sums, which = np.add.reduceat(rare * MIX[0] ^ rare >> np.uint64(7), starts) if len(of) else np.zeros(0, np.uint64), of[starts]
         firm = np.diff(starts, append=len(of)) > 1 if strong else np.ones(len(starts), bool)
-        if parts - int(firm.sum()) > spare:
+        least = 1 + spare + int(firm.sum()) - parts
+        if least < 1:
             empty = np.setdiff1d(np.arange(parts), which)
-            sums, which = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([which, empty])
+            sums, which, least = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([which, empty]), 1
         else:
             sums, which = sums[firm], which[firm]
-        keys = sums + which.astype(np.uint64) * PLACES[0] + np.uint64(c) * PLACES[1]
+        keys = sums + which.astype(np.uint64) * PLACES[0] + np.uint64(c * int(PLACES[1]) & WHOLE)
         keys = (keys ^ keys >> np.uint64(30)) * MIX[1]
-        found.append(keys ^ keys >> np.uint64(31))
-    return np.concatenate(found)
+        found.append((c, keys ^ keys >> np.uint64(31), least))
+    return found
+
+
+def part_keys(rare: np.ndarray, n: int, percent: int, strong: bool = False) -> np.ndarray:
+    """Keys of which two linking sets share one at least."""
+    return np.concatenate([keys for _, keys, _ in part_classes(rare, n, percent, strong)])
 
 
 def node_of(sig: bytes) -> int:
@@ -200,61 +219,202 @@ def node_of(sig: bytes) -> int:
     return int.from_bytes(sig[:8], "little", signed=True)
 
 
-def part_postings(df: DataFrame, text: str, width: int, percent: int, order) -> DataFrame:
-    """``key`` and ``node`` of every part of every set. Copies met by a task one after the other give their parts once."""
-    schema = StructType([StructField("key", LongType()), StructField("node", LongType())])
+def entry_of(node: int, c: int) -> int:
+    """32 bits for a set in a size class. Sets may share them; such sets become candidates of each other."""
+    x = node + (c + 1) * int(PLACES[0]) & WHOLE
+    x = (x ^ x >> 30) * int(MIX[0]) & WHOLE
+    x = (x ^ x >> 27) * int(MIX[1]) & WHOLE
+    return x >> 32
+
+
+def shards_for(shingles: int | None, percent: int, strong: bool = False) -> int:
+    """Shards for the keys that sets of so many shingles give, about."""
+    return 1 + (shingles or 0) * (100 - percent) * (16 if strong else 6) // (100 + percent) // SHARD_KEYS
+
+
+def packed_postings(sets: Iterator[tuple[int, list[tuple[int, np.ndarray, int]]]], shards: int) -> Iterator[pa.RecordBatch]:
+    """``POSTED`` rows of nodes with their ``part_classes``: a key's first 48 bits, in order, take little more than 32."""
+    found: list[tuple] = []
+    held = 0
+
+    def packed() -> pa.RecordBatch:
+        entries = np.asarray([entry_of(node, c) for node, c, _, _ in found], np.uint32)
+        keys = np.concatenate([k for _, _, k, _ in found]) >> np.uint64(16)
+        order = np.argsort(keys)
+        keys, owners = keys[order], np.repeat(entries, [len(k) for _, _, k, _ in found])[order]
+        of = ((keys >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+        low, high = keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16)
+        begins = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+        rows = []
+        for begin, end in zip(begins, [*begins[1:], len(of)]):
+            steps = pa.compress(np.diff(high[begin:end], prepend=np.uint16(0)).tobytes(), "zstd", asbytes=True)
+            rows.append((int(of[begin]), low[begin:end].tobytes(), steps, owners[begin:end].tobytes(), None, None))
+        nodes, least = np.asarray([f[0] for f in found], np.int64), np.asarray([f[3] for f in found], np.int64)
+        rows.append((int(entries[0]) % shards, None, None, entries.tobytes(), nodes.tobytes(), least.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], names=POSTED.names)
+
+    for node, classes in sets:
+        for c, keys, least in classes:
+            if len(keys):
+                found.append((node, c, keys, least))
+                held += len(keys)
+        if held >= PACKED_KEYS:
+            yield packed()
+            found, held = [], 0
+    if found:
+        yield packed()
+
+
+def part_postings(df: DataFrame, text: str, width: int, percent: int, order, shards: int = 16) -> DataFrame:
+    """Packed parts of every set. Copies met by a task one after the other give their parts once."""
     plain = df.select(F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, frequent, seen = shingler(width), order.value[0], set()
-        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
-            keys, nodes = [], []
-            for text in batch.column("text").to_pylist():
-                found = make.shingles(text)
-                node = node_of(signature(found))
-                if not len(found) or node in seen:
-                    continue
-                if len(seen) >= NODES_HELD:
-                    seen.clear()
-                seen.add(node)
-                keys.append(part_keys(found[~often(found, frequent)], len(found), percent).view(np.int64))
-                nodes.append(np.full(len(keys[-1]), node))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
-    return plain.mapInArrow(run, schema)
+        def sets() -> Iterator[tuple[int, list]]:
+            for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
+                for text in batch.column("text").to_pylist():
+                    found = make.shingles(text)
+                    node = node_of(signature(found))
+                    if not len(found) or node in seen:
+                        continue
+                    if len(seen) >= NODES_HELD:
+                        seen.clear()
+                    seen.add(node)
+                    yield node, part_classes(found[~often(found, frequent)], len(found), percent)
+
+        return packed_postings(sets(), shards)
+
+    return plain.mapInArrow(run, POSTED)
+
+
+def shared_parts(postings: DataFrame) -> DataFrame:
+    """``SHARED`` rows, one per shard, of the parts that several entries have."""
+
+    def unpacked(low, high) -> np.ndarray:
+        first = np.frombuffer(low.as_buffer(), np.uint32)
+        steps = np.frombuffer(pa.decompress(high.as_buffer(), 2 * len(first), "zstd"), np.uint16)
+        return np.cumsum(steps, dtype=np.uint16).astype(np.uint64) << np.uint64(32) | first
+
+    def met(keys: np.ndarray, entries: np.ndarray) -> tuple:
+        order = np.argsort(keys)
+        keys = keys[order]
+        equal = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
+        several = equal[1:] | equal[:-1]  # far fewer, as a rule
+        keys, entries = keys[several], entries[order[several]]
+        order = np.lexsort((entries, keys))
+        keys, entries = keys[order], entries[order]
+        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (entries[1:] != entries[:-1])])[: len(keys)]  # copies of a set are one entry
+        keys, entries = keys[fresh], entries[fresh]
+        equal = np.concatenate([[False], keys[1:] == keys[:-1], [False]])[: len(keys) + 1]
+        several = (equal[1:] | equal[:-1])[: len(keys)]
+        return entries[several].tobytes(), np.packbits(~equal[:-1][several]).tobytes(), None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+
+        def row(*values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=SHARED.names)
+
+        def flush() -> pa.RecordBatch:
+            return row(*met(np.concatenate([k for k, _ in held]), np.concatenate([e for _, e in held])))
+
+        for batch in batches:
+            for of, low, high, entries, nodes, least in zip(batch.column("shard").to_pylist(), *(batch.column(c) for c in POSTED.names[1:])):
+                if held and of != shard:
+                    yield flush()
+                    held = []
+                if nodes.is_valid:
+                    yield row(entries.as_py(), None, nodes.as_py(), least.as_py())
+                else:
+                    shard = of
+                    held.append((unpacked(low, high), np.frombuffer(entries.as_py(), np.uint32)))
+        if held:
+            yield flush()
+
+    return postings.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, SHARED)
+
+
+def linking_entries(shared: DataFrame) -> DataFrame:
+    """``entry`` and the ``nodes`` it is of, where it shares as many parts as a set that links does; and where it is of several."""
+    known = StructType([StructField(c, LongType()) for c in ("entry", "node", "least")])
+    counts = StructType([StructField(c, LongType()) for c in ("entry", "met")])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for entries, nodes, least in zip(*(batch.column(c) for c in ("entries", "nodes", "least"))):
+                columns = [np.frombuffer(entries.as_buffer(), np.uint32).astype(np.int64), *(np.frombuffer(c.as_buffer(), np.int64) for c in (nodes, least))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=known.names)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            values, met = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(met.astype(np.int64))], names=counts.names)
+
+        for batch in batches:
+            for entries in batch.column("entries"):
+                held.append(np.frombuffer(entries.as_py(), np.uint32))
+                size += len(held[-1])
+                if size >= SHARD_KEYS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    entries = shared.filter("nodes IS NOT NULL").select("entries", "nodes", "least").mapInArrow(read, known)
+    entries = entries.groupBy("entry").agg(F.min("least").alias("least"), F.collect_set("node").alias("nodes"))
+    met = shared.filter("nodes IS NULL").select("entries").mapInArrow(counted, counts).groupBy("entry").agg(F.sum("met").alias("met"))
+    return entries.join(met, "entry", "left").filter("met >= least OR size(nodes) > 1").select("entry", "nodes")
 
 
 def neighbour_edges(postings: DataFrame) -> DataFrame:
-    """Edges between sets that stand side by side under one key, a chain through all that share it, folded to stars."""
+    """Edges between sets that stand side by side under one part, a chain through all that share it, folded to stars.
+
+    Only sets that share as many parts as they must to link stand there.
+    """
+    shared = written(shared_parts(postings), "parts")
+    linking = written(linking_entries(shared), "entries")
+    bits = min(ENTRY_BITS, max(18, (16 * linking.count()).bit_length()))
+    places = linking.select(F.shiftright("entry", 32 - bits).alias("place"))
+    marks = postings.sparkSession.sparkContext.broadcast(np.packbits(marked_places(places, 1 << bits)))
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        last = np.zeros((2, 0), np.int64)
+        set_bits = np.unpackbits(marks.value).astype(bool)
         for batch in batches:
-            rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in ("key", "node")])], 1)
-            linked = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] != rows[1, :-1])
-            yield np.stack([rows[1, 1:][linked], rows[1, :-1][linked]])
-            last = rows[:, -1:]
+            for packed, begins in zip(batch.column("entries"), batch.column("begins")):
+                entries = np.frombuffer(packed.as_py(), np.uint32)
+                part = np.cumsum(np.unpackbits(np.frombuffer(begins.as_py(), np.uint8), count=len(entries)), dtype=np.int64)
+                stay = set_bits[entries >> np.uint32(32 - bits)]
+                entries, part = entries[stay].astype(np.int64), part[stay]
+                linked = part[1:] == part[:-1]
+                yield np.stack([entries[1:][linked], entries[:-1][linked]])
 
-    dealt = postings.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(lambda batches: folded_portions(chains(batches)), EDGE)
+    stars = shared.filter("nodes IS NULL").select("entries", "begins").mapInArrow(lambda batches: folded_portions(chains(batches)), EDGE)
+    nodes = linking.select("entry", F.explode("nodes").alias("node"))
+    ends = stars.join(nodes.select(F.col("entry").alias("a"), F.col("node").alias("from")), "a").join(nodes.select(F.col("entry").alias("b"), F.col("node").alias("to")), "b")
+    alike = linking.filter("size(nodes) > 1").select(F.explode("nodes").alias("from"), F.array_min("nodes").alias("to"))
+    return ends.select("from", "to").unionByName(alike).select(F.greatest("from", "to").alias("a"), F.least("from", "to").alias("b")).filter("a <> b")
 
 
 def finer_groups(sets: DataFrame, percent: int) -> DataFrame:
     """``sets`` of groups split by the strong parts of another hash of all shingles; sets that meet no other are left out."""
-    schema = StructType([StructField("key", LongType()), StructField("node", LongType())])
+    shards = shards_for(sets.agg(F.sum("n")).first()[0], percent, strong=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
-            keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, component, packed in zip(*(batch.column(c).to_pylist() for c in ("id", "component", "shingles"))):
-                found = np.frombuffer(packed, np.uint64) * MIX[1]
-                found = np.sort(found ^ found >> np.uint64(29))
-                keys.append(part_keys(found, len(found), percent, strong=True).view(np.int64) ^ np.int64(component))
-                nodes.append(np.full(len(keys[-1]), i))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-
-    edges = neighbour_edges(sets.select("id", "component", "shingles").mapInArrow(run, schema))
+        def parted() -> Iterator[tuple[int, list]]:
+            for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
+                for i, component, packed in zip(*(batch.column(c).to_pylist() for c in ("id", "component", "shingles"))):
+                    found = np.frombuffer(packed, np.uint64) * MIX[1]
+                    found = np.sort(found ^ found >> np.uint64(29))
+                    own = np.uint64(component * int(MIX[0]) & WHOLE)
+                    yield i, [(c, keys ^ own, least) for c, keys, least in part_classes(found, len(found), percent, strong=True)]
+
+        return packed_postings(parted(), shards)
+
+    edges = neighbour_edges(sets.select("id", "component", "shingles").mapInArrow(run, POSTED))
     return sets.drop("component").join(connected(edges, fold=False), "id").select(*sets.columns)
 
 
@@ -336,26 +496,34 @@ def sketched_groups(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def split_groups(sets: DataFrame, percent: int, tile: int, sketched: int = SKETCHED) -> DataFrame:
-    """``sets`` with the groups of more than two tiles split, those of more than ``sketched`` sets by finer parts first."""
-    for least, split in ((sketched, finer_groups), (0, sketched_groups)):
-        sizes = sets.groupBy("component").agg(F.sum("n").alias("load"), F.count("*").alias("held"))
-        heavy = written(sizes.filter((F.col("load") > 2 * tile) & (F.col("held") > least)).select("component"), "heavy")
+    """``sets`` with large groups split: by finer parts first those of more than ``sketched`` sets, then by sketches.
+
+    A trie of sets that share passages is slow long before it fills a tile, so groups of a small part of one count as large.
+    """
+    large = (F.col("load") > tile // LIGHT) | (F.col("held") > FEW_SETS)
+    for much, split in ((F.col("held") > sketched, finer_groups), (large, sketched_groups)):
+        heavy = written(sets.groupBy("component").agg(F.sum("n").alias("load"), F.count("*").alias("held")).filter(much).select("component"), "heavy")
         if not heavy.isEmpty():
             parts = split(sets.join(heavy, "component", "left_semi").select(*sets.columns), percent)
             sets = written(sets.join(heavy, "component", "left_anti").select(*sets.columns).unionByName(parts), "split")
     return sets
 
 
-def marked_ids(ids: DataFrame) -> np.ndarray:
-    """A bit per place that an id hashes to: ``MARKS`` bits at most, whatever the number of ids."""
-    place = F.pmod(F.xxhash64("id"), F.lit(MARKS)) + 1
-    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    found = np.zeros((MARKS // 32768, 4096), np.uint8)
-    for row in maps.toLocalIterator():
+def marked_places(places: DataFrame, size: int) -> np.ndarray:
+    """Which of ``size`` places are among the rows' ``place``, gathered as a bit each."""
+    place = F.col("place") + 1
+    maps = places.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    found = np.zeros((size // 32768, 4096), np.uint8)
+    for row in maps.collect():  # a job per partition otherwise
         found[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
     return np.unpackbits(found.ravel(), bitorder="little").astype(bool)
 
 
+def marked_ids(ids: DataFrame) -> np.ndarray:
+    """A bit per place that an id hashes to: ``MARKS`` bits at most, whatever the number of ids."""
+    return marked_places(ids.select(F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("place")), MARKS)
+
+
 def candidate_sets(df: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
     """``id``, ``component``, ``n`` and the packed ``shingles`` of the wanted ids.
 
@@ -552,7 +720,8 @@ def node_components(df: DataFrame, key: str, text: str, width: int, percent: int
     spark = df.sparkSession
     rows = written(set_rows(df, key, text, width), "sets")
     docs = rows.filter("sig IS NOT NULL")
-    least = max(LEAST_OFTEN, docs.count() // ONE_IN)
+    held, shingles = docs.agg(F.count("*"), F.sum("n")).first()
+    least = max(LEAST_OFTEN, held // ONE_IN)
     counted = rows.filter("sig IS NULL").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "id").limit(frequent)
     listed = np.asarray([(r.id, r.n) for r in counted.collect()], np.int64).reshape(-1, 2)
     values = listed[:, 0].astype(np.int64).view(np.uint64)
@@ -560,7 +729,7 @@ def node_components(df: DataFrame, key: str, text: str, width: int, percent: int
     order = spark.sparkContext.broadcast((values[by_value], listed[by_value, 1]))
 
     reps = written(docs.filter("n > 0").groupBy("sig", "node").agg(F.min("id").alias("rep")), "reps")
-    groups = connected(neighbour_edges(part_postings(df, text, width, percent, order)), fold=False).withColumnRenamed("id", "node")
+    groups = connected(neighbour_edges(part_postings(df, text, width, percent, order, shards_for(shingles, percent))), fold=False).withColumnRenamed("id", "node")
     wanted = written(reps.select(F.col("rep").alias("id"), "node").join(groups, "node").select("id", "component").distinct(), "wanted")
     sets = written(candidate_sets(df, key, text, width, wanted), "shingles")
     sets = split_groups(sets, percent, tile)

@@ -237,3 +237,75 @@ def test_a_line_that_most_documents_hold(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     found = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(df, min_docs=1000).collect()}
     assert found == {i: f"own {i}\nmore {i % 40}" for i in range(1500)}
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linking_sets_share_as_many_parts_as_both_need(percent):
+    rng = np.random.default_rng(percent)
+    for n in [*range(1, 40, 3), 100, 1000]:
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for drop in range(n):
+            other = np.unique(np.concatenate([base[drop:], rng.integers(0, 1 << 63, drop, dtype=np.uint64)]))
+            both = len(np.intersect1d(base, other))
+            if 100 * both < percent * (len(base) + len(other) - both):
+                break
+            for strong in (False, True):
+                ours, theirs = ({c: (keys, least) for c, keys, least in jaccard_join.part_classes(s, len(s), percent, strong)} for s in (base, other))
+                assert any(len(np.intersect1d(ours[c][0], theirs[c][0])) >= max(ours[c][1], theirs[c][1], 1) for c in set(ours) & set(theirs))
+
+
+def passage_texts(rng) -> list[tuple[int, str]]:
+    """Texts of which the last of every ten is a near copy of the one before it; all hold three of ten passages."""
+    passages = [[f"p{k}x{j}" for j in range(45)] for k in range(10)]
+    rows = []
+    for i in range(300):
+        body = [f"w{i}x{j}" for j in range(500)]
+        for k in rng.permutation(10)[:3]:
+            body.extend(passages[k])
+        rows.append((i, " ".join(body)))
+        if i % 10 == 9:
+            rows[-1] = (i, rows[-2][1].replace(f"w{i - 1}x7 ", "other "))
+    return rows
+
+
+def test_sets_that_share_passages_only_are_no_candidates(spark):
+    rows = passage_texts(np.random.default_rng(6))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    order = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    groups = connected(jaccard_join.neighbour_edges(jaccard_join.part_postings(docs, "text", 5, 80, order)), fold=False)
+    make = jaccard_join.Shingler(5)
+    nodes = {jaccard_join.node_of(jaccard_join.signature(make.shingles(text))): i for i, text in rows}
+    found = {nodes[r.id]: r.component for r in groups.collect()}
+    assert sorted(found) == [i for i in range(300) if i % 10 > 7]
+    assert all(found[i] == found[i - 1] for i in range(9, 300, 10))
+
+
+def test_parts_are_dealt_packed(spark):
+    rows = passage_texts(np.random.default_rng(7))[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    order = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    made = jaccard_join.part_postings(docs, "text", 5, 80, order).collect()
+    size = sum(len(v) if isinstance(v, (bytes, bytearray)) else 8 for r in made for v in r if v is not None)
+    keys = sum(len(jaccard_join.part_keys(s, len(s), 80)) for s in (jaccard_join.Shingler(5).shingles(text) for _, text in rows))
+    assert size <= 10.5 * keys
+
+
+def test_entries_of_several_sets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PACKED_KEYS", 700)
+    rows = passage_texts(np.random.default_rng(8))[:40]
+    make = jaccard_join.Shingler(5)
+    sets = [(i, s, jaccard_join.part_classes(s, len(s), 80)) for i, s in ((i, make.shingles(text)) for i, text in rows)]
+    monkeypatch.setattr(jaccard_join, "entry_of", lambda node, c: (node // 2 * 2654435761 + c) % (1 << 32))  # two sets to an entry
+    batches = list(jaccard_join.packed_postings(((i, classes) for i, _, classes in sets), 3))
+    made = spark.createDataFrame([tuple(r.values()) for b in batches for r in b.to_pylist()], jaccard_join.POSTED)
+    found = {r.id: r.component for r in connected(jaccard_join.neighbour_edges(made), fold=False).collect()}
+    assert all(found[i] == found[i - 1] for i in (9, 19, 29, 39))
+
+
+def test_small_groups_of_many_sets_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    sets = [(i, 7, 60, np.sort(rng.integers(0, 1 << 63, 60, dtype=np.uint64)).tobytes()) for i in range(40)]
+    sets += [(100 + i, 7, 60, packed) for i, _, _, packed in sets[:3]]
+    df = spark.createDataFrame(sets, "id long, component long, n long, shingles binary").repartition(2)
+    found = {r.id: r.component for r in jaccard_join.split_groups(df, 80, 30_000).collect()}
+    assert found == {k * 100 + i: i for i in range(3) for k in (0, 1)}
